@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import runs, stripes
+from statloom.llm import mojibake, runs, secrets, stripes
 from statloom.llm.common import table
 
 
@@ -37,6 +37,22 @@ def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, d, "documents"))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redact_secrets(table(spark, d, "documents"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.find_garbled(table(spark, d, "documents"))
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.repair_garbled(table(spark, d, "documents"))
+
+
 _P2 = r"""
 WITH i AS (SELECT DISTINCT file_id, command_index, regexp_replace(function_name, '^[A-Za-z0-9._]+:::?', '') AS f
            FROM function_calls WHERE function_name IS NOT NULL AND file_id IS NOT NULL AND command_index IS NOT NULL),
