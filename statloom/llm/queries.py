@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import mojibake, runs, secrets, stripes
+from statloom.llm import mojibake, nearcopies, runs, secrets, stripes
 from statloom.llm.common import table
 
 
@@ -53,6 +53,15 @@ def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.repair_garbled(table(spark, d, "documents"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    # doc_id is unique in this table
+    return nearcopies.NearCopies(table(spark, d, "documents"), threshold=0.6, unique_ids=True).pairs()
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return nearcopies.NearCopies(table(spark, d, "documents"), threshold=0.8, unique_ids=True).groups()
+
+
 _P2 = r"""
 WITH i AS (SELECT DISTINCT file_id, command_index, regexp_replace(function_name, '^[A-Za-z0-9._]+:::?', '') AS f
            FROM function_calls WHERE function_name IS NOT NULL AND file_id IS NOT NULL AND command_index IS NOT NULL),
