@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import mojibake, nearcopies, runs, secrets, stripes
+from statloom.llm import leakage, mojibake, nearcopies, runs, secrets, stripes
 from statloom.llm.common import table
 
 
@@ -62,6 +62,18 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return nearcopies.NearCopies(table(spark, d, "documents"), threshold=0.8, unique_ids=True).groups()
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_runs(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).withColumnRenamed("words", "longest_run")
+
+
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), how="near").withColumnRenamed("words", "rare_terms")
+
+
 _P2 = r"""
 WITH i AS (SELECT DISTINCT file_id, command_index, regexp_replace(function_name, '^[A-Za-z0-9._]+:::?', '') AS f
            FROM function_calls WHERE function_name IS NOT NULL AND file_id IS NOT NULL AND command_index IS NOT NULL),
