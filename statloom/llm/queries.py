@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import leakage, mojibake, nearcopies, runs, secrets, stripes
+from statloom.llm import leakage, mojibake, nearcopies, quality, runs, secrets, stripes
 from statloom.llm.common import table
 
 
@@ -74,6 +74,18 @@ def p8_near(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), how="near").withColumnRenamed("words", "rare_terms")
 
 
+def _prose(spark: SparkSession, d: str) -> quality.Prose:
+    return quality.fit_prose(table(spark, d, "documents"), table(spark, d, "quality_labels"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.find_prose(table(spark, d, "documents"), _prose(spark, d))
+
+
+def p9_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_quality(table(spark, d, "documents"), _prose(spark, d))
+
+
 _P2 = r"""
 WITH i AS (SELECT DISTINCT file_id, command_index, regexp_replace(function_name, '^[A-Za-z0-9._]+:::?', '') AS f
            FROM function_calls WHERE function_name IS NOT NULL AND file_id IS NOT NULL AND command_index IS NOT NULL),
