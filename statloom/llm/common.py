@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from statloom.runtime import share_package
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can read: ``spark.checkpoint.dir`` of the session.
@@ -60,4 +62,5 @@ class Stage:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -39,7 +39,6 @@ for _n, _words in enumerate(COMMON.values()):
     for _w in set(_words.split()):
         _OF.setdefault(_w, []).append(_n)
 _CJK_COMMON = set("的了不是在个这有和就都上也到说要去会着没看好自己那能之与及并已开始每次の は を が に で と も た し て い る な から まで だけ".replace(" ", ""))
-_COMMON_ALL = frozenset(_OF) | _CJK_COMMON
 
 _WORD = re.compile(r"[぀-ヿ一-鿿]|[^\W\d_]+(?:['’][^\W\d_]+)*")
 _PIECE = re.compile(r"\S+")
@@ -47,6 +46,7 @@ _ODD = re.compile(r"[_{}()\[\]<>=|\\/$@*&^~`+%;#]|\w\.\w|\w:\w|\d|[a-z][A-Z]|[=:
 _CODE = frozenset("{}()[]<>=;|\\/$#@*&^~`+_%")
 _END = ".!?:;,…。！？，；：)\"”’»"
 _STOP = re.compile(r"[.!?…](?=\s|$|[\"')»”’])|[。！？]")
+_START = re.compile(r"[.!?…][\"')»”’]*\s+[\"'“«(]*([^\W\d_])")
 _ITEM = re.compile(r"(?:[-*+•o]|\[[ xX]?\]|\(?\d{1,3}[.)]|[a-z][.)])\s")
 _COMMENT = re.compile(r"(?:#(?!#*\s\S+\s*$)|//|--|\*|%|;|/\*|<!--|\"\"\"|')\s*\S")
 # Mean word length and share of common words of ordinary prose, and common words at most so rare in a running line, by language.
@@ -54,38 +54,42 @@ _LENGTH = [4.4, 5.8, 5.1, 5.1, 4.9, 6.0, 6.3, 5.7, 5.2, 5.1, 1.0]
 _SHARE = [0.48, 0.33, 0.33, 0.38, 0.36, 0.22, 0.15, 0.28, 0.38, 0.4, 0.3]
 _RUNNING = [6, 8, 8, 8, 8, 12, 14, 10, 8, 8, 8]
 
-STATISTICS = ["log_words", "mean_word_length", "symbol_ratio", "line_end_punctuation", "common_words", "digit_ratio", "code_ratio", "odd_pieces", "log_words_per_line", "repeated_lines", "prose_lines", "log_words_per_stop"]
+STATISTICS = ["log_words", "mean_word_length", "symbol_ratio", "line_end_punctuation", "common_words", "digit_ratio", "code_ratio", "odd_pieces", "log_words_per_line", "repeated_lines", "prose_lines", "log_words_per_stop", "small_starts"]
 
 
 def describe(text: str | None) -> tuple[np.ndarray, int, int]:
     """(statistics, word count, language number) of a text; all zero for a null, empty or blank one."""
     out = np.zeros(len(STATISTICS))
     text = text or ""
-    words = _WORD.findall(text)
     lines = [x for x in map(str.strip, text.split("\n")) if x]
     if not lines:
         return out, 0, 0
-    n = len(words)
     hits = [0] * len(_LANGUAGES)
-    common = 0
-    cjk = 0
-    for w in words:
-        if w in _CJK_COMMON:
-            common += 1
-        low = w.lower()
-        of = _OF.get(low)
-        if of is not None:
-            common += 1
-            for k in of:
-                hits[k] += 1
-        if w >= "぀" and len(w) == 1:
-            cjk += 1
+    n = common = cjk = letters = 0
+    per_line = []
+    for line in lines:
+        ws = _WORD.findall(line)
+        size = sum(map(len, ws))
+        c = 0
+        for w in ws:
+            of = _OF.get(w.lower())
+            if of is not None:
+                c += 1
+                for k in of:
+                    hits[k] += 1
+            elif w in _CJK_COMMON:
+                c += 1
+        if line > "\u2e80" or not line.isascii():
+            cjk += sum(1 for w in ws if len(w) == 1 and w >= "\u3040")
+        n += len(ws)
+        common += c
+        letters += size
+        per_line.append((len(ws), c, size))
     lang = int(np.argmax(hits)) if n else 0
     if cjk * 2 > n:
         lang = len(_LANGUAGES) - 1
     pieces = _PIECE.findall(text)
     dense = sum(map(len, pieces)) or 1
-    letters = sum(map(len, words))
     digits = sum(map(text.count, "0123456789"))
     code = sum(map(text.count, _CODE))
     odd = sum(1 for p in pieces if p[-1] < "\u2e80" and p[0] < "\u2e80" and _ODD.search(p.rstrip(".,;:!?)\"'").lstrip("(\"'")))
@@ -98,17 +102,17 @@ def describe(text: str | None) -> tuple[np.ndarray, int, int]:
         # an item that ends with its line, a comment, or a line of a few words is no running text
         if size < 12 or item[k] and item[k + 1] and size < 90 or _COMMENT.match(line):
             continue
-        ws = _WORD.findall(line)
-        if len(ws) < 4:
+        count, c, own = per_line[k]
+        if count < 4 or c * _RUNNING[lang] < count:
             continue
-        c = sum(1 for w in ws if w.lower() in _COMMON_ALL)
-        sym = sum(map(line.count, _CODE))
-        if c * _RUNNING[lang] >= len(ws) and sym * 16 <= size and sum(map(len, ws)) * 10 >= 6 * len(line.replace(" ", "")):
+        if sum(map(line.count, _CODE)) * 16 <= size and own * 10 >= 6 * len(line.replace(" ", "")):
             prose += size
+    starts = [lines[0].lstrip("#*-> \"'“«(")[:1], *_START.findall(text)]
+    small = sum(map(str.islower, starts)) / (len(starts) + 0.5)
     stops = len(_STOP.findall(text))
     out[:] = (
         np.log1p(n), letters / n if n else 0.0, max(0, dense - letters - digits) / dense, ended / len(lines), common / n if n else 0.0, digits / dense, code / dense, odd / len(pieces),
-        np.log1p(n / len(lines)), 1 - len(set(lines)) / len(lines), prose / total, np.log1p(n / (stops + 0.5)),
+        np.log1p(n / len(lines)), 1 - len(set(lines)) / len(lines), prose / total, np.log1p(n / (stops + 0.5)), small,
     )
     return out, n, lang
 
@@ -132,9 +136,9 @@ class Prose:
 
     def __init__(self, x: np.ndarray, lang: np.ndarray, prose: np.ndarray):
         x = _comparable(x, lang)
-        self.floor = np.array([0.7, 0.12, 0.02, 0.25, 0.12, 0.015, 0.012, 0.035, 0.5, 0.03, 0.12, 0.28]) ** 2
+        self.floor = np.array([0.7, 0.12, 0.02, 0.25, 0.12, 0.015, 0.012, 0.035, 0.5, 0.03, 0.12, 0.28, 0.1]) ** 2
         self.center, self.inverse = {}, {}
-        good = x[prose] if prose.sum() >= 5 else np.array([[5.2, 1.0, 0.03, 0.3, 0.8, 0.005, 0.004, 0.02, 2.7, 0.0, 0.9, 2.7]])
+        good = x[prose] if prose.sum() >= 5 else np.array([[5.2, 1.0, 0.03, 0.3, 0.8, 0.005, 0.004, 0.02, 2.7, 0.0, 0.9, 2.7, 0.0]])
         mu, cov = self._robust(good)
         self.center[-1], self.inverse[-1] = mu, np.linalg.inv(cov)
         for k in range(len(_LANGUAGES)):
@@ -153,7 +157,7 @@ class Prose:
             cuts = np.unique(np.quantile(dist, np.linspace(0.002, 0.6, 400)))
             wrong = [((dist > c) & prose).sum() / prose.sum() + ((dist <= c) & ~prose).sum() / prose.sum() for c in cuts]
             best = np.flatnonzero(np.array(wrong) == min(wrong))
-            self.limit = float(np.quantile(cuts[best], 0.4))
+            self.limit = float(np.median(cuts[best]))
 
     def _robust(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Concentration steps: mean and covariance of the nearer part, from the median on."""

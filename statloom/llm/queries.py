@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import leakage, mojibake, nearcopies, quality, runs, secrets, stripes
+from statloom.llm import leakage, mojibake, nearcopies, packing, quality, runs, secrets, sequences, stripes
 from statloom.llm.common import table
 
 
@@ -86,6 +86,40 @@ def p9_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_quality(table(spark, d, "documents"), _prose(spark, d))
 
 
+def _patterns(spark: SparkSession, d: str) -> sequences.Patterns:
+    return sequences.frequent_sequences(table(spark, d, "commands"), "file_id", "command_index", stripes.without_package(F.col("primary_function")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("pattern")
+    return _patterns(spark, d).of_length(3, different=True).select(p[0].alias("function_1"), p[1].alias("function_2"), p[2].alias("function_3"))
+
+
+def p5_closed(spark: SparkSession, d: str) -> DataFrame:
+    return _patterns(spark, d).closed
+
+
+#: Rank file of the tokenizer that sizes are counted with.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.token_counts(table(spark, d, "documents"), RANKS), table(spark, d, "containers"))
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used by kind, the bound by volume, and the share of their room that is used."""
+    each = _packed(spark, d).groupBy("container_kind", "container_id", "capacity").agg(F.sum("tokens").alias("tokens"))
+    return each.groupBy("container_kind", "capacity").agg(
+        F.count(F.lit(1)).alias("n_containers"), F.ceil(F.sum("tokens") / F.first("capacity")).alias("volume_bound"), F.max("tokens").alias("fullest"),
+        (F.sum("tokens") / (F.count(F.lit(1)) * F.first("capacity"))).alias("fill"),
+    )
+
+
 _P2 = r"""
 WITH i AS (SELECT DISTINCT file_id, command_index, regexp_replace(function_name, '^[A-Za-z0-9._]+:::?', '') AS f
            FROM function_calls WHERE function_name IS NOT NULL AND file_id IS NOT NULL AND command_index IS NOT NULL),
