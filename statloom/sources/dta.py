@@ -331,8 +331,9 @@ def write(df: DataFrame, path: str, labels: dict[str, str]) -> None:
         section(b"value_labels", b"")
         end = f.tell()
         f.write(b"</stata_dta>")
+        size = f.tell()
         f.seek(n_at)
         f.write(struct.pack("<Q", n))
         f.seek(map_at + 5)
-        f.write(struct.pack("<14Q", 0, map_at, *places[1:], end, f.seek(0, os.SEEK_END)))
+        f.write(struct.pack("<14Q", 0, map_at, *places[1:], end, size))
     os.replace(part, target)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from statloom.errors import CommandError
 from statloom.operators import combining, rows
+from statloom.plans.expressions import to_sql
 from statloom.plans.frame import Frame
 from statloom.plans.script import logical_lines, parse
 
@@ -24,9 +25,12 @@ def transform(stream: DataFrame, script: str) -> DataFrame:
         c = parse(line)
         if c.verb not in ROW_WISE or c.by:
             raise CommandError(f"{c.verb} does not work on a stream")
+        for text in (c.cond, rows.assignment(c.head)[1] if c.verb in ("generate", "replace") else None):
+            scope = frame.scope()
+            scope.order = ("1",)
+            if text and (to_sql(text, scope), scope.windows)[1]:
+                raise CommandError(f"a command on a stream cannot look at other rows: {line}")
         frame = ROW_WISE[c.verb](frame, c, None)
-        if frame.has_rid:
-            raise CommandError(f"a command on a stream cannot look at other rows: {line}")
     return frame.visible()
 
 
