@@ -161,7 +161,7 @@ def spans_in(text: str, whole: str, offset: int) -> list[tuple[int, int, int]]:
                     continue
                 if re.match(r"^[\w.+-]+://[^:@]*$", joined) and kind != "named":
                     continue
-            elif kind in ("reversed", "conn"):
+            elif kind in ("reversed", "conn", "netrc"):
                 if not _real(v, name):
                     continue
             elif kind == "bare":
