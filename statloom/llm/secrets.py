@@ -40,9 +40,9 @@ _TOKENS = [
 
 _ANCHORS = [
     # secret names
-    "pass(word|wd|phrase|wort|code)", "[^a-z]pass[^a-z]", "pwd", "[^a-z]pw[^a-z]", "kennwort", "contrase", "senha", "motdepasse", "haslo", "secret", "token", "bearer",
+    "pass(word|wd|phrase|wort|code)", "[^a-z]pass", "pwd", "[^a-z]pw", "kennwort", "contrase", "senha", "motdepasse", "haslo", "secret", "token", "bearer",
     "credential", "(api|access|private|signing|encryption|master|account|client|shared|session|storage|x)[_-]?key", "key[_-]id", "x-auth", "authorization", "basic ",
-    "identified by", "(-u|--user)[ =]",
+    "identified by", "(-u|--user)[ =]", "mysql", "mariadb", "sshpass", "sudo -s", "(login|connect|authenticate|sign_?in|logon) *\\(", "log[io]n [a-z]",
     # token formats
     "(akia|asia|agpa|aida|aroa)[0-9a-z][0-9a-z]", "gh[pousr]_[a-z0-9]", "github_pat_", "glpat-", "xox[abeoprs]-", "[srp]k_(live|test)_", "aiza[a-z0-9_-]", "npm_[a-z0-9]", "dop_v1_", "hvs\\.",
     "sg\\.[a-z0-9_-]", "shp(at|ca|pa|ss)_", "pypi-", "hf_[a-z0-9]", "sk-[a-z0-9]", "pat-[a-z0-9]", "ya29\\.", "eyj[a-z0-9_-]",
@@ -84,13 +84,17 @@ _GRAMMAR = {
     "address": re.compile(r"(?i)\b[a-z][a-z0-9+.-]*://(?P<u>[^\s/@:\"'`<>]*):(?P<v>[^\s/@\"'`<>]+)@"),
     "signed": re.compile(r"(?i)://[^\s\"'`<>]+?[?&](?P<name>sig|signature|token|access_token|auth|key|api_key|apikey|code|x-amz-signature|x-goog-signature)=(?P<v>[^\s\"'`<>&]{8,})"),
     "curl": re.compile(r"(?i)(?:\s-u|--user)[ =][\"']?(?P<u>[^\s:\"'$]+):(?P<v>[^\s\"']+)"),
+    "client": re.compile(rf"(?i)\b(?:mysql\w*|mariadb\w*|sshpass)\b[^\n|;]*?\s-p\s?(?:{_LITERAL}|(?P<v2>[^\s\"']+))"),
+    "sudo": re.compile(rf"(?i)\becho\s+(?:-n\s+)?(?:{_LITERAL}|(?P<v2>[^\s\"'|]+))\s*\|\s*sudo\s+-S"),
+    "login": re.compile(rf"(?i)\b(?:login|connect|authenticate|sign_?in|logon)\s*\(\s*(?:[\"'][^\"']*[\"']\s*,\s*){{1,2}}{_LITERAL}\s*\)"),
+    "slash": re.compile(r"(?i)\blog[io]n\s+\S+\s+/\s+(?P<v>\S+)"),
     "token": re.compile(r"(?<![A-Za-z0-9_])(?P<v>" + "|".join(_TOKENS) + ")"),
     "armour": re.compile(r"(?P<v>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)"),
 }
 _MORE = re.compile(rf"\s*(?:\+|\.\.|\.|,|&|\|\||\\)?\s*[{_Q}](?P<v>[^{_Q}\n]*)[{_Q}]")
 
 _EMPTY = re.compile(
-    r"(?i)^(?:[x*.\-_#?0\s]*|<.*>?|\$.*|%[\w.-]*%?|\{\{?.*|\[.*\]|@.*@|#\{.*|.*\$\{.*|.*\{\{.*|.*<[a-z_ -]+>.*|!(?:ref|vault|secret|env|include|sub|getatt|importvalue)\b.*|"
+    r"(?i)^(?:[x*.\-_#?0\s]*|<.*>?|\$.*|%[\w.-]+%|%[sd]|\{\{?.*|\[.*\]|@.*@|#\{.*|.*\$\{.*|.*\{\{.*|.*<[a-z_ -]+>.*|!(?:ref|vault|secret|env|include|sub|getatt|importvalue)\b.*|"
     r"(?:todo|tbd|fixme|change[_ -]?(?:me|it)|none|null|nil|true|false|undefined|redacted|removed|hidden|masked|placeholder|n/?a|unset|empty|default|example|dummy|string|text|required|optional)|"
     r"(?:todo|tbd|fixme)\b.*|(?:insert|replace|enter|your|change|put|add)[_ -].*|my[_-]?(?:secret|token|password|key)\w*|.*(?:_|\b)(?:here|goes)|.*\.\.\..*|.*x{6,}.*|.*\*{4,}.*|.*example.*key.*)$"
 )
@@ -161,6 +165,9 @@ def spans_in(text: str, whole: str, offset: int) -> list[tuple[int, int, int]]:
                     continue
                 if re.match(r"^[\w.+-]+://[^:@]*$", joined) and kind != "named":
                     continue
+            elif kind in ("client", "sudo", "login", "slash"):
+                if not _real(v, "password") or kind == "login" and not re.search(r"\d|[^\w\s]", v) and len(v.split()) < 3 or re.match(r"^[\w.+-]+://", v) or re.fullmatch(r"[\w-]+(?:\.[\w-]+)+", v) and kind == "login":
+                    continue
             elif kind in ("reversed", "conn", "netrc"):
                 if not _real(v, name):
                     continue
@@ -173,6 +180,8 @@ def spans_in(text: str, whole: str, offset: int) -> list[tuple[int, int, int]]:
                     end = m.start("v") + len(words)
                 elif line_setting and _real(v, name) and not rest.strip(" ;,\r") and re.search(r"\d", v) and not re.search(r"[()]", v) and not re.fullmatch(r"-?[\d.]+", v) and not re.match(r"(?i)(?:self|this|os|args|config|process|env)\.", v) and ("#" in head or "//" in head or "--" in head or "*" in head or ";" in head or not head.strip() or head.strip() in ("-", "export")) and len(v) >= 6 and (not _IDENT.match(v) or re.search(r"\d{2,}$", v) and "_" not in v):
                     pass
+                elif line_setting and _real(v, name) and not rest.strip(" ;,\r") and (re.fullmatch(r"[a-z]{16,}", v) or len(v) >= 8 and re.fullmatch(r"(?=.*[A-Z]{2})(?=.*[a-z]{2})[A-Za-z]+", v)):
+                    pass
                 elif not _bare_real(v, rest, name):
                     continue
             elif kind == "word":

@@ -211,7 +211,7 @@ def frequent_sequences(events: DataFrame, group: str, index: str, item: Column,
         whole = whole.select("n", F.flatten("s.s").alias("s"))
         whole = whole.filter("n = 1").select("s").unionByName(whole.filter("n > 1").select(cut("s").alias("s")))
         # the table is small against the work on it: spread it over all cores
-        sequences = stage.cut(whole, "sequences", replace=True).repartition(4 * spark.sparkContext.defaultParallelism)
+        sequences = stage.cut(whole, "sequences", replace=True).repartition(2 * spark.sparkContext.defaultParallelism)
         found = _mine(sequences, [((i,), r["n"]) for i, r in enumerate(top)], len(names), need, bound)
         if found is not None:
             break
