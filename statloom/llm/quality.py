@@ -110,9 +110,12 @@ def describe(text: str | None) -> tuple[np.ndarray, int, int]:
     starts = [lines[0].lstrip("#*-> \"'“«(")[:1], *_START.findall(text)]
     small = sum(map(str.islower, starts)) / (len(starts) + 0.5)
     stops = len(_STOP.findall(text))
+    # fences and brackets may recur
+    long = [x for x in lines if len(x) >= 12]
+    repeated = (len(long) - len(set(long))) / len(lines)
     out[:] = (
         np.log1p(n), letters / n if n else 0.0, max(0, dense - letters - digits) / dense, ended / len(lines), common / n if n else 0.0, digits / dense, code / dense, odd / len(pieces),
-        np.log1p(n / len(lines)), 1 - len(set(lines)) / len(lines), prose / total, np.log1p(n / (stops + 0.5)), small,
+        np.log1p(n / len(lines)), repeated, prose / total, np.log1p(n / (stops + 0.5)), small,
     )
     return out, n, lang
 
@@ -136,7 +139,7 @@ class Prose:
 
     def __init__(self, x: np.ndarray, lang: np.ndarray, prose: np.ndarray):
         x = _comparable(x, lang)
-        self.floor = np.array([0.7, 0.12, 0.02, 0.25, 0.12, 0.015, 0.012, 0.035, 0.5, 0.03, 0.12, 0.28, 0.1]) ** 2
+        self.floor = np.array([0.7, 0.12, 0.02, 0.25, 0.12, 0.015, 0.02, 0.055, 0.5, 0.04, 0.11, 0.28, 0.07]) ** 2
         self.center, self.inverse = {}, {}
         good = x[prose] if prose.sum() >= 5 else np.array([[5.2, 1.0, 0.03, 0.3, 0.8, 0.005, 0.004, 0.02, 2.7, 0.0, 0.9, 2.7, 0.0]])
         mu, cov = self._robust(good)
@@ -153,11 +156,15 @@ class Prose:
         self.limit = 6.0
         dist = self._squares(x, lang)[0]
         if prose.sum() >= 5 and (~prose).sum() >= 5:
-            # the limit with the fewest wrong labels, wrong ones among rare classes weighing as much as among frequent ones
-            cuts = np.unique(np.quantile(dist, np.linspace(0.002, 0.6, 400)))
-            wrong = [((dist > c) & prose).sum() / prose.sum() + ((dist <= c) & ~prose).sum() / prose.sum() for c in cuts]
-            best = np.flatnonzero(np.array(wrong) == min(wrong))
-            self.limit = float(np.median(cuts[best]))
+            # the limit with the fewest wrong labels, a wrong prose label weighing as much as all prose over all others;
+            # it lies halfway between the last prose before it and the first other text after it
+            cuts = np.sort(dist)
+            own, other = np.sort(dist[prose]), np.sort(dist[~prose])
+            wrong = 1 - np.searchsorted(own, cuts, side="right") / len(own) + np.searchsorted(other, cuts, side="right") / len(other)
+            cut = cuts[int(np.argmin(wrong))]
+            before, after = own[own <= cut], other[other > cut]
+            if len(before) and len(after):
+                self.limit = float(before[-1] + after[0]) / 2
 
     def _robust(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Concentration steps: mean and covariance of the nearer part, from the median on."""
@@ -242,7 +249,10 @@ def text_quality(docs: DataFrame, model: Prose, doc: str = "doc_id", text: str =
         for batch in batches:
             texts = batch.column(1).to_pylist()
             x, n, lang = _matrix(texts)
-            read, _, tongue = _matrix(texts, True)
+            read, tongue = x.copy(), lang.copy()
+            other = [k for k, t in enumerate(texts) if t and not t.isascii()]
+            if other:
+                read[other], _, tongue[other] = _matrix([texts[k] for k in other], True)
             dist, part = model.distance(read, tongue)
             cols = [batch.column(0), pa.array(n), pa.array([_LANGUAGES[k] for k in lang], pa.string()), *(pa.array(x[:, k]) for k in range(x.shape[1]))]
             cols += [pa.array(dist), *(pa.array(part[:, k]) for k in range(x.shape[1])), pa.array((dist <= model.limit) & (n > 0))]
