@@ -132,6 +132,33 @@ q AS (SELECT function_a, function_b, n, x.c AS n_a, y.c AS n_b, n_baskets
       WHERE n >= 5 AND 1000 * n >= n_baskets)
 """
 
+_P5 = r"""
+WITH s AS (SELECT file_id AS g, command_index AS i, min(regexp_replace(primary_function, '^[A-Za-z0-9._]+:::?', '')) AS f
+           FROM commands WHERE primary_function IS NOT NULL AND primary_function <> '' AND file_id IS NOT NULL AND command_index IS NOT NULL GROUP BY 1, 2),
+n AS (SELECT greatest(5, 0.08 * count(DISTINCT g)) AS need FROM s),
+o AS (SELECT s.* FROM s JOIN (SELECT f FROM s GROUP BY f HAVING count(DISTINCT g) >= (SELECT need FROM n)) USING (f)),
+a AS (SELECT g, f, min(i) AS i, max(i) AS z FROM o GROUP BY g, f),
+ab AS (SELECT a.g, a.f AS f1, o.f AS f2, min(o.i) AS i FROM a JOIN o ON a.g = o.g AND o.i > a.i AND o.f <> a.f GROUP BY 1, 2, 3)
+SELECT f1 AS function_1, f2 AS function_2, c.f AS function_3 FROM ab JOIN a c ON c.g = ab.g AND c.z > ab.i AND c.f <> f1 AND c.f <> f2
+GROUP BY 1, 2, 3 HAVING count(*) >= (SELECT need FROM n)
+"""
+
+_P6 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM w WHERE len(w) >= 5)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT x AS doc_id_a, y AS doc_id_b FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE shared >= 0.6 * (a.n + b.n - shared)
+"""
+
+_P8 = r"""
+WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM eval_items WHERE text IS NOT NULL),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) >= 13)),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (s)
+"""
+
 _L = "CASE WHEN {0} > 0 THEN ({0})::DOUBLE * ln(({0})::DOUBLE) ELSE 0 END"
 
 
@@ -149,6 +176,9 @@ def oracle_sql() -> dict[str, str]:
         f" - {_xlx('n_a')} - {_xlx('n_baskets - n_a')} - {_xlx('n_b')} - {_xlx('n_baskets - n_b')} + {_xlx('n_baskets')})"
     )
     return {
+        "p5_found": _P5,
+        "p6_found": _P6,
+        "p8_found": _P8,
         "p2_found": _P2 + "SELECT function_a, function_b FROM q WHERE n * n_baskets >= 5 * n_a * n_b",
         "p2_pairs": _P2
         + "SELECT function_a, function_b, n, n_a, n_b, n_baskets, round(n::DOUBLE / (n_a::DOUBLE * n_b / n_baskets), 6) AS ratio, "
