@@ -140,7 +140,7 @@ def deduplicated(files: DataFrame, keys: list[str]) -> DataFrame:
 
 def indexed(files: DataFrame, text: str = "text", name: str = "source_file") -> DataFrame:
     """Size and line counts of every file, and a name it can be stored under."""
-    lines = F.split(F.regexp_replace(text, "\n$", ""), "\n")
+    lines = F.split(F.regexp_replace(text, "\n\\z", ""), "\n")
     return files.select(
         *(c for c in files.columns if c != text), F.octet_length(text).alias("size_bytes"), F.size(lines).alias("line_count"),
         F.size(F.filter(lines, lambda x: F.trim(x) != "")).alias("nonblank_line_count"), F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_").alias("raw_file"),

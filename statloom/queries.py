@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statloom.corpus import history as history_etl
+from statloom.runtime import share_package
 from statloom.session import Session
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -281,6 +283,47 @@ def live_view(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["live_view"] = live_view
 SQL["live_view"] = "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2"
 
+
+
+def _history_source(spark: SparkSession, d: str) -> DataFrame:
+    """R files of the documents as history files; their names are the ids, as paths recur."""
+    share_package(spark)
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("lang = 'r' AND text IS NOT NULL")
+    return docs.select(F.col("doc_id").cast("string").alias("source_file"), F.col("repo").alias("owner"), "text")
+
+
+def history_nonempty(spark: SparkSession, d: str) -> DataFrame:
+    return history_etl.non_empty(_history_source(spark, d)).select("source_file", "owner")
+
+
+def history_index(spark: SparkSession, d: str) -> DataFrame:
+    return history_etl.indexed(_history_source(spark, d)).select("source_file", "size_bytes", "line_count", "raw_file")
+
+
+def history_dedup(spark: SparkSession, d: str) -> DataFrame:
+    share_package(spark)
+    files = spark.read.parquet(f"{d}/files.parquet").select(F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo"), "source_file")
+    return history_etl.deduplicated(files, ["owner", "repo", "source_file"])
+
+
+def history_files(spark: SparkSession, d: str) -> DataFrame:
+    return history_etl.parse_history(_history_source(spark, d))[0]
+
+
+def history_commands(spark: SparkSession, d: str) -> DataFrame:
+    return history_etl.parse_history(_history_source(spark, d))[1]
+
+
+def history_calls(spark: SparkSession, d: str) -> DataFrame:
+    return history_etl.parse_history(_history_source(spark, d))[2]
+
+
+QUERIES |= {f.__name__: f for f in (history_nonempty, history_index, history_dedup, history_files, history_commands, history_calls)}
+_HS = "(SELECT doc_id::VARCHAR AS source_file, repo AS owner, text FROM documents WHERE lang = 'r' AND text IS NOT NULL)"
+SQL["history_nonempty"] = f"SELECT source_file, owner FROM {_HS} WHERE len(list_filter(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(ltrim(x), '#'))) > 0"
+SQL["history_index"] = f"SELECT source_file, strlen(text)::INTEGER AS size_bytes, len(string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)))::INTEGER AS line_count, source_file AS raw_file FROM {_HS}"
+SQL["history_dedup"] = "SELECT DISTINCT coalesce(owner, '') AS owner, coalesce(repo, '') AS repo, source_file FROM files"
+
 FLAGSHIP = """use "{d}/lineitem.parquet", clear
 keep if l_quantity > 10
 generate disc_price = l_extendedprice * (1 - l_discount)
