@@ -27,7 +27,11 @@ _NAMES = (
     r"credentials?|(?:api|access|secret|private|signing|encryption|master|account|auth|client|shared|session|storage|subscription|x)[_-]?key|key[_-]?id|"
     r"x[_-]?auth|authorization|auth[_-]?token|private[_-]?token|secret[_-]?access[_-]?key|access[_-]?key[_-]?id"
 )
-_NAME = rf"(?:[\w.$-]*?[_.$-])?(?:\w*?)(?:{_NAMES})\d{{0,2}}"
+#: The end of a name; its beginning is read backwards, so that a long run of word characters is not tried from each place.
+_NAME = rf"(?:{_NAMES})\d{{0,2}}"
+#: A whole name after a fixed character.
+_WHOLE = rf"[\w.$:-]{{0,50}}?(?:{_NAMES})\d{{0,2}}"
+_BEGIN = re.compile(r"[\w.$-]{0,60}$")
 
 # Token formats.  Fixed values.
 _TOKENS = [
@@ -66,19 +70,19 @@ _LOOKED_UP = r"(?:(?:process\.env|os\.environ|env)[\w.\[\]\"'()]*\s*(?:\|\||\?\?
 _CALL = r"(?:(?:paste0?|c|String|str|bytes|b64decode|base64\.b64decode|atob|Buffer\.from|unhex|sprintf|strdup|std::string|new String)\s*\(\s*){0,2}"
 
 _GRAMMAR = {
-    "named": re.compile(rf"(?i)(?<![A-Za-z0-9])(?P<name>{_NAME})[\"'`\])]*\s*{_SET}\s*{_LOOKED_UP}{_CALL}{_LITERAL}"),
-    "bare": re.compile(rf"(?i)(?<![A-Za-z0-9])(?P<name>{_NAME})[\"'`\]]*(?:\s*(?:=>|=|:(?!:))\s*|\s*<-\s*)(?P<v>[^\s\"'`,;<>(){{}}\[\]]+)(?P<rest>[^\n]*)"),
-    "spaced": re.compile(rf"(?i)(?<![A-Za-z0-9])(?P<name>{_NAME})\s+(?:is\s+|by\s+|of\s+)?{_LITERAL}"),
-    "called": re.compile(rf"(?i)(?<![A-Za-z0-9])(?P<name>{_NAME})\s*\(\s*{_LITERAL}"),
-    "word": re.compile(rf"(?i)(?<![A-Za-z0-9])(?P<name>{_NAME})\s+(?P<v>[^\s\"'`,;<>(){{}}\[\]=]+)"),
+    "named": re.compile(rf"(?i)(?P<name>{_NAME})[\"'`\])]*\s*{_SET}\s*{_LOOKED_UP}{_CALL}{_LITERAL}"),
+    "bare": re.compile(rf"(?i)(?P<name>{_NAME})[\"'`\]]*(?:\s*(?:=>|=|:(?!:))\s*|\s*<-\s*)(?P<v>[^\s\"'`,;<>(){{}}\[\]]+)(?P<rest>[^\n]*)"),
+    "spaced": re.compile(rf"(?i)(?P<name>{_NAME})\s+(?:is\s+|by\s+|of\s+)?{_LITERAL}"),
+    "called": re.compile(rf"(?i)(?P<name>{_NAME})\s*\(\s*{_LITERAL}"),
+    "word": re.compile(rf"(?i)(?P<name>{_NAME})\s+(?P<v>[^\s\"'`,;<>(){{}}\[\]=]+)"),
     "by": re.compile(rf"(?i)\b(?P<name>identified\s+by|password)\s+{_LITERAL}"),
     "conn": re.compile(r"(?i);\s*(?P<name>password|pwd)\s*=\s*(?P<v>[^;\"'<>\s]+)"),
     "netrc": re.compile(r"(?i)\blogin\s+\S+\s+(?P<name>password)\s+(?P<v>\S+)"),
-    "option": re.compile(rf"(?i)--(?P<name>{_NAME})[\"']?(?:\s+|=|,\s*(?:default\s*=\s*|help\s*=[^,]*,\s*default\s*=\s*)?)(?:{_LITERAL}|(?P<v2>[^\s\"'`,;<>(){{}}\[\]]+))"),
-    "tagged": re.compile(rf"(?i)<(?:[\w:.-]+\s+)*(?:[\w:.-]*(?:name|key|id)\s*=\s*[\"'])?(?P<name>{_NAME})[\"']?[^<>]{{0,40}}?>(?P<v>[^<>]+)<"),
-    "attribute": re.compile(rf"(?i)[\"'](?P<name>{_NAME})[\"']\s*,?\s*[\"']?value[\"']?\s*[:=]\s*{_LITERAL}"),
-    "pair": re.compile(rf"(?i)[\"'](?P<name>{_NAME})[\"']\s*,\s*{_LITERAL}"),
-    "reversed": re.compile(rf"(?i){_LITERAL}\s*->>?\s*(?P<name>{_NAME})\b"),
+    "option": re.compile(rf"(?i)--(?P<name>{_WHOLE})[\"']?(?:\s+|=|,\s*(?:default\s*=\s*|help\s*=[^,]*,\s*default\s*=\s*)?)(?:{_LITERAL}|(?P<v2>[^\s\"'`,;<>(){{}}\[\]]+))"),
+    "tagged": re.compile(rf"(?i)<(?:[\w:.-]+\s+)*(?:[\w:.-]*(?:name|key|id)\s*=\s*[\"'])?(?P<name>{_WHOLE})[\"']?[^<>]{{0,40}}?>(?P<v>[^<>]+)<"),
+    "attribute": re.compile(rf"(?i)[\"'](?P<name>{_WHOLE})[\"']\s*,?\s*[\"']?value[\"']?\s*[:=]\s*{_LITERAL}"),
+    "pair": re.compile(rf"(?i)[\"'](?P<name>{_WHOLE})[\"']\s*,\s*{_LITERAL}"),
+    "reversed": re.compile(rf"(?i){_LITERAL}\s*->>?\s*(?P<name>{_WHOLE})\b"),
     "bearer": re.compile(r"(?i)\b(?P<name>bearer|basic)[\"']?\s*[, +]\s*[\"']?(?P<v>[A-Za-z0-9._~+/-]{8,}=*)"),
     "header": re.compile(rf"(?i)\b(?P<name>(?:x|api)-[\w-]*(?:key|auth|token|secret)|authorization)[\"']?\s*[:=]\s*[\"']?(?:(?:token|bearer|basic|apikey)\s+)?(?P<v>[A-Za-z0-9._~+/=-]{{8,}})"),
     "address": re.compile(r"(?i)\b[a-z][a-z0-9+.-]*://(?P<u>[^\s/@:\"'`<>]*):(?P<v>[^\s/@\"'`<>]+)@"),
@@ -91,6 +95,7 @@ _GRAMMAR = {
     "token": re.compile(r"(?<![A-Za-z0-9_])(?P<v>" + "|".join(_TOKENS) + ")"),
     "armour": re.compile(r"(?P<v>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)"),
 }
+_BACKWARDS = frozenset(["named", "bare", "spaced", "called", "word"])
 _MORE = re.compile(rf"\s*(?:\+|\.\.|\.|,|&|\|\||\\)?\s*[{_Q}](?P<v>[^{_Q}\n]*)[{_Q}]")
 
 _EMPTY = re.compile(
@@ -146,6 +151,10 @@ def spans_in(text: str, whole: str, offset: int) -> list[tuple[int, int, int]]:
             d = m.groupdict()
             v, name = d.get("v") or d.get("v2") or "", d.get("name") or ""
             start, end = m.span("v2") if d.get("v2") else m.span("v")
+            first = m.start()
+            if kind in _BACKWARDS:
+                first -= len(_BEGIN.search(text, max(0, first - 60), first).group())  # type: ignore[union-attr]
+                name = text[first:m.end("name")]
             if name and kind not in ("signed",) and _ID_NAME.search(name):
                 continue
             if kind in ("named", "spaced", "called", "attribute", "pair", "by"):
@@ -172,7 +181,7 @@ def spans_in(text: str, whole: str, offset: int) -> list[tuple[int, int, int]]:
                 if not _real(v, name):
                     continue
             elif kind == "bare":
-                rest, head = d["rest"], text[:m.start()]
+                rest, head = d["rest"], text[:first]
                 # a passphrase of several words fills the line
                 line_setting = not re.search(r"[\w)\"']\s*$", re.sub(r"^\s*(?:[#;*]+|//+|--+|-|export|set)?\s*", "", head)) and not re.search(r"[(\[{]\s*$", head)
                 words = (v + rest).strip()
@@ -185,7 +194,7 @@ def spans_in(text: str, whole: str, offset: int) -> list[tuple[int, int, int]]:
                 elif not _bare_real(v, rest, name):
                     continue
             elif kind == "word":
-                if not any(re.fullmatch(t, v) for t in _TOKENS) and not (re.match(r"^\s*(?:[#;*]+|//+|--+)\s*$", text[:m.start()]) and not text[m.end():].strip() and _real(v, name) and re.search(r"\d", v) and len(v) >= 8 and (not _IDENT.match(v) or re.search(r"\d{4,}$", v))):
+                if not any(re.fullmatch(t, v) for t in _TOKENS) and not (re.match(r"^\s*(?:[#;*]+|//+|--+)\s*$", text[:first]) and not text[m.end():].strip() and _real(v, name) and re.search(r"\d", v) and len(v) >= 8 and (not _IDENT.match(v) or re.search(r"\d{4,}$", v))):
                     continue
             elif kind == "option":
                 if not _real(v, name) or d.get("v2") and not (re.search(r"\d", v) and len(v) >= 6 or any(re.fullmatch(t, v) for t in _TOKENS)):
