@@ -146,9 +146,15 @@ def _word_cost(w: str) -> float:
     return total
 
 
-def cost(line: str) -> float:
-    """Garbling cost of a line: 0 for ASCII, low for correct text in any script, high for garbled text."""
-    return sum(_word_cost(w) for w in _WORD.findall(line) if not w.isascii())
+def cost(line: str, limit: float = 1e300) -> float:
+    """Garbling cost of a line: 0 for ASCII, low for correct text in any script, high for garbled text.  Over ``limit`` it may stop."""
+    total = 0.0
+    for w in _WORD.findall(line):
+        if not w.isascii():
+            total += _word_cost(w) if len(w) < 200 else sum(_word_cost(w[k:k + 100]) for k in range(0, len(w), 100))
+            if total > limit:
+                break
+    return total
 
 
 @lru_cache(maxsize=65536)
@@ -166,8 +172,14 @@ def _encode(line: str, encoding: str) -> bytes | None:
     except UnicodeEncodeError:
         if encoding not in ("cp1252", "cp1250", "cp1254", "cp1253", "cp1257"):
             return None
-    parts = [_byte(c, encoding) for c in line]
-    return None if None in parts else b"".join(parts)  # type: ignore[arg-type]
+    if any(_byte(c, encoding) is None for c in set(line)):
+        return None
+    return b"".join(_byte(c, encoding) for c in line)  # type: ignore[misc]
+
+
+def _dense(line: str, now: float) -> bool:
+    """Correct text costs under 0.3 for each character that is not ASCII, in any script."""
+    return now >= 0.3 * (len(line) - len(line.encode("ascii", "ignore")))
 
 
 _SPACED = ("cp1252", "latin-1", "cp1251", "cp1254", "cp1250")
@@ -205,11 +217,28 @@ def _pair(line: str, read: str, meant: str) -> str | None:
         return None
 
 
+class _Bytes(dict):
+    """Characters to the bytes of an encoding, as characters of the same number; what it lacks is FF."""
+
+    def __init__(self, encoding: str):
+        super().__init__()
+        self.encoding = encoding
+
+    def __missing__(self, o: int) -> int:
+        raw = _encode(chr(o), self.encoding) if o < 0xD800 or o > 0xDFFF else None
+        self[o] = raw[0] if raw else 0xFF
+        return self[o]
+
+
+_TABLES = {e: _Bytes(e) for e in ("cp1252", "latin-1", "cp437", "mac_roman", "cp1251", "cp850", "cp1250")}
+_CONTROL = re.compile("[\x80-\x9f]")
+
+
 def _broken(line: str) -> bool:
     """Most of the non-ASCII characters are pieces of UTF-8 sequences, though the line as a whole cannot be decoded."""
     high = sum(c > "\x7f" for c in line)
-    for e in ("cp1252", "latin-1", "cp437", "mac_roman", "cp1251", "cp850", "cp1250"):
-        raw = b"".join(_encode(c, e) or b"\xff" for c in line)
+    for e in _TABLES:
+        raw = line.translate(_TABLES[e]).encode("latin-1")
         good = sum(len(m.group()) for m in _SEQUENCE.finditer(raw))
         if good >= 4 and good >= 0.6 * high or good == high and good >= 2:
             return True
@@ -228,16 +257,16 @@ def repair_line(line: str) -> tuple[str, tuple[str, ...]]:
         for e in _UTF8:
             new = _utf8(line, e)
             if new is not None and new != line:
-                c = cost(new)
+                c = cost(new, least)
                 if c < least - 0.05:
                     best, way, least = new, f"{e}>utf-8", c
-        if best is None and now >= 2.4:
+        if best is None and now >= 2.4 and _dense(line, now):
             limit = now - max(1.6, 0.5 * now)
             for read, meant in _PAIRS:
                 new = _pair(line, read, meant)
                 if new is None or new == line:
                     continue
-                c = cost(new) + (0.3 if meant in _ASIAN else 0.0) + (2.0 if meant == "gb2312" and _KANA.search(new) else 0.0)
+                c = cost(new, limit) + (0.3 if meant in _ASIAN else 0.0) + (2.0 if meant == "gb2312" and _KANA.search(new) else 0.0)
                 if c < least and c <= limit:
                     best, way, least = new, f"{read}>{meant}", c
         if best is None and now >= 1.2:
@@ -274,11 +303,16 @@ def repair(text: str) -> tuple[str, bool, bool, str]:
             lines[i] = new
             for w in ways:
                 layers[w] = layers.get(w, 0) + 1
-        if "�" in new or any("\x80" <= c < "\xa0" for c in new) or not ways and not line.isascii() and cost(line) > 1.0 and _broken(line):
+        if "�" in new or _CONTROL.search(new) or not ways and not line.isascii() and _suspect(line) and _broken(line):
             garbled = lost = True
     return "\n".join(lines), garbled, garbled and not lost, " ".join(sorted(layers))
 
 
+def _suspect(line: str) -> bool:
+    now = cost(line)
+    return now > 1.0 and _dense(line, now)
+
+
 def is_garbled(text: str) -> bool:
     """Whether ``repair`` would call the text garbled; stops at the first garbled line."""
     if "\ufffd" in text or text.startswith(_MARKS):
@@ -286,7 +320,7 @@ def is_garbled(text: str) -> bool:
     for line in text.split("\n"):
         if line.isascii():
             continue
-        if any("\x80" <= c < "\xa0" for c in line) or repair_line(line)[1] or cost(line) > 1.0 and _broken(line):
+        if _CONTROL.search(line) or repair_line(line)[1] or _suspect(line) and _broken(line):
             return True
     return False
 
