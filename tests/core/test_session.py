@@ -272,6 +272,13 @@ def test_tables_and_files(open_, tmp_path, fixtures, spark):
     s.run("keep id name")
     s.run("merge 1:1 id using a, nogen")
     assert rows(s)[0] == (1, "Acme", 1000)
+    s.run("save kept_firms, replace table")
+    s.run("use kept_firms, clear")
+    s.run('merge 1:1 id using "_tempfiles.a", keep(match) nogen')
+    assert len(rows(s)) == 5
+    s.run("collapse avg = mean(revenue)")
+    assert rows(s) == [(1600.0,)]
+    s.run("use kept_firms, clear")
     for kind in ("parquet", "json", "csv", "dta"):
         path = f"{tmp_path}/out.{kind}"
         s.run(f'save "{path}", replace')
