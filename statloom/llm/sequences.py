@@ -216,6 +216,8 @@ def frequent_sequences(events: DataFrame, group: str, index: str, item: Column,
         if found is not None:
             break
         bound *= 2
+    stage.drop("events")
+    stage.drop("sequences")
     return Patterns(spark.createDataFrame([([names[x] for x in p], int(n)) for p, n in found], schema), total)
 
 
