@@ -10,14 +10,14 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from statloom.plans.script import TERMINAL, logical_lines, parse
+from statloom.plans.script import TERMINAL, logical_lines, parse, unrolled
 from statloom.session import Session
 
 
 def compile_script(spark: SparkSession, text: str, annotate: bool = False) -> str:
     """The SQL of a script's last dataset, ended by a semicolon; with ``annotate`` the commands as comments before it."""
     s = Session(spark, sql_comments=False)
-    for line in logical_lines(text):
+    for line in unrolled(logical_lines(text)):
         c = parse(line)
         if c.verb not in TERMINAL and c.verb not in ("save", "export"):
             s.run(line)
@@ -40,7 +40,7 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("statloom").getOrCreate()
     if given.run:
         s = Session(spark)
-        for line in logical_lines(text):
+        for line in unrolled(logical_lines(text)):
             r = s.run(line)
             if r.data is not None:
                 r.data.show(50, truncate=False)

@@ -263,6 +263,10 @@ QUERIES["do_script"] = do_script
 SQL["do_script"] = "SELECT o_orderkey, o_orderkey + 1 AS k FROM orders WHERE o_totalprice > 1000"
 
 
+_add("loops_and_macros", "part", "keep p_partkey p_size\nlocal base p_size\nforvalues i = 2/4 {\ngenerate s`i' = `base' * `i'\n}\nforeach v in s2 s3 {\nreplace `v' = 0 if `v' > 60\n}",
+     "SELECT p_partkey, p_size, CASE WHEN p_size * 2 > 60 THEN 0 ELSE p_size * 2 END AS s2, CASE WHEN p_size * 3 > 60 THEN 0 ELSE p_size * 3 END AS s3, p_size * 4 AS s4 FROM part")
+
+
 def show_sql(spark: SparkSession, d: str) -> DataFrame:
     """The SQL that a session shows, run as SQL."""
     s = Session(spark)

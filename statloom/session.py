@@ -15,7 +15,7 @@ from statloom.operators import combining, rows, summaries
 from statloom.plans import render
 from statloom.plans.expressions import quote
 from statloom.plans.frame import Frame
-from statloom.plans.script import TERMINAL, Command, logical_lines, names, parse
+from statloom.plans.script import TERMINAL, Command, logical_lines, names, parse, unrolled
 from statloom.runtime import share_package
 from statloom.sources import files
 
@@ -117,7 +117,7 @@ class Session:
     def script(self, text: str) -> Result:
         """All commands of a script; the result is that of the last one that shows something."""
         shown = Result()
-        for line in logical_lines(text):
+        for line in unrolled(logical_lines(text)):
             try:
                 parse(line)
             except CommandError as e:
@@ -355,7 +355,7 @@ class Session:
             raise CommandError(f"cannot open {found[0]}")
         with open(found[0], encoding="utf-8") as f:
             lines = logical_lines(f.read())
-        for line in lines:
+        for line in unrolled(lines):
             try:
                 inner = parse(line)
             except CommandError as e:

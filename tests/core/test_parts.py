@@ -11,7 +11,7 @@ from statloom.cli import compile_script, main
 from statloom.corpus import history
 from statloom.errors import CommandError
 from statloom.plans.expressions import Scope, to_sql
-from statloom.plans.script import logical_lines, parse
+from statloom.plans.script import logical_lines, parse, unrolled
 from statloom.sources import dta
 from statloom.streaming import pipeline
 
@@ -20,6 +20,22 @@ def test_lines():
     assert logical_lines('use "http://x//y" // c\n* gone\nkeep ///\n a b;\n/* x\n y */ drop c') == ['use "http://x//y"', "keep   a b", "drop c"]
 
 
+def test_loops_and_macros():
+    script = """local k 2
+foreach v in a b {
+forvalues i = 1/`k' {
+generate `v'`i' = `v' + `i'
+}
+}
+forvalues i = 9(-3)3 {
+drop x`i'
+}
+keep `k'"""
+    assert list(unrolled(logical_lines(script))) == ["generate a1 = a + 1", "generate a2 = a + 2", "generate b1 = b + 1", "generate b2 = b + 2", "drop x9", "drop x6", "drop x3", "keep 2"]
+    with pytest.raises(CommandError, match="closing"):
+        list(unrolled(["foreach v in a {", "drop `v'"]))
+
+
 def test_commands():
     c = parse('merge m:1 a b using "f.csv", keep(match master) nogen')
     assert (c.verb, c.options, c.names()[-1]) == ("merge", {"keep": "match master", "nogen": None}, "f.csv")
