@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions import aggregate
-from statloom.plans.frame import Frame
+from statloom.plans.expressions import quote
+from statloom.plans.frame import Frame, Key
+from statloom.sources.files import cut
 
 #: Rows of a block for running values over the whole dataset.
 BLOCK = 65_536
@@ -23,7 +25,8 @@ def with_position(frame: Frame, name: str = "__pos") -> Frame:
     frame = frame.numbered()
     keys = [k.sort() for k in frame.order]
     df = frame.df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    df = df.withColumn("__mid", F.monotonically_increasing_id()).persist()
+    # a table of its own, so that the numbers are settled and later steps do not carry this plan along
+    df = cut(df.withColumn("__mid", F.monotonically_increasing_id()))
     part = F.shiftright("__mid", 33)
     counts = sorted((r["p"], r["n"]) for r in df.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
     before, offsets = 0, {}
@@ -43,18 +46,18 @@ def total(df: DataFrame, column) -> object:
 
 
 def _running(df: DataFrame, name: str, kind: str, arg: str) -> DataFrame:
-    """A running value over the whole order: inside blocks by windows, before a block from the blocks' totals."""
+    """A running value over a group's order: inside blocks of positions by windows, before a block from the group's earlier blocks."""
     df = df.withColumn("__arg", F.expr(arg)).withColumn("__blk", F.floor((F.col("__pos") - 1) / BLOCK))
-    inside = Window.partitionBy("__blk").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
-    over = Window.orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    inside = Window.partitionBy("__start", "__blk").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    over = Window.partitionBy("__start").orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
     wanted = {"sum": ["sum"], "count": ["count"], "mean": ["sum", "count"], "min": ["min"], "max": ["max"]}[kind]
     parts = {}
-    blocks = df.groupBy("__blk").agg(*(F.expr(aggregate.plain(w, "__arg")).alias(f"__t_{w}") for w in wanted))
+    blocks = df.groupBy("__start", "__blk").agg(*(F.expr(aggregate.plain(w, "__arg")).alias(f"__t_{w}") for w in wanted))
     for w in wanted:
         up = "sum" if w in ("sum", "count") else w
         blocks = blocks.withColumn(f"__b_{w}", F.expr(f"{up}(__t_{w})").over(over))
         parts[w] = F.expr(aggregate.plain(w, "__arg")).over(inside)
-    df = df.withColumns({f"__i_{w}": c for w, c in parts.items()}).join(blocks.select("__blk", *(f"__b_{w}" for w in wanted)), "__blk")
+    df = df.withColumns({f"__i_{w}": c for w, c in parts.items()}).join(blocks.select("__start", "__blk", *(f"__b_{w}" for w in wanted)), ["__start", "__blk"])
     both = {}
     for w in wanted:
         a, b = F.col(f"__i_{w}"), F.col(f"__b_{w}")
@@ -63,22 +66,39 @@ def _running(df: DataFrame, name: str, kind: str, arg: str) -> DataFrame:
     return df.withColumn(name, value).drop("__arg", "__blk", *(f"__{x}_{w}" for x in "ib" for w in wanted))
 
 
-def add_whole_terms(frame: Frame, terms: list[tuple[str, str, str, int]]) -> Frame:
-    """The frame with a hidden column for each term over the whole dataset."""
-    if any(kind != "N" for _, kind, _, _ in terms):
-        frame = with_position(frame)
+def add_whole_terms(frame: Frame, terms: list[tuple[str, str, str, int]], by: list[str] | None = None, by_sort: list[str] | None = None) -> Frame:
+    """The frame with a hidden column for each term over the whole dataset or, with ``by``, over its group.
+
+    Positions run through all rows in the order of group, sort and row; a group begins at its least position.  No step gathers a group:
+    sorting is by ranges, group sizes are partial aggregates, rows some places away are joined by position.
+    """
+    by, by_sort = by or [], by_sort or []
+    order = frame.order
+    if by or any(kind != "N" for _, kind, _, _ in terms):
+        front = [*by, *by_sort]
+        frame = with_position(replace(frame, order=(*map(Key, front), *(k for k in order if k.column not in front))))
     df = frame.df
+    if by:
+        groups = df.groupBy(*(F.col(quote(g)).alias(f"__g{i}") for i, g in enumerate(by))).agg(F.min("__pos").alias("__start"), F.count(F.lit(1)).alias("__size"))
+        on = F.col(quote(by[0])).eqNullSafe(F.col("__g0"))
+        for i, g in enumerate(by[1:], 1):
+            on = on & F.col(quote(g)).eqNullSafe(F.col(f"__g{i}"))
+        df = df.join(groups, on).drop(*(f"__g{i}" for i in range(len(by))))
+    else:
+        df = df.withColumn("__start", F.lit(1).cast("long"))
+    base = df
     for name, kind, arg, k in terms:
         if kind == "n":
-            df = df.withColumn(name, F.col("__pos"))
+            df = df.withColumn(name, F.col("__pos") - F.col("__start") + 1)
         elif kind == "N":
-            df = df.withColumn(name, total(frame.df, F.count(F.lit(1))))
+            df = df.withColumn(name, F.col("__size") if by else total(base, F.count(F.lit(1))))
         elif kind == "shift":
-            # the row k places away is joined by its position
-            other = frame.df.select((F.col("__pos") - k).alias("__pos"), F.expr(arg).alias(name))
-            df = df.join(other, "__pos", "left")
+            # the row k places away is joined by its position, if it is of the same group
+            other = base.select((F.col("__pos") - k).alias("__pos"), F.col("__start").alias("__start2"), F.expr(arg).alias("__other"))
+            df = df.join(other, "__pos", "left").withColumn(name, F.when(F.col("__start") == F.col("__start2"), F.col("__other"))).drop("__start2", "__other")
         elif kind == "at":
-            df = df.withColumn(name, total(frame.df.filter(F.col("__pos") == k), F.first(F.expr(arg))))
+            place = base.filter(F.col("__pos") - F.col("__start") + 1 == k)
+            df = df.join(place.select("__start", F.expr(arg).alias(name)), "__start", "left") if by else df.withColumn(name, total(place, F.first(F.expr(arg))))
         else:
             df = _running(df, name, kind, arg)
-    return replace(frame, df=df.drop("__pos"))
+    return replace(frame, df=df.drop("__pos", "__start", "__size"), order=order)

@@ -37,13 +37,13 @@ class Frame:
     """An immutable dataset.
 
     ``order`` says how the rows follow each other; rows are sorted only where they are shown or written.  ``has_rid`` tells whether the
-    scan order is among the columns: it is added late, as it keeps filters from reaching the scan.
+    scan order is among the columns: it is added late, as it keeps filters from reaching the scan.  ``spread``: terms over groups are worked out without windows over groups.
     """
 
     df: DataFrame
     order: tuple[Key, ...] = ()
     has_rid: bool = False
-    files: int = 1
+    spread: bool = False
 
     @property
     def columns(self) -> list[str]:
@@ -105,7 +105,7 @@ class Frame:
     def scope(self, by: tuple[str, ...] = (), by_sort: tuple[str, ...] = (), panel: tuple[str | None, str] | None = None) -> Scope:
         keys = [Key(self.resolve(c)) for c in by_sort]
         keys += [k for k in self.order if k.column not in {x.column for x in keys}]
-        return Scope(self.types(), tuple(self.resolve(c) for c in by), tuple(k.sql() for k in keys), panel)
+        return Scope(self.types(), tuple(self.resolve(c) for c in by), tuple(k.sql() for k in keys), panel, spread=self.spread)
 
     def with_order(self, keys: tuple[Key, ...]) -> Frame:
         """Without hidden columns that no key uses any more."""
@@ -133,5 +133,5 @@ def compiled(frame: Frame, text: str, by: tuple[str, ...] = (), by_sort: tuple[s
         sql, scope = to_sql(text, again), again
         scope.windows = True
         if scope.whole:
-            frame = windows.add_whole_terms(frame, scope.whole)
+            frame = windows.add_whole_terms(frame, scope.whole, [frame.resolve(c) for c in by], [frame.resolve(c) for c in by_sort])
     return frame, sql, scope

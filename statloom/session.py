@@ -52,13 +52,15 @@ class Session:
     """One user's state.  Frames are immutable, so undo, redo and restore only move between them.
 
     live_view: keep a view ``_live`` on the current dataset; sql_comments and format_sql: how ``show sql`` prints;
-    strict_nm: firstnm and lastnm skip nulls; validate: merge checks that 1 sides have unique keys.
+    strict_nm: firstnm and lastnm skip nulls; validate: merge checks that 1 sides have unique keys; spread_groups: bysort terms are worked
+    out by positions and joins instead of a window per group, for data in which one group is too large for a task.
     """
 
-    def __init__(self, spark: SparkSession, live_view: bool = False, sql_comments: bool = True, format_sql: bool = True, strict_nm: bool = False, validate: bool = False):
+    def __init__(self, spark: SparkSession, live_view: bool = False, sql_comments: bool = True, format_sql: bool = True, strict_nm: bool = False, validate: bool = False, spread_groups: bool = False):
         share_package(spark)
         self.spark = spark
         self.live_view, self.sql_comments, self.format_sql, self.strict_nm, self.validate = live_view, sql_comments, format_sql, strict_nm, validate
+        self.spread_groups = spread_groups
         self.temporary: set[str] = set()
         self._views: set[str] = set()
         self._kept: list[DataFrame] = []
@@ -85,7 +87,7 @@ class Session:
         return self.frame.visible()
 
     def _add(self, text: str, frame: Frame, sql: str) -> Result:
-        self.steps.append(Step(text, frame, sql))
+        self.steps.append(Step(text, replace(frame, spread=self.spread_groups), sql))
         self.undone = []
         self._live()
         return Result()

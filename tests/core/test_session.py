@@ -163,6 +163,26 @@ def test_bysort(open_):
         s.run("bysort id generate k = _n")
 
 
+def test_groups_too_large_for_a_task(open_, spark, tmp_path, monkeypatch):
+    from statloom.operators import windows
+
+    monkeypatch.setattr(windows, "BLOCK", 7)
+    data = [(None if i % 5 == 4 else min(i % 5, 1), (i * 37) % 101, i if i % 3 else None, i) for i in range(100)]
+    spark.createDataFrame(data, "g long, t long, v long, id long").write.parquet(f"{tmp_path}/g.parquet")
+    commands = ["n = _n", "c = _N", "p = v[_n-1]", "q = v[_n+2]", "f = id[1]", "s = sum(v)", "m = mean(v)", "k = count(v)", "lo = min(v)", "hi = max(v)"]
+    out = []
+    for spread in (False, True):
+        s = Session(spark, spread_groups=spread)
+        s.run(f'use "{tmp_path}/g.parquet"')
+        for c in commands:
+            s.run(f"bysort g (t): generate {c}")
+        s.run("sort id")
+        out.append(rows(s))
+        s.run("bysort g (t): keep if _n == _N | _n == 1")
+        out.append(sorted(rows(s), key=str))
+    assert out[0] == out[2] and out[1] == out[3] and len(out[0]) == 100 and len(out[1]) == 6
+
+
 def test_merge(open_, fixtures):
     s = open_()
     s.run(f'merge m:1 year using "{fixtures}/yeargdp.csv"')
