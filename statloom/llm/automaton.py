@@ -1,6 +1,6 @@
 """A deterministic automaton over many small patterns, run over many overlapping chunks at once.
 
-Patterns are literals, classes ``[a-z_]``, groups ``(a|b)`` and the marks ``? * +``.  They are combined into one
+Patterns are literals, classes ``[a-z_]``, groups ``(a|b)``, the marks ``? * +`` and ``^`` for the start of a line.  They are combined into one
 NFA with a restart at every character, made deterministic by subset construction, and stepped with numpy: one
 lane per chunk of the text, so a step costs one table look-up for thousands of chunks.
 """
@@ -19,6 +19,7 @@ class Automaton:
     def __init__(self, patterns: list[str]):
         self._next: list[list[tuple[frozenset[int], int]]] = []
         self._skip: list[list[int]] = []
+        self._line: list[list[int]] = []
         self._final: dict[int, int] = {}
         roots = []
         for n, pattern in enumerate(patterns):
@@ -34,6 +35,7 @@ class Automaton:
     def _state(self) -> int:
         self._next.append([])
         self._skip.append([])
+        self._line.append([])
         return len(self._next) - 1
 
     def _either(self) -> tuple[int, int]:
@@ -72,6 +74,10 @@ class Automaton:
             pair = self._either()
             self._at += 1
             return pair
+        if c == "^":
+            a, b = self._state(), self._state()
+            self._line[a].append(b)
+            return a, b
         if c == "[":
             end = self._text.index("]", self._at + 1)
             inner, self._at = self._text[self._at:end], end + 1
@@ -98,10 +104,11 @@ class Automaton:
         return a, b
 
     # --- NFA to table
-    def _closure(self, states: set[int]) -> frozenset[int]:
+    def _closure(self, states: set[int], line: bool = False) -> frozenset[int]:
         todo, seen = list(states), set(states)
         while todo:
-            for t in self._skip[todo.pop()]:
+            s = todo.pop()
+            for t in self._skip[s] + self._line[s] * line:
                 if t not in seen:
                     seen.add(t)
                     todo.append(t)
@@ -127,6 +134,7 @@ class Automaton:
                         by[k] = by.get(k, frozenset()) | near[t]
             moves.append(by)
         start = frozenset().union(*(near[r] for r in roots))
+        line = self._closure(set(roots), line=True)
         again = [start.union(*(moves[s].get(k, ()) for s in start)) for k in range(len(kinds))]
         ids, rows, todo = {start: 0}, [], [start]
         hits: list[frozenset[int]] = []
@@ -139,7 +147,7 @@ class Automaton:
             row = []
             for k in range(len(kinds)):
                 c = sample.get(k, 10)
-                to = start if c == 10 else again[k] | more[k] if k in more else again[k]
+                to = line if c == 10 else again[k] | more[k] if k in more else again[k]
                 if to not in ids:
                     ids[to] = len(ids)
                     todo.append(to)

@@ -42,14 +42,20 @@ _TOKENS = [
     r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{10,}",
 ]
 
+
+
+def _name_anchors(names: str) -> str:
+    """The names as a pattern of the automaton: a boundary is also the start of a line; what is not ASCII is any character that is no letter."""
+    plain = names.replace("(?<![a-z0-9])", "(^|[^a-z0-9])").replace("(?:", "(")
+    return re.sub(r"[^\x00-\x7f]", "[^a-z]", plain)
+
+
 _ANCHORS = [
-    # secret names
-    "pass(word|wd|phrase|wort|code)", "[^a-z]pass", "pwd", "[^a-z]pw", "kennwort", "contrase", "senha", "motdepasse", "haslo", "secret", "token", "bearer",
-    "credential", "(api|access|private|signing|encryption|master|account|client|shared|session|storage|x)[_-]?key", "key[_-]id", "x-auth", "authorization", "basic ",
-    "identified by", "(-u|--user)[ =]", "mysql", "mariadb", "sshpass", "sudo -s", "(login|connect|authenticate|sign_?in|logon) *\\(", "log[io]n [a-z]",
+    _name_anchors(_NAMES), "(x|api)-[a-z0-9_-]*(key|auth)", "basic[\"']?[ \t]*[, +]",
+    "identified[ \t]+by", "(-u|--user)[ =]", "mysql", "mariadb", "sshpass", "sudo[ \t]+-s", "(login|connect|authenticate|sign_?in|logon)[ \t]*\\(", "log[io]n[ \t]+[^ ]",
     # token formats
     "(akia|asia|agpa|aida|aroa)[0-9a-z][0-9a-z]", "gh[pousr]_[a-z0-9]", "github_pat_", "glpat-", "xox[abeoprs]-", "[srp]k_(live|test)_", "aiza[a-z0-9_-]", "npm_[a-z0-9]", "dop_v1_", "hvs\\.",
-    "sg\\.[a-z0-9_-]", "shp(at|ca|pa|ss)_", "pypi-", "hf_[a-z0-9]", "sk-[a-z0-9]", "pat-[a-z0-9]", "ya29\\.", "eyj[a-z0-9_-]",
+    "sg\\.[a-z0-9_-]", "shp(at|ca|pa|ss)_", "pypi-", "hf_[a-z0-9]", "sk-[a-z0-9_-]", "pat-[a-z0-9]", "ya29\\.", "eyj[a-z0-9_-]",
     # key armour
     "-----begin [a-z0-9 ]*private key",
     # connection strings and signed addresses

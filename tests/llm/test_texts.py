@@ -60,6 +60,23 @@ def test_credentials(spark):
     assert secrets.find_secrets(df.limit(0)).collect() == []
 
 
+NAMES = (
+    "password passwd passphrase passwort passcode passkey pass_key pass pw psw pwd kennwort contrasena contraseña senha motdepasse mot_de_passe haslo secret token bearer credential credentials key-id key_id keyid "
+    "x-auth x_auth xauth authorization auth_token private-token secret_access_key access_key_id "
+).split() + [a + b + "key" for a in "api access secret private signing encryption master account auth client shared session storage subscription x".split() for b in ("", "_", "-")]
+
+
+@pytest.mark.parametrize("before", ["", "first\n", "  ", "é"])
+def test_every_name_is_reached(before):
+    for name in NAMES:
+        for n in (name, name.upper()):
+            ends = secrets.automaton().ends(np.frombuffer(secrets._bytes(f"{before}{n} = 'k3Xq91ab$z'"), np.uint8))
+            assert len(ends), n
+    for line in ("pass: k3Xq91ab", "PASS=k3Xq91ab", 'pw = "k3Xq91ab"', 'psw = "k3Xq91ab"', "define('AUTH_KEY','k3Xq91ab$z')", 'subscription_key = "k3Xq91abzz"', 'keyId: "k3Xq91abzz"', "X-Functions-Key: k3Xq91abzz"):
+        assert len(secrets.find_in(["first\n" + line])[0]) == 1 == len(secrets.find_in([line])[0]), line
+    assert secrets.find_in(['compass = "k3Xq91ab"']) == [[]]
+
+
 # --- wrong encodings
 SENTENCES = [
     "Główna pętla później usunął pozostałe wartości ujęte", "Das Zählwerk für Rückläufe löscht zunächst das geschätzte Gefälle", "La función señalada añade las líneas de mañana", "Новая таблица иногда теряет пустые строки",
