@@ -251,19 +251,24 @@ def find_in(texts: list[str]) -> list[list[tuple[int, int, int]]]:
         text, base = texts[n], int(starts[n])
         found: set[tuple[int, int, int]] = set()
         seen_to = -1
+        end = -1
         for p in (ends[doc == n] - base).tolist():
-            lo = text.rfind("\n", 0, p) + 1
-            hi = text.find("\n", p)
-            hi = len(text) if hi < 0 else hi
+            if p > end:
+                begin = text.rfind("\n", 0, p) + 1
+                end = text.find("\n", p)
+                end = len(text) if end < 0 else end
+                seen_to = -1
+            lo, hi = begin, end
             if hi - lo > LINE:
-                lo, hi = max(lo, p - BEFORE), min(hi, p + AFTER)
                 if p + AFTER // 4 <= seen_to:
                     continue
-                seen_to = p + AFTER // 2
+                lo, hi = max(lo, p - BEFORE), min(hi, p + AFTER)
+                # never beyond the line: the next one has not been looked at
+                seen_to = min(p + AFTER // 2, end)
             else:
                 if p <= seen_to:
                     continue
-                seen_to = hi
+                seen_to = end
             for b, s, e in spans_in(text[lo:hi], text, lo):
                 if e > s:
                     found.add((b + lo, s + lo, e + lo))

@@ -77,6 +77,13 @@ def test_every_name_is_reached(before):
     assert secrets.find_in(['compass = "k3Xq91ab"']) == [[]]
 
 
+@pytest.mark.parametrize("gap", [0, 5, 100, 300])
+def test_short_line_after_a_long_line(gap):
+    long = "x" * 3000 + " token " + "y" * gap
+    text = f'{long}\nDB_PASSWORD="k3Xq91ab"\nlast\nother_secret = "Zq81kk2b"'
+    assert [text[s:e] for _, s, e in secrets.find_in([text])[0]] == ["k3Xq91ab", "Zq81kk2b"]
+
+
 # --- wrong encodings
 SENTENCES = [
     "Główna pętla później usunął pozostałe wartości ujęte", "Das Zählwerk für Rückläufe löscht zunächst das geschätzte Gefälle", "La función señalada añade las líneas de mañana", "Новая таблица иногда теряет пустые строки",
