@@ -7,6 +7,7 @@ credential may be; the grammar around each place decides and gives the exact spa
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from statloom.llm.automaton import Automaton
 
 PLACEHOLDER = "<REDACTED>"
-#: Characters of a line before and after a place that the grammar sees; lines up to LINE are seen whole.
+#: Characters of a line before and after a place that the grammar sees; lines up to LINE are seen whole.  What a piece cuts is added to it.
 BEFORE, AFTER, LINE = 240, 700, 1500
 
 # Words that name a secret when a name ends with them.  Fixed values.
@@ -59,7 +60,7 @@ _ANCHORS = [
     # key armour
     "-----begin [a-z0-9 ]*private key",
     # connection strings and signed addresses
-    "://[^ /@\"'<>]*:[^ /@\"'<>]+@", "[?&](sig|signature|token|access_token|auth|key|api_key|apikey|code|x-amz-signature|x-goog-signature)=",
+    "://[^ /@\"'<>]*:[^ /@\"'<>]", "[?&](sig|signature|token|access_token|auth|key|api_key|apikey|code|x-amz-signature|x-goog-signature)=",
 ]
 
 
@@ -104,6 +105,114 @@ _GRAMMAR = {
 _BACKWARDS = frozenset(["named", "bare", "spaced", "called", "word"])
 _MORE = re.compile(rf"\s*(?:\+|\.\.|\.|,|&|\|\||\\)?\s*[{_Q}](?P<v>[^{_Q}\n]*)[{_Q}]")
 
+# What the end of a piece of a line cuts.  A literal that is open there, after all that the grammar wants before it:
+_OPEN = rf"(?:[rbuf]{{0,2}})(?P<q>[{_Q}])(?:(?!(?P=q))[^\\]|\\.)*\\?\Z"
+_OPEN_LITERALS = [
+    re.compile(_GRAMMAR[k].pattern.partition(_LITERAL)[0] + _OPEN + ")" * (k in ("option", "client", "sudo")))
+    for k in ("named", "spaced", "called", "by", "attribute", "pair", "login", "option", "client", "sudo")
+]
+#: Values without quotes that run up to the end, and tokens of several parts.
+_OPEN_VALUES = [
+    re.compile(rf"(?i){_NAME}[\"'`\]]*(?:\s*(?:=>|=|:(?!:))\s*|\s*<-\s*|\s+)[^\s\"'`,;<>(){{}}\[\]]+\Z"), re.compile(rf"(?i)--{_WHOLE}[\"']?(?:\s+|=)[^\s\"'`,;<>(){{}}\[\]]+\Z"),
+    re.compile(r"(?i);\s*(?:password|pwd)\s*=\s*[^;\"'<>\s]+\Z"), re.compile(r"(?i)\blogin\s+\S+\s+(?:password\s+|/\s+)\S+\Z"), re.compile(r"(?i)\b(?:bearer|basic)[\"']?\s*[, +]\s*[\"']?[A-Za-z0-9._~+/=-]+\Z"),
+    re.compile(r"(?i)\b(?:(?:x|api)-[\w-]*(?:key|auth|token|secret)|authorization)[\"']?\s*[:=]\s*[\"']?(?:(?:token|bearer|basic|apikey)\s+)?[A-Za-z0-9._~+/=-]+\Z"),
+    re.compile(r"://[^\s/@:\"'`<>]*:[^\s/@\"'`<>]+\Z"), re.compile(r"(?i)[?&](?:sig|signature|token|access_token|auth|key|api_key|apikey|code|x-amz-signature|x-goog-signature)=[^\s\"'`<>&]+\Z"),
+    re.compile(r"(?i)(?:\s-u|--user)[ =][\"']?[^\s:\"'$]+:[^\s\"']+\Z"), re.compile(r"(?i)\b(?:mysql\w*|mariadb\w*|sshpass)\b[^\n|;]*?\s-p\s?[^\s\"']+\Z"),
+    re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join([*_TOKENS[:-1], r"SG\.[A-Za-z0-9_.-]*", r"eyJ[A-Za-z0-9_.-]*"]) + r")\Z"),
+]
+_OPEN_TAG = re.compile(rf"(?i)<(?:[\w:.-]+\s+)*(?:[\w:.-]*(?:name|key|id)\s*=\s*[\"'])?{_WHOLE}[\"']?[^<>]{{0,40}}?>[^<>]*\Z")
+_RUN = re.compile(r"[^\s\"'`<>]*")
+#: After a literal: a further piece that may be joined to it is cut.
+_OPEN_MORE = re.compile(rf"[{_Q}]\s*(?:\+|\.\.|\.|,|&|\|\||\\)?\s*(?:[{_Q}][^{_Q}\n]*)?\Z")
+# What the start of a piece cuts: the literal before a name or a command, the address before a signature.
+_LITERAL_BEFORE = re.compile(rf"(?i)(?P<q>[{_Q}])(?:\s*->>?\s*{_WHOLE}\b|\s*\|\s*sudo\s+-S)")
+_QUOTES = re.compile(rf"\\.|[{_Q}]")
+_ADDRESS_BREAK = re.compile(r"[\s\"'`<>]")
+
+# The lines of a key block.
+_KEY_LINE = re.compile(
+    r"(?:\\[nrt]|[\s\"'`,;>|*#&().\\-]|\+(?=\s*[\"'`])|//(?=\s))*(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):[^\n\\\"']*|[A-Za-z0-9+/=]{24,}|"
+    r"[A-Za-z0-9+/]{1,23}={1,2}(?![A-Za-z0-9])|(?=[A-Za-z]*[0-9+/]|[a-z]+[A-Z]|[A-Z]+[a-z]+[A-Z])[A-Za-z0-9+/]{4,23}(?=\s*$|\s*\n|\\[nr]|[\"'`]))"
+)
+
+
+def _key_end(text: str, at: int) -> int:
+    """Where a key block ends whose body begins at a place: at its END mark, or, without one, after its last line of key data."""
+    stop = text.find("-----END", at)
+    if stop >= 0 and text.find("-----BEGIN", at, stop) < 0:
+        return stop
+    while m := _KEY_LINE.match(text, at):
+        at = m.end()
+    return at
+
+
+class _LongLine:
+    """A line of which only pieces are looked at."""
+
+    def __init__(self, text: str, begin: int, end: int):
+        self.text, self.begin, self.end = text, begin, end
+        self._quotes: dict[str, list[int]] | None = None
+        self._addresses: list[int] | None = None
+
+    def quotes(self, kind: str) -> list[int]:
+        """Where quote marks of a kind stand that are not escaped."""
+        if self._quotes is None:
+            self._quotes = {q: [] for q in _Q.replace("\\", "")}
+            for m in _QUOTES.finditer(self.text, self.begin, self.end):
+                if m.end() - m.start() == 1:
+                    self._quotes[m.group()].append(m.start())
+        return self._quotes[kind]
+
+    def close(self, kind: str, at: int) -> int | None:
+        """The end of a literal, and of those joined to it, that is open at a place."""
+        marks = self.quotes(kind)
+        k = bisect_left(marks, at)
+        return self.joined(marks[k] + 1) if k < len(marks) else None
+
+    def joined(self, at: int) -> int:
+        while (m := _MORE.match(self.text, at, self.end)) and m.start("v") - at < 8:
+            at = m.end()
+        return at
+
+    def piece(self, p: int) -> tuple[int, int]:
+        """The piece around a place, with the whole of each literal, value or token that its ends would cut."""
+        text, lo, hi = self.text, max(self.begin, p - BEFORE), min(self.end, p + AFTER)
+        first = lo
+        if lo > self.begin:
+            for m in _LITERAL_BEFORE.finditer(text, lo, hi):
+                marks = self.quotes(m.group("q"))
+                k = bisect_left(marks, m.start())
+                if k and k < len(marks) and marks[k] == m.start():
+                    first = min(first, max(self.begin, marks[k - 1] - 3))
+            if text[p] == "=":
+                if self._addresses is None:
+                    self._addresses = [m.start() for m in re.finditer("://", text[self.begin:self.end])]
+                k = bisect_left(self._addresses, p - self.begin) - 1
+                if k >= 0 and not _ADDRESS_BREAK.search(text, a := self._addresses[k] + self.begin, p):
+                    first = min(first, max(self.begin, a - 40))
+        if hi == self.end:
+            return first, hi
+        piece, last = text[lo:hi], hi
+        for pattern in _OPEN_LITERALS:
+            for m in pattern.finditer(piece):
+                if (stop := self.close(m.group("q"), hi)) is not None:
+                    last = max(last, stop)
+        if any(x.search(piece) for x in _OPEN_VALUES):
+            last = max(last, _RUN.match(text, hi, self.end).end())  # type: ignore[union-attr]
+        if _OPEN_TAG.search(piece) and (stop := text.find("<", hi, self.end)) >= 0:
+            last = max(last, stop + 1)
+        # literals that are joined to one inside the piece
+        for kind in ("named", "called"):
+            for m in _GRAMMAR[kind].finditer(piece):
+                to = m.end()
+                while (more := _MORE.match(piece, to)) and more.start("v") - to < 8:
+                    to = more.end()
+                if _OPEN_MORE.match(piece, to - 1):
+                    last = max(last, self.joined(lo + to))
+        # what may have to follow a literal
+        return first, min(self.end, last + 2) if last > hi else hi
+
+
 _EMPTY = re.compile(
     r"(?i)^(?:[x*.\-_#?0\s]*|<.*>?|\$.*|%[\w.-]+%|%[sd]|\{\{?.*|\[.*\]|@.*@|#\{.*|.*\$\{.*|.*\{\{.*|.*<[a-z_ -]+>.*|!(?:ref|vault|secret|env|include|sub|getatt|importvalue)\b.*|"
     r"(?:todo|tbd|fixme|change[_ -]?(?:me|it)|none|null|nil|true|false|undefined|redacted|removed|hidden|masked|placeholder|n/?a|unset|empty|default|example|dummy|string|text|required|optional)|"
@@ -227,10 +336,7 @@ def spans_in(text: str, whole: str, offset: int) -> list[tuple[int, int, int]]:
                 longest = max((len(x) for x in re.findall(r"[A-Za-z0-9+/=]+", body.replace("\\n", "\n").replace("\\r", ""))), default=0)
                 if longest < 24:
                     continue
-                stop = whole.find("-----END", offset + m.end())
-                tail = whole.find("-----", stop + 8) if stop >= 0 else -1
-                # the block: everything between the two marks
-                start, end = m.end(), (stop - offset if stop >= 0 and tail >= 0 and stop - offset - m.end() < 20000 else m.end() + longest)
+                start, end = m.end(), _key_end(whole, offset + m.end()) - offset
                 out.append((m.start(), start, end))
                 continue
             out.append((start, start, end))
@@ -251,7 +357,7 @@ def find_in(texts: list[str]) -> list[list[tuple[int, int, int]]]:
         text, base = texts[n], int(starts[n])
         found: set[tuple[int, int, int]] = set()
         seen_to = -1
-        end = -1
+        end, line = -1, None
         for p in (ends[doc == n] - base).tolist():
             if p > end:
                 begin = text.rfind("\n", 0, p) + 1
@@ -262,7 +368,9 @@ def find_in(texts: list[str]) -> list[list[tuple[int, int, int]]]:
             if hi - lo > LINE:
                 if p + AFTER // 4 <= seen_to:
                     continue
-                lo, hi = max(lo, p - BEFORE), min(hi, p + AFTER)
+                if line is None or line.begin != begin:
+                    line = _LongLine(text, begin, end)
+                lo, hi = line.piece(p)
                 # never beyond the line: the next one has not been looked at
                 seen_to = min(p + AFTER // 2, end)
             else:
@@ -331,7 +439,8 @@ def find_secrets(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     """(doc_id, line_no) of each line in which a credential begins; lines counted from 1 and ended by a line feed.
 
     Null and empty texts and null ids give no rows; a repeated id gives the lines of all its texts, each once.
-    Long texts are scanned whole, in overlapping chunks; lines over 1,500 characters are judged in windows around each place.
+    Long texts are scanned whole, in overlapping chunks; lines over 1,500 characters are judged in pieces
+    around each place, which are extended by the literals and tokens that they would cut.
     Other columns are ignored.  Map only but for the final distinct over the few found lines.
     """
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null and text <> ''")
