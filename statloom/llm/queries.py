@@ -19,9 +19,9 @@ def p1_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.collapse_runs(table(spark, d, "commands"))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
+def _pairs(spark: SparkSession, d: str, **least: float) -> DataFrame:
     calls = table(spark, d, "function_calls")
-    return stripes.cooccurrence(calls, ["file_id", "command_index"], stripes.without_package(F.col("function_name")))
+    return stripes.cooccurrence(calls, ["file_id", "command_index"], stripes.without_package(F.col("function_name")), **least)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,13 +30,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).filter(lifted).select(F.col("item_a").alias("function_a"), F.col("item_b").alias("function_b"))
 
 
-def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select(
+def _measured(pairs: DataFrame) -> DataFrame:
+    return pairs.select(
         F.col("item_a").alias("function_a"), F.col("item_b").alias("function_b"), "n", "n_a", "n_b", "n_baskets",
         F.round("ratio", 6).alias("ratio"), F.round("llr", 4).alias("llr"),
     )
 
 
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs with the support of p2_found, as the SQL states them."""
+    return _measured(_pairs(spark, d))
+
+
+def p2_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of functions that stand in one command."""
+    return _measured(_pairs(spark, d, min_count=1, min_share=0.0))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return secrets.find_secrets(table(spark, d, "documents"))
 

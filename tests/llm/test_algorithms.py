@@ -89,6 +89,20 @@ def test_stripes_against_counts(spark):
     assert stripes.cooccurrence(df.limit(0), ["file_id", "command_index"], item).collect() == []
 
 
+def test_all_pairs_come_out(spark, tmp_path):
+    from statloom.llm import queries
+
+    rng = random.Random(5)
+    rows = [(b, 0, k, f"f{n}") for b in range(2000) for k, n in enumerate(rng.sample(range(60), rng.randint(1, 3)))]
+    spark.createDataFrame(rows, "file_id long, command_index long, call_order long, function_name string").write.parquet(str(tmp_path / "function_calls.parquet"))
+    baskets = defaultdict(set)
+    for b, _, _, f in rows:
+        baskets[b].add(f)
+    want = Counter(p for s in baskets.values() for p in combinations(sorted(s), 2))
+    got = {(r["function_a"], r["function_b"]): r["n"] for r in queries.p2_all(spark, str(tmp_path)).collect()}
+    assert min(want.values()) < 5 and got == want
+
+
 def test_stripes_are_handed_on_when_full(spark, monkeypatch):
     import pyarrow as pa
 
