@@ -23,7 +23,7 @@ PHRASE = 13
 SHARD_WORDS = 2_000_000
 #: Words that all evaluation items together may have; they are held by the driver and every task.
 MAX_ITEM_WORDS = 5_000_000
-#: Proximity: so many of the rarest terms of an item within a tile of so many words.
+#: Proximity: so many of the rarest terms of an item within so many words.
 RAREST, NEEDED, TILE = 8, 6, 64
 
 _WORD = re.compile(r"[A-Za-z0-9]+")
@@ -164,40 +164,81 @@ def phrases(shard: _Shard, item: np.ndarray, phrase: int = PHRASE) -> tuple[np.n
     return doc[first], best[first]
 
 
-def near(shard: _Shard, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(documents, terms) of the documents in which NEEDED of the RAREST terms of the item stand within a tile."""
-    terms = np.unique(item)
+def near(shard: _Shard, terms: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, most terms at once) of the documents in which ``need`` of the terms stand within TILE words."""
+    none = np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(terms) < need or not len(terms):
+        return none
     lo, hi = shard.ranges(terms)
-    pick = np.argsort(hi - lo, kind="stable")[:RAREST]
-    need = min(NEEDED, len(pick))
-    at = np.concatenate([shard.positions[lo[k]:hi[k]] for k in pick]).astype(np.int64)
-    label = np.concatenate([np.full(hi[k] - lo[k], n) for n, k in enumerate(pick)])
+    at = np.concatenate([shard.positions[x:y] for x, y in zip(lo, hi)]).astype(np.int64)
     if not len(at):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    at = at - 0
+        return none
+    label = np.repeat(np.arange(len(terms)), hi - lo)
+    order = np.argsort(at)
+    at, label = at[order], label[order]
     part = np.searchsorted(shard.doc_starts, at, side="right") - 1
-    within = at - shard.doc_starts[part]
-    # two tilings, shifted by half a tile
-    key = np.concatenate([((part << 32) + within // TILE) * 2, ((part << 32) + (within + TILE // 2) // TILE) * 2 + 1])
-    both = np.unique(key * RAREST + np.tile(label, 2))
-    tile, n = np.unique(both // RAREST, return_counts=True)
-    tile, n = tile[n >= need], n[n >= need]
-    doc = shard.docs[(tile // 2) >> 32] if len(tile) else np.empty(0, np.int64)
+    # of the window that ends at each position: the terms whose last place before is inside
+    begin = np.maximum(at - TILE + 1, shard.doc_starts[part])
+    n = np.zeros(len(at), np.int64)
+    for k in range(len(terms)):
+        n += np.maximum.accumulate(np.where(label == k, at, -1)) >= begin
+    doc, n = shard.docs[part[n >= need]], n[n >= need]
     order = np.lexsort((-n, doc))
     doc, n = doc[order], n[order]
     first = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.empty(0, bool)
     return doc[first], n[first]
 
 
-def _search(items: list[tuple[int, bytes]], how: str, phrase: int):
+def _frequencies(terms: np.ndarray):
+    """Per shard, in how many of its documents each of the terms stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                shard = _shard(batch, k)
+                part = np.searchsorted(shard.doc_starts, shard.positions, side="right") - 1
+                new = np.concatenate(([True], part[1:] != part[:-1]))
+                new[shard.starts[:-1]] = True
+                upto = np.concatenate(([0], np.cumsum(new)))
+                lo, hi = shard.ranges(terms)
+                n = upto[hi] - upto[lo]
+                yield pa.RecordBatch.from_arrays([pa.array(terms[n > 0].view(np.int64)), pa.array(n[n > 0].astype(np.int64))], ["term", "n"])
+
+    return run
+
+
+def rarest(index: DataFrame, items: list[tuple[int, bytes]]) -> list[tuple[int, bytes, int]]:
+    """(item, its RAREST terms, how many of them are needed), by the documents of the whole index that hold a term; terms that none holds are left out."""
+    each = [(i, np.unique(np.frombuffer(b, np.uint64))) for i, b in items]
+    terms = np.unique(np.concatenate([t for _, t in each])) if each else np.empty(0, np.uint64)
+    if not len(terms):
+        return []
+    known = index.mapInArrow(_frequencies(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    count = np.zeros(len(terms), np.int64)
+    count[np.searchsorted(terms, known.column(0).to_numpy().view(np.uint64))] = known.column(1).to_numpy()
+    out = []
+    for i, t in each:
+        n = count[np.searchsorted(terms, t)]
+        order = np.argsort(n, kind="stable")
+        out.append((i, t[order[n[order] > 0][:RAREST]].tobytes(), min(NEEDED, len(t))))
+    return out
+
+
+def _shard(batch: pa.RecordBatch, k: int) -> _Shard:
+    return _Shard(*(np.array(batch.column(c)[k].values.to_numpy(zero_copy_only=False)) for c in range(5)))
+
+
+def _search(items: list[tuple], how: str, phrase: int):
+    """items: the id and the words, for ``near`` the terms and how many are needed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = [(i, np.frombuffer(b, np.uint64)) for i, b in items]
+        ready = [(i, np.frombuffer(b, np.uint64), *need) for i, b, *need in items]
         for batch in batches:
             for k in range(batch.num_rows):
-                shard = _Shard(*(np.array(batch.column(c)[k].values.to_numpy(zero_copy_only=False)) for c in range(5)))
+                shard = _shard(batch, k)
                 docs, ids, size = [], [], []
-                for i, item in ready:
-                    d, n = phrases(shard, item, phrase) if how == "phrase" else near(shard, item)
+                for i, item, *need in ready:
+                    d, n = phrases(shard, item, phrase) if how == "phrase" else near(shard, item, *need)
                     docs.append(d)
                     ids.append(np.full(len(d), i, np.int64))
                     size.append(n)
@@ -220,11 +261,13 @@ def leaks(docs: DataFrame, items: DataFrame, how: str = "phrase", phrase: int =
     """(doc_id, item_id, words) of the documents that hold an evaluation item.
 
     ``how="phrase"``: at least ``phrase`` consecutive words of the item in the same order; ``words`` is the longest such run.
-    ``how="near"``: at least NEEDED of the item's RAREST terms within TILE words; ``words`` is their number.
+    ``how="near"``: at least NEEDED of the item's RAREST terms, by the documents of the whole index, within TILE words; ``words`` is their number.
     Each (document, item) comes once.  Items with fewer words than ``phrase`` leak in no document.
     """
     stage = Stage(docs.sparkSession, "index")
-    known = read_items(items)
+    known: list[tuple] = read_items(items)
     index = stage.cut(build_index(docs), "postings")
+    if how == "near":
+        known = rarest(index, known)
     hits = index.mapInArrow(_search(known, how, phrase), "doc_id long, item_id long, words long")
     return hits.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))

@@ -294,6 +294,37 @@ def test_near_leaks(spark):
     assert [(r[0], r[1]) for r in got] == [(1, 7)]
 
 
+@pytest.mark.parametrize("shard", [60, 1000, 2_000_000])
+def test_near_leaks_against_all_windows(spark, monkeypatch, shard):
+    monkeypatch.setattr(leakage, "SHARD_WORDS", shard)
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(20)]
+    items = [(7, " ".join(words[:12])), (8, " ".join(words[6:18])), (9, "nowhere never " + " ".join(words[10:20])), (10, "w1 w2 w3")]
+    docs = []
+    for n in range(150):
+        text = ["x"] * rng.randint(70, 200)
+        a = rng.randrange(len(text) - 66)
+        for k in rng.sample(range(20), rng.randint(3, 14)):
+            text[a + rng.randint(0, 66 if n % 2 else 50)] = f"w{k}"
+        docs.append((n, " ".join(text)))
+    docs += [(1000 + n, f"w{n % 4} w{n % 7}") for n in range(60)]
+    have = defaultdict(set)
+    for i, t in docs:
+        for w in t.split():
+            have[leakage.word_ids(w)[0]].add(i)
+    want = set()
+    for i, t in items:
+        terms = np.unique(leakage.word_ids(t)).tolist()
+        pick = set(sorted((x for x in terms if have[x]), key=lambda x: len(have[x]))[:8])
+        for d, text in docs:
+            ids = leakage.word_ids(text).tolist()
+            most = max(len(pick & set(ids[k:k + 64])) for k in range(max(1, len(ids) - 63)))
+            if most >= min(6, len(terms)):
+                want.add((d, i, most))
+    got = leakage.leaks(spark.createDataFrame(docs, SCHEMA).repartition(3), spark.createDataFrame(items, "item_id long, text string"), how="near").collect()
+    assert len(want) > 30 and {tuple(r) for r in got} == want
+
+
 # --- quality
 PROSE = "The old bridge was moved out of the quiet garden, and both of them now settle more slowly than before. Most people never ask why this is so, but those who do will want to read the part about the river. It took us some days to see that the order of the work was wrong from the start.\n"
 CODE = "def f(x, y=2):\n    if x is None or y < 3:\n        return {'a': x + 1}\n    self.items[x] = y // 2\n"
