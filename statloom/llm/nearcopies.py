@@ -177,8 +177,11 @@ def trie_join(block: np.ndarray, sig: np.ndarray, budget: int = BUDGET, side: np
     return i, j
 
 
-def _block_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, side, id, sig) in; (a, b, key, rows) out: a pair, or the key of a block that is too large and its rows."""
+def _block_join(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, side, id, sig) in; (a, b, key, rows) out: a pair, or the key of a block that is too large and its rows.
+
+    ``whole``: blocks of any size are joined.
+    """
     held: list[tuple] = []
     hot_key, hot_rows = None, 0
 
@@ -221,7 +224,7 @@ def _block_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield join(full)
             held = []
         held.append((key[last:], side[last:], ids[last:], sig[last:]))
-        if sum(len(p[0]) for p in held) > BLOCK_ROWS:
+        if not whole and sum(len(p[0]) for p in held) > BLOCK_ROWS:
             hot_key, hot_rows = int(held[-1][0][0]), sum(len(p[0]) for p in held)
             held = []
     if hot_key is not None:
@@ -326,5 +329,8 @@ class NearCopies:
 
 
 def _pieces_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _block_join(batches):
-        yield batch.select(["a", "b"]).filter(batch.column(0).is_valid())
+    """Two pieces of a block have about BLOCK_ROWS rows together; by the spread of the hash some have more, and are joined as well."""
+    for batch in _block_join(batches, whole=True):
+        if batch.column(0).null_count:
+            raise AssertionError("a piece of a block has not been joined")
+        yield batch.select(["a", "b"])

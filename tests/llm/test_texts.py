@@ -195,6 +195,21 @@ def test_near_copies(spark, monkeypatch, rows):
     assert empty.pairs().collect() == [] and empty.groups().collect() == []
 
 
+@pytest.mark.parametrize("batch", [7, 40, 200])
+def test_pieces_over_the_limit_are_joined(monkeypatch, batch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(nearcopies, "BLOCK_ROWS", 16)
+    n = 45  # three pairs of pieces of 40, 4 and 1 rows, the first and the last over batch ends
+    key, sig = [1] * 4 + [2] * 40 + [3], [bytes(16)] * n
+    rows = [pa.RecordBatch.from_arrays([pa.array(key[k:k + batch], pa.int64()), pa.array([i % 2 for i in range(n)][k:k + batch], pa.int64()), pa.array(range(n)[k:k + batch], pa.int64()), pa.array(sig[k:k + batch], pa.binary())], ["key", "side", "id", "sig"]) for k in range(0, n, batch)]
+    got = [(x["a"], x["b"]) for b in nearcopies._pieces_join(iter(rows)) for x in b.to_pylist()]
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if key[a] == key[b] and a % 2 != b % 2}
+    assert len(got) == len(set(got)) and set(got) == want
+    blocks = [x for b in nearcopies._block_join(iter(rows[:])) for x in b.to_pylist()]
+    assert batch > 45 or [(x["key"], x["rows"]) for x in blocks if x["key"] is not None] == [(2, 40)]
+
+
 def test_trie_join_against_all_pairs(monkeypatch):
     monkeypatch.setattr(nearcopies, "FRONTIER", 500)
     rng = np.random.default_rng(1)
