@@ -282,11 +282,49 @@ def repair_line(line: str) -> tuple[str, tuple[str, ...]]:
     return line, tuple(layers)
 
 
+_CYRILLIC_WORD = re.compile("[\u0400-\u04ff]{3,}")
+_MIXED = re.compile("[A-Za-z][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z]")
+_WESTERN_PAIRS = [(read, meant) for read, meant in _PAIRS if meant not in _ASIAN]
+
+
+def _high(w: str) -> int:
+    return len(w) - len(w.encode("ascii", "ignore"))
+
+
+def _over_lines(lines: list[str]) -> tuple[str, str] | None:
+    """The legacy pair that the costly words of all lines bear out together, though each line has too few of them; or none.
+
+    Each different word counts once; at least two must become correct words.  One is enough where Cyrillic and Latin letters mix in a
+    word and no word of the text is Cyrillic.
+    """
+    words = {w for line in lines if not line.isascii() for w in _WORD.findall(line) if not w.isascii() and len(w) < 200}
+    before = {w: c for w in words if (c := _word_cost(w)) >= max(0.8, 0.3 * _high(w))}
+    if not before:
+        return None
+    cyrillic = any(_CYRILLIC_WORD.search(w) for w in words)
+    best, most = None, 0.0
+    for read, meant in _WESTERN_PAIRS:
+        gain, good, mixed = 0.0, 0, False
+        for w, c in before.items():
+            new = _pair(w, read, meant)
+            if new is None or new == w:
+                continue
+            after = _word_cost(new)
+            if after <= 0.15 * _high(new) and any(x.isalpha() and x > "\x7f" for x in new):
+                gain, good, mixed = gain + c - after, good + 1, mixed or bool(_MIXED.search(w)) and not _MIXED.search(new)
+            else:
+                gain -= max(0.0, after - c)
+        if (good > 1 and gain >= 2.4 or mixed and not cyrillic and gain >= 0.8) and gain > most:
+            best, most = (read, meant), gain
+    return best
+
+
 def repair(text: str) -> tuple[str, bool, bool, str]:
     """(restored text, garbled, recovered, layers) of a whole text."""
     layers: dict[str, int] = {}
     garbled, lost = False, False
     lines = text.split("\n")
+    rest: list[int] = []
     for i, line in enumerate(lines):
         if line.isascii():
             continue
@@ -303,8 +341,18 @@ def repair(text: str) -> tuple[str, bool, bool, str]:
             lines[i] = new
             for w in ways:
                 layers[w] = layers.get(w, 0) + 1
+        elif not line.isascii():
+            rest.append(i)
         if "�" in new or _CONTROL.search(new) or not ways and not line.isascii() and _suspect(line) and _broken(line):
             garbled = lost = True
+    if pair := _over_lines([lines[i] for i in rest]):
+        garbled = True
+        way = f"{pair[0]}>{pair[1]}"
+        for i in rest:
+            new = _pair(lines[i], *pair)
+            if new is not None and cost(new) < cost(lines[i]) - 0.5:
+                lines[i] = new
+                layers[way] = layers.get(way, 0) + 1
     return "\n".join(lines), garbled, garbled and not lost, " ".join(sorted(layers))
 
 
@@ -322,7 +370,7 @@ def is_garbled(text: str) -> bool:
             continue
         if _CONTROL.search(line) or repair_line(line)[1] or _suspect(line) and _broken(line):
             return True
-    return False
+    return _over_lines(text.split("\n")) is not None
 
 
 def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

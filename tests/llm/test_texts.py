@@ -143,6 +143,18 @@ def test_correct_text_is_left(text):
     assert not mojibake.is_garbled(text)
 
 
+def test_evidence_over_lines():
+    for text, meant, read in (
+        ("x = 1\n# España\ny = 2", "latin-1", "cp1251"), ("# a café\nx = 1\n# une idée\ny\n# the résumé", "cp1252", "mac_roman"), ("# niño\n\n# mañana\n# año", "cp1252", "cp1251"),
+    ):
+        garbled = text.encode(meant).decode(read)
+        assert mojibake.is_garbled(garbled)
+        new, found, whole, _ = mojibake.repair(garbled)
+        assert (new, found, whole) == (text, True, True)
+    for text in ("# café\n# naïve\n# España", "это строка\nCогласно файлу", "α ≤ β·γ²\n25 °C\n±2 µm", "Müller\nGroße Straße\nÜbung", "ŁÓDŹ\nŻółw\nGDAŃSK"):
+        assert not mojibake.is_garbled(text)
+
+
 def test_garbled_tables(spark):
     docs = [(1, "ok\n" + SENTENCES[0].encode().decode("cp1250", "replace")), (2, SENTENCES[1]), (3, "doesn�t"), (4, "ï»¿import x"), (5, None), (6, ""), (None, "Ã©Ã©"), (7, "plain"), (8, "x\n" + "né " * 10)]
     df = spark.createDataFrame(docs, SCHEMA).withColumn("layers", F.lit(1))
