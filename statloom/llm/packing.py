@@ -144,7 +144,9 @@ def pack(sizes: DataFrame, containers: DataFrame, doc: str = "doc_id", tokens: s
     items = sizes.select(F.col(doc).cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0)).alias("tokens"))
     items = stage.cut(items.withColumn("r", F.monotonically_increasing_id()), "sizes")
     kinds = containers.filter("capacity_tokens > 0 and container_kind is not null").groupBy("container_kind").agg(F.min(F.col("capacity_tokens").cast("long")).alias("capacity"))
-    kinds = [(x["container_kind"], x["capacity"]) for x in kinds.orderBy("container_kind").limit(1000).collect()]
+    kinds = [(x["container_kind"], x["capacity"]) for x in kinds.orderBy("container_kind").limit(1001).collect()]
+    if len(kinds) > 1000:
+        raise ValueError("there are more than 1000 kinds of containers; pack them in parts")
     kind = F.explode(F.array(*(F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("long").alias("capacity")) for k, c in kinds))).alias("k")
     each = items.select("doc_id", "r", "tokens", kind).select("k.container_kind", "k.capacity", "doc_id", "r", "tokens")
     over = each.filter("tokens > capacity").select("*", F.floor(F.col("tokens") / F.col("capacity")).alias("whole"))

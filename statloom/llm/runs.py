@@ -45,23 +45,23 @@ def edits_within(a: str, b: str, limit: int = 2) -> bool:
     """Whether the Levenshtein distance of two words is at most ``limit``."""
     if abs(len(a) - len(b)) > limit:
         return False
-    while a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    first = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[first:], b[first:]
+    last = next((k for k, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+    a, b = a[:len(a) - last], b[:len(b) - last]
     if max(len(a), len(b)) <= limit:
         return True
-    if abs(len(a) - len(b)) > limit or max(len(a), len(b)) > 400:
-        return False
-    row = list(range(len(b) + 1))
+    # only the band of the table in which the distance can be within the limit
+    far = limit + 1
+    row = {j: j for j in range(min(limit, len(b)) + 1)}
     for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        if min(new) > limit:
+        new: dict[int, int] = {}
+        for j in range(max(0, i - limit), min(len(b), i + limit) + 1):
+            new[j] = i if not j else min(row.get(j, far) + 1, new.get(j - 1, far) + 1, row.get(j - 1, far) + (x != b[j - 1]))
+        if min(new.values(), default=far) > limit:
             return False
         row = new
-    return row[-1] <= limit
+    return row.get(len(b), far) <= limit
 
 
 def same_event(a: str | None, b: str | None) -> bool:

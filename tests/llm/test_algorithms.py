@@ -41,6 +41,24 @@ def test_same_event(a, b, same):
     assert runs.same_event(a, b) is same and runs.same_event(b, a) is same
 
 
+def test_edits_of_long_words():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    assert runs.edits_within("x" + "ab" * 400 + "y", "z" + "ab" * 400 + "w") and not runs.edits_within("xx" + "ab" * 400 + "y", "zz" + "ab" * 400 + "w")
+    rng = random.Random(4)
+    for _ in range(3000):
+        a = "".join(rng.choices("ab", k=rng.randint(0, 9)))
+        b = "".join(rng.choices("ab", k=rng.randint(0, 9)))
+        assert runs.edits_within(a, b) == (distance(a, b) <= 2), (a, b)
+
+
 def test_runs_against_a_loop(spark):
     rng = random.Random(1)
     texts = ["print(x)", "print( x )", "mean(y)", "mean(yy)", "summary(a)", "sumary(a)", None, "", "f(1)", "f(2)"]

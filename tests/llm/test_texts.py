@@ -275,6 +275,12 @@ def test_packing(spark):
 
 
 @pytest.mark.skipif(not os.path.exists(RANKS), reason="needs the public rank file")
+def test_too_many_kinds_are_refused(spark):
+    sizes = spark.createDataFrame([(1, 5)], "doc_id long, tokens long")
+    with pytest.raises(ValueError):
+        packing.pack(sizes, spark.range(1001).selectExpr("cast(id as string) as container_kind", "id + 10 as capacity_tokens"))
+
+
 def test_token_counts(spark):
     text = "def f(x):\n    return x + 1  # é 次\n" * 50
     e = packing.encoding(RANKS)
