@@ -8,8 +8,6 @@ frequent patterns follow from the closed ones.
 
 from __future__ import annotations
 
-import bisect
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,11 +22,12 @@ from statloom.llm.common import Stage
 
 #: Width of a block of the index: a long sequence is shortened block by block before its blocks meet.
 BLOCK = 16_384
-#: Prefixes that one pass over the sequences extends; more are taken in parts, cut by first item.
+#: Prefixes that one pass over the sequences extends, about; more are taken in parts.
 PREFIXES = 4_000
-#: Items that can be frequent, at most; with a share s and m different items per sequence there are m / s.
+#: Counters a task holds, numbers it works on at once, and places of sequences that it takes together.
+COUNTERS, CELLS, PLACES = 16_000_000, 4_000_000, 40_000
+#: Coded items that are broadcast; a longer list is joined by a shuffle.
 ITEMS = 8_192
-WORD = 62
 
 
 def shorten(codes: np.ndarray, k: int, n_items: int) -> np.ndarray:
@@ -63,87 +62,148 @@ def shorten(codes: np.ndarray, k: int, n_items: int) -> np.ndarray:
     return codes[keep[::-1]]
 
 
-def _first(seq_pos: dict[int, list[int]], pattern: tuple[int, ...]) -> list[int] | None:
-    """Positions of the leftmost instance."""
-    out, e = [], -1
-    for x in pattern:
-        v = seq_pos.get(x)
-        if not v:
-            return None
-        i = bisect.bisect_right(v, e)
-        if i == len(v):
-            return None
-        e = v[i]
-        out.append(e)
-    return out
-
-
-def _last(seq_pos: dict[int, list[int]], pattern: tuple[int, ...], end: int) -> list[int]:
-    """Positions of the rightmost instance that ends before ``end``."""
-    out, e = [], end
-    for x in reversed(pattern):
-        v = seq_pos[x]
-        e = v[bisect.bisect_left(v, e) - 1]
-        out.append(e)
-    return out[::-1]
+def _spans(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each owner and each of its entries: (owner, number of the entry)."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+class _Lookup:
+    """Where items stand in several sequences, for many look-ups at once."""
+
+    def __init__(self, seqs: list[np.ndarray], n_items: int):
+        self.length = np.array([len(s) for s in seqs], np.int64)
+        flat = np.concatenate(seqs).astype(np.int64)
+        seq, at = _spans(self.length)
+        self.wide, self.n_items = int(self.length.max()) + 1, n_items
+        # (sequence, item, position) in one sorted number
+        self.keys = np.sort((seq * n_items + flat) * self.wide + at)
+        pair = self.keys // self.wide
+        ends = np.flatnonzero(np.append(pair[1:] != pair[:-1], True))
+        #: the different items of each sequence and their last positions, sequence by sequence
+        self.item, self.last = pair[ends] % n_items, self.keys[ends] % self.wide
+        self.own = np.bincount(pair[ends] // n_items, minlength=len(seqs))
+        self.first = np.cumsum(self.own) - self.own
+        self.seqs = seqs
+
+    def after(self, seq: np.ndarray, item: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The first position of an item at or after a place, -1 if none."""
+        base = (seq * self.n_items + item) * self.wide
+        k = np.minimum(np.searchsorted(self.keys, base + at), len(self.keys) - 1)
+        found = self.keys[k] - base
+        return np.where((found >= at) & (found < self.wide), found, -1)
+
+    def before(self, seq: np.ndarray, item: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The last position of an item before a place; there must be one."""
+        base = (seq * self.n_items + item) * self.wide
+        return self.keys[np.searchsorted(self.keys, base + at) - 1] - base
+
+    def tables(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first column, columns, start, cells) by runs of columns: cells hold the next place of a sequence's items from each of its places on."""
+        width = max(1, int(CELLS // int(self.length.max())))
+        for j in range(0, int(self.own.max()), width):
+            columns = np.clip(self.own - j, 0, width)
+            start = np.cumsum((self.length + 1) * columns) - (self.length + 1) * columns
+            cells = np.empty(int(((self.length + 1) * columns).sum()), np.int32)
+            for n, s in enumerate(self.seqs):
+                if not columns[n]:
+                    continue
+                own = self.item[self.first[n] + j:self.first[n] + j + columns[n]]
+                table = np.full((len(s) + 1, len(own)), self.wide, np.int32)
+                c = np.minimum(np.searchsorted(own, s), len(own) - 1)
+                hit = np.flatnonzero(own[c] == s)
+                table[hit, c[hit]] = hit
+                np.minimum.accumulate(table[::-1], axis=0, out=table[::-1])
+                cells[start[n]:start[n] + table.size] = table.ravel()
+            yield j, columns, start, cells
 
 
 def _grow(prefixes: list[tuple[int, ...]], n_items: int):
-    """Counts of the extensions of each prefix and the items that all its periods share, merged within a task."""
-    depth = len(prefixes[0])
-    words = -(-n_items // WORD)
-    trie: dict = {}
-    for number, p in enumerate(prefixes):
-        node = trie
-        for x in p[:-1]:
-            node = node.setdefault(x, {})
-        node[p[-1]] = number
+    """Counts of the extensions of each prefix and of the items in its periods, merged within a task.
+
+    Out: (prefix, kind, slot, m).  Kind 0: item ``slot`` can follow in m sequences.  Kinds 1 and 2: in all m sequences of the task that hold
+    the prefix, item ``slot`` modulo the number of items stands in the maximum (2: semi-maximum) period number ``slot`` over it.
+    """
+    depth, n_prefixes = len(prefixes[0]), len(prefixes)
+    pattern = np.array(prefixes, np.int64)
+    # a trie by levels: the children of a node are consecutive
+    nodes, level = [], np.zeros(n_prefixes, np.int64)
+    for d in range(depth):
+        first = np.flatnonzero(np.concatenate(([True], (pattern[1:, :d + 1] != pattern[:-1, :d + 1]).any(axis=1))))
+        parent, items = level[first], pattern[first, d]
+        n = np.bincount(parent, minlength=int(level.max()) + 1)
+        nodes.append((n, np.cumsum(n) - n, items))
+        level = np.searchsorted(first, np.arange(n_prefixes), side="right") - 1
+
+    def matched(look: _Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sequence, prefix, positions) of the leftmost instance of each prefix in each sequence."""
+        seq = np.arange(len(look.seqs))
+        node, at = np.zeros(len(seq), np.int64), np.full((len(seq), 1), -1, np.int64)
+        for n, begin, items in nodes:
+            owner, k = _spans(n[node])
+            child = begin[node[owner]] + k
+            pos = look.after(seq[owner], items[child], at[owner, -1] + 1)
+            good = pos >= 0
+            owner = owner[good]
+            seq, node, at = seq[owner], child[good], np.column_stack([at[owner], pos[good]])
+        return seq, node, at[:, 1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(prefixes), n_items), np.int64)
-        masks = np.full((len(prefixes), 2, depth, words), -1, np.int64)
-        seen = np.zeros(len(prefixes), bool)
+        seen = np.zeros(n_prefixes, np.int64)
+        counts = np.zeros((1 + 2 * depth, n_prefixes * n_items), np.int64)
+
+        def add(seqs: list[np.ndarray]) -> None:
+            look = _Lookup(seqs, n_items)
+            every = matched(look)
+            seen[:] += np.bincount(every[1], minlength=n_prefixes)
+            # so many pairs at a time that the work on their items fits in memory
+            size = np.cumsum(look.own[every[0]])
+            cuts = np.searchsorted(size, np.arange(CELLS, int(size[-1]) + CELLS, CELLS), side="right") if len(size) else []
+            blocks, begin = [], 0
+            for end in cuts:
+                end = max(int(end), begin + 1)
+                if begin < len(size):
+                    blocks.append(tuple(x[begin:end] for x in every))
+                begin = end
+            periods = []
+            for seq, prefix, at in blocks:
+                owner, k = _spans(look.own[seq])
+                entry = look.first[seq[owner]] + k
+                more = look.last[entry] > at[owner, -1]
+                counts[0] += np.bincount(prefix[owner[more]] * n_items + look.item[entry[more]], minlength=counts.shape[1])
+                bounds = []
+                for how, end in ((0, look.length[seq]), (1, at[:, -1] + 1)):
+                    for d in range(depth - 1, -1, -1):
+                        end = look.before(seq, pattern[prefix, d], end)
+                        bounds.append((1 + how * depth + d, at[:, d - 1] + 1 if d else np.zeros(len(at), np.int64), end))
+                periods.append((seq, prefix, bounds))
+            for j, columns, start, cells in look.tables():
+                for seq, prefix, bounds in periods:
+                    owner, k = _spans(columns[seq])
+                    slot = prefix[owner] * n_items + look.item[look.first[seq[owner]] + j + k]
+                    for row, lo, hi in bounds:
+                        inside = cells[(start[seq] + lo * columns[seq])[owner] + k] < hi[owner]
+                        counts[row] += np.bincount(slot[inside], minlength=counts.shape[1])
+
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            for seq in batch.column(0).to_pylist():
-                pos: dict[int, list[int]] = defaultdict(list)
-                for q, x in enumerate(seq):
-                    pos[x].append(q)
-                last = np.full(n_items, -1, np.int64)
-                for x, v in pos.items():
-                    last[x] = v[-1]
-                bits = np.zeros((len(seq), words), np.int64)
-                bits[np.arange(len(seq)), np.array(seq) // WORD] = np.left_shift(np.int64(1), np.array(seq) % WORD)
-                todo: list[tuple[dict, int, tuple[int, ...]]] = [(trie, -1, ())]
-                while todo:
-                    node, e, at = todo.pop()
-                    for x, sub in node.items():
-                        v = pos.get(x)
-                        if not v:
-                            continue
-                        i = bisect.bisect_right(v, e)
-                        if i == len(v):
-                            continue
-                        now = at + (v[i],)
-                        if isinstance(sub, dict):
-                            todo.append((sub, v[i], now))
-                            continue
-                        counts[sub] += last > v[i]
-                        seen[sub] = True
-                        pattern = prefixes[sub]
-                        for how, end in ((0, len(seq)), (1, now[-1] + 1)):
-                            right = _last(pos, pattern, end)
-                            for k in range(depth):
-                                lo, hi = (now[k - 1] if k else -1) + 1, right[k]
-                                masks[sub, how, k] &= np.bitwise_or.reduce(bits[lo:hi], axis=0) if hi > lo else np.int64(0)
-        rows_n, rows_i = np.nonzero(counts)
-        out = [(rows_n, np.zeros_like(rows_n), rows_i, counts[rows_n, rows_i], np.full(len(rows_n), -1, np.int64))]
-        for how in (0, 1):
-            for k in range(depth):
-                for w in range(words):
-                    n = np.flatnonzero(seen)
-                    out.append((n, np.full(len(n), 1 + how), np.full(len(n), k * words + w), np.zeros(len(n), np.int64), masks[n, how, k, w]))
-        cols = [np.concatenate([o[c] for o in out]).astype(np.int64) for c in range(5)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["prefix", "kind", "slot", "n", "mask"])
+            for s in batch.column(0):
+                held.append(s.values.to_numpy(zero_copy_only=False).astype(np.int64))
+                size += len(held[-1])
+                if size >= PLACES:
+                    add(held)
+                    held, size = [], 0
+        if held:
+            add(held)
+        out = []
+        for row in range(1 + 2 * depth):
+            own = counts[row].reshape(n_prefixes, n_items)
+            keep = own > 0 if not row else (own == seen[:, None]) & (seen > 0)[:, None]
+            n, item = np.nonzero(keep)
+            kind = 0 if not row else 1 + (row - 1) // depth
+            out.append((n, np.full(len(n), kind), ((row - 1) % depth * n_items if row else 0) + item, own[n, item]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out]).astype(np.int64)) for c in range(4)], ["prefix", "kind", "slot", "m"])
 
     return run
 
@@ -192,14 +252,13 @@ def frequent_sequences(events: DataFrame, group: str, index: str, item: Column,
     pairs = rows.select("g", "item").distinct()
     total = rows.select("g").distinct().count()
     need = max(min_count, int(np.ceil(min_share * total - 1e-9)), 1)
-    top = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= need).orderBy("item").limit(ITEMS + 1).collect()
-    if len(top) > ITEMS:
-        raise ValueError(f"over {ITEMS} items reach the support; raise min_share")
+    # at most m / min_share items, if a sequence has m different items on average
+    top = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= need).orderBy("item").collect()
     if not top:
         return Patterns(spark.createDataFrame([], schema), total)
     names = [r["item"] for r in top]
-    codes = F.broadcast(spark.createDataFrame([(n, i) for i, n in enumerate(names)], "item string, c int"))
-    coded = rows.join(codes, "item").select("g", "i", "c")
+    codes = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "item string, c int")
+    coded = rows.join(F.broadcast(codes) if len(names) <= ITEMS else codes, "item").select("g", "i", "c")
     while True:
         cut = _shortened(bound, len(names))
         blocks = coded.groupBy("g", F.floor(F.col("i") / F.lit(BLOCK)).alias("b")).agg(F.sort_array(F.collect_list(F.struct("i", "c"))).alias("s"))
@@ -210,43 +269,76 @@ def frequent_sequences(events: DataFrame, group: str, index: str, item: Column,
         whole = blocks.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("b", "s"))).alias("s"), F.count(F.lit(1)).alias("n"))
         whole = whole.select("n", F.flatten("s.s").alias("s"))
         whole = whole.filter("n = 1").select("s").unionByName(whole.filter("n > 1").select(cut("s").alias("s")))
-        # the table is small against the work on it: spread it over all cores
-        sequences = stage.cut(whole, "sequences", replace=True).repartition(2 * spark.sparkContext.defaultParallelism)
-        found = _mine(sequences, [((i,), r["n"]) for i, r in enumerate(top)], len(names), need, bound)
+        # spread once, before the table: the levels read it without a shuffle
+        spread = max(2 * spark.sparkContext.defaultParallelism, total // 20_000)
+        sequences = stage.cut(whole.repartition(spread), "sequences", replace=True)
+        found = _mine(sequences, stage, [((i,), r["n"]) for i, r in enumerate(top)], len(names), need, bound)
         if found is not None:
             break
         bound *= 2
     stage.drop("events")
     stage.drop("sequences")
-    return Patterns(spark.createDataFrame([([names[x] for x in p], int(n)) for p, n in found], schema), total)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [[names[x] for x in p] for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.list_(pa.string())), batch.column(1)], ["pattern", "support"])
+
+    return Patterns(found.mapInArrow(named, schema), total)
 
 
-def _mine(sequences: DataFrame, level: list[tuple[tuple[int, ...], int]], n_items: int, need: int, bound: int) -> list[tuple[tuple[int, ...], int]] | None:
-    """Closed patterns level by level; None if they reach the bound."""
-    closed = []
-    words = -(-n_items // WORD)
-    full = [(1 << min(WORD, n_items - w * WORD)) - 1 for w in range(words)]
-    while level:
-        if len(level[0][0]) >= bound:
+def _mine(sequences: DataFrame, stage: Stage, first: list[tuple[tuple[int, ...], int]], n_items: int, need: int, bound: int) -> DataFrame | None:
+    """(pattern of codes, n) of the closed patterns, level by level; None if they reach the bound.
+
+    Levels and closed patterns are tables; the driver and the tasks hold the prefixes of one part of a level.
+    """
+    spark = sequences.sparkSession
+    schema = "pattern array<int>, n long"
+    known: list | None = sorted(first)
+    level, size, depth, closed = None, len(first), 1, []
+    while size:
+        if depth >= bound:
             return None
-        after = []
-        level.sort()
-        for k in range(0, len(level), PREFIXES):
-            part = level[k:k + PREFIXES]
-            grown = sequences.mapInArrow(_grow([p for p, _ in part], n_items), "prefix long, kind long, slot long, n long, mask long")
-            merged = grown.groupBy("prefix", "kind", "slot").agg(F.sum("n").alias("n"), F.bit_and("mask").alias("mask"))
-            # rows of no consequence stay on the executors: rare extensions and empty periods
-            merged = merged.filter((F.col("kind") == 0) & (F.col("n") >= need) | (F.col("kind") > 0) & (F.col("mask") != 0))
-            open_after, pruned = set(), set()
-            for r in merged.collect():
-                p, n = part[r["prefix"]]
-                if r["kind"] == 0:
-                    after.append((p + (r["slot"],), r["n"]))
-                    if r["n"] == n:
-                        open_after.add(p)
-                elif r["mask"] & full[r["slot"] % words]:
-                    (open_after if r["kind"] == 1 else pruned).add(p)
-            closed += [(p, n) for p, n in part if p not in open_after and p not in pruned]
-            after = [x for x in after if x[0][:-1] not in pruned]
-        level = after
-    return closed
+        most = max(1, min(PREFIXES, COUNTERS // (n_items * (1 + 2 * depth))))
+        parts = -(-size // most)
+        if level is None:
+            level = spark.createDataFrame([(list(p), n) for p, n in first], schema)
+        steps = []
+        for k in range(parts):
+            if parts > 1 or known is None:
+                known = sorted((tuple(r["pattern"]), r["n"]) for r in level.filter(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == k).collect())
+            if known:
+                steps.append(stage.cut(_step(sequences, known, n_items, need), "steps"))
+            known = None
+        after = None
+        for s in steps:
+            closed.append(s.filter("not open and not pruned").select("pattern", "n"))
+            more = s.filter("not pruned").select("pattern", F.explode("next").alias("x")).select(F.concat("pattern", F.array(F.col("x.slot").cast("int"))).alias("pattern"), F.col("x.m").alias("n"))
+            after = more if after is None else after.unionByName(more)
+        depth += 1
+        # a level of one part is looked at once: its rows tell its size
+        rows = after.limit(most + 1).collect()
+        if len(rows) <= min(most, max(1, min(PREFIXES, COUNTERS // (n_items * (1 + 2 * depth))))):
+            known, size = sorted((tuple(r["pattern"]), r["n"]) for r in rows), len(rows)
+            level = after
+        else:
+            level = stage.cut(after, "level")
+            size = level.count()
+    found = closed[0]
+    for more in closed[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def _step(sequences: DataFrame, part: list[tuple[tuple[int, ...], int]], n_items: int, need: int) -> DataFrame:
+    """One row per prefix of a part: (pattern, n, open, pruned, next); open: an item can be added without losing a sequence."""
+    numbered = sequences.sparkSession.createDataFrame([(k, list(p), n) for k, (p, n) in enumerate(part)], "prefix long, pattern array<int>, n long").coalesce(1)
+    grown = sequences.mapInArrow(_grow([p for p, _ in part], n_items), "prefix long, kind long, slot long, m long")
+    # each prefix has a row at least; tasks have merged their counts, so one shuffle serves both aggregates
+    grown = grown.unionByName(numbered.select("prefix", F.lit(-1).cast("long").alias("kind"), F.lit(0).cast("long").alias("slot"), F.col("n").alias("m"))).repartition("prefix")
+    grown = grown.groupBy("prefix", "kind", "slot").agg(F.sum("m").alias("m")).join(F.broadcast(numbered), "prefix")
+    full, kind = F.col("m") == F.col("n"), F.col("kind")
+    return grown.groupBy("prefix").agg(
+        F.first("pattern").alias("pattern"), F.first("n").alias("n"), F.max(full & kind.isin(0, 1)).alias("open"), F.max(full & (kind == 2)).alias("pruned"),
+        F.collect_list(F.when((kind == 0) & (F.col("m") >= need), F.struct("slot", "m"))).alias("next"),
+    ).drop("prefix")
