@@ -8,7 +8,7 @@ pack again.
 from __future__ import annotations
 
 import base64
-import re
+import json
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -22,12 +22,10 @@ from statloom.llm.common import Stage
 
 #: Items of a partition, about.
 PARTITION = 20_000
-#: Rounds of exchange, at most.
+#: Rounds of exchange, at most; what they leave open shows in the certificate.
 ROUNDS = 3
 #: The split pattern of the byte-level vocabularies, a fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: Longer runs without a break are cut before they are encoded, as merging takes time that grows faster than a run.
-RUN = 20_000
 
 _encodings: dict[str, object] = {}
 
@@ -43,16 +41,8 @@ def encoding(path: str):
     return _encodings[path]
 
 
-_LONG = re.compile(r"\S{%d,}" % RUN)
-
-
 def count_tokens(text: str | None, path: str) -> int:
-    if not text:
-        return 0
-    e = encoding(path)
-    if len(text) < RUN or not _LONG.search(text):
-        return len(e.encode_ordinary(text))
-    return sum(len(e.encode_ordinary(text[k:k + RUN])) for k in range(0, len(text), RUN))
+    return len(encoding(path).encode_ordinary(text)) if text else 0
 
 
 def token_counts(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,26 +85,33 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, i
     return place, n
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Containers that any packing needs: the best of the volume and two families of dual feasible functions."""
-    s = np.sort(sizes[sizes > 0])
+def lower_bound(sizes: np.ndarray, capacity: int, n: np.ndarray | None = None) -> int:
+    """Containers that any packing needs: the best of the volume and two families of dual feasible functions.
+
+    With ``n``, so many items have each size.
+    """
+    if not len(sizes):
+        return 0
+    keep = sizes > 0
+    s, first = np.unique(sizes[keep], return_inverse=True)
+    n = np.bincount(first, weights=None if n is None else n[keep]).astype(np.int64)
     if not len(s):
-        return int(len(sizes) > 0)
-    best = -(-int(s.sum()) // capacity)
+        return 1
+    best = -(-int((s * n).sum()) // capacity)
     # over capacity - a counts whole, under a counts nothing
-    cuts = np.unique(s[s <= capacity // 2])
-    total = np.concatenate(([0], np.cumsum(s)))
+    cuts = s[s <= capacity // 2]
+    total, number = np.concatenate(([0], np.cumsum(s * n))), np.concatenate(([0], np.cumsum(n)))
     if len(cuts):
         low = np.searchsorted(s, cuts, side="left")
         high = np.searchsorted(s, capacity - cuts, side="right")
-        volume = total[high] - total[low] + (len(s) - high) * capacity
+        volume = total[high] - total[low] + (number[-1] - number[high]) * capacity
         best = max(best, int((-(-volume // capacity)).max()))
-    best = max(best, int((2 * s > capacity).sum()))
+    best = max(best, int(n[2 * s > capacity].sum()))
     # rounding by a factor k: x (k + 1) / C where that is whole, else its floor over k
     for k in range(1, 30):
         scaled = s * (k + 1)
         exact = scaled % capacity == 0
-        value = float((s[exact] / capacity).sum() + (scaled[~exact] // capacity).sum() / k)
+        value = float((s[exact] * n[exact]).sum() / capacity + (scaled[~exact] // capacity * n[~exact]).sum() / k)
         best = max(best, int(np.ceil(value - 1e-9)))
     return best
 
@@ -132,22 +129,24 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def pack(sizes: DataFrame, containers: DataFrame, doc: str = "doc_id", tokens: str = "tokens", rounds: int = ROUNDS, partition: int = PARTITION) -> DataFrame:
-    """(container_kind, container_id, doc_id, piece, tokens, capacity): the container of every text, for each kind of container.
+    """(container_kind, container_id, doc_id, piece, tokens, capacity, containers, bound): the container of every text, for each kind of container.
+
+    ``containers`` and ``bound`` are the certificate: so many containers hold the partition the text was packed in, and no packing of it needs
+    fewer than ``bound``.  Exchange ends when no kind gains by it, or after ``rounds``.
 
     A text over the capacity is cut into full pieces, which have containers of their own, and a rest, which is packed like a text (piece
     numbers from 0); all others are whole (piece 0).  Rows with a null id or repeated ids are texts of their own; a null or negative size
     counts as 0; texts of size 0 have a place too.  Kinds with a null or non-positive capacity are left out; a repeated kind counts once,
-    with its least capacity.  No texts, no rows.
+    with its least capacity; any number of kinds is packed.  No texts, no rows.
     """
     spark = sizes.sparkSession
     stage = Stage(spark, "packing")
     items = sizes.select(F.col(doc).cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0)).alias("tokens"))
     items = stage.cut(items.withColumn("r", F.monotonically_increasing_id()), "sizes")
     kinds = containers.filter("capacity_tokens > 0 and container_kind is not null").groupBy("container_kind").agg(F.min(F.col("capacity_tokens").cast("long")).alias("capacity"))
-    kinds = [(x["container_kind"], x["capacity"]) for x in kinds.orderBy("container_kind").limit(1001).collect()]
-    if len(kinds) > 1000:
-        raise ValueError("there are more than 1000 kinds of containers; pack them in parts")
-    kind = F.explode(F.array(*(F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("long").alias("capacity")) for k, c in kinds))).alias("k")
+    # the result has a row for every text and kind, so there are few kinds; one literal holds them
+    listed = json.dumps([{"container_kind": x["container_kind"], "capacity": x["capacity"]} for x in kinds.orderBy("container_kind").collect()])
+    kind = F.explode(F.from_json(F.lit(listed), "array<struct<container_kind:string,capacity:long>>")).alias("k")
     each = items.select("doc_id", "r", "tokens", kind).select("k.container_kind", "k.capacity", "doc_id", "r", "tokens")
     over = each.filter("tokens > capacity").select("*", F.floor(F.col("tokens") / F.col("capacity")).alias("whole"))
     full = over.select("container_kind", "capacity", "doc_id", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("piece"))
@@ -186,8 +185,30 @@ def pack(sizes: DataFrame, containers: DataFrame, doc: str = "doc_id", tokens: s
     rows = done[0]
     for more in done[1:]:
         rows = rows.unionByName(more)
-    # (turn, partition, container) in one number; the pieces that fill a container have numbers below zero
-    number = F.shiftleft(F.col("turn").cast("long"), 56) + F.shiftleft(F.col("part"), 24) + F.col("bin")
-    rows = rows.select("container_kind", number.alias("container_id"), "doc_id", "piece", "tokens", "capacity")
-    alone = full.select("container_kind", (-1 - (F.col("r") * F.lit(1 << 20) + F.col("piece"))).alias("container_id"), "doc_id", F.col("piece").cast("int").alias("piece"), F.col("capacity").alias("tokens"), "capacity")
-    return rows.unionByName(alone)
+    # names cannot overflow, whatever the numbers of partitions and pieces
+    name = F.concat_ws("-", "turn", "part", "bin").alias("container_id")
+    rows = rows.select("container_kind", name, "doc_id", "piece", "tokens", "capacity", F.col("bins").alias("containers"), F.col("least").alias("bound"))
+    name = F.concat_ws("-", F.lit("full"), "r", "piece").alias("container_id")
+    one = F.lit(1).cast("long")
+    return rows.unionByName(full.select("container_kind", name, "doc_id", "piece", F.col("capacity").alias("tokens"), "capacity", one.alias("containers"), one.alias("bound")))
+
+
+def fill(packed: DataFrame) -> DataFrame:
+    """(container_kind, capacity, n_containers, bound, gap, fill, fullest) of a packing.
+
+    ``bound``: containers that any packing of all texts of the kind needs, if full pieces are alone: by the dual feasible functions over the counts of
+    sizes (as many rows as there are sizes up to the capacity); ``gap``: containers over the bound; ``fill``: the share of their room that is used.
+    """
+    each = packed.groupBy("container_kind", "container_id", "capacity").agg(F.sum("tokens").alias("tokens"))
+    used = each.groupBy("container_kind", "capacity").agg(F.count(F.lit(1)).alias("n_containers"), F.max("tokens").alias("fullest"), F.sum("tokens").alias("tokens"))
+    counts = packed.groupBy("container_kind", "capacity", "tokens").agg(F.count(F.lit(1)).alias("n"))
+    schema = "container_kind string, bound long"
+
+    def bounded(pdf: pd.DataFrame) -> pd.DataFrame:
+        capacity = int(pdf["capacity"].iloc[0])
+        return pd.DataFrame({"container_kind": pdf["container_kind"].iloc[:1], "bound": [lower_bound(pdf["tokens"].to_numpy(np.int64), capacity, pdf["n"].to_numpy(np.int64))]})
+
+    bound = counts.groupBy("container_kind").applyInPandas(bounded, schema)
+    return used.join(bound, "container_kind").select(
+        "container_kind", "capacity", "n_containers", "bound", (F.col("n_containers") - F.col("bound")).alias("gap"), (F.col("tokens") / (F.col("n_containers") * F.col("capacity"))).alias("fill"), "fullest",
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm import leakage, mojibake, nearcopies, packing, quality, runs, secrets, sequences, stripes
-from statloom.llm.common import table
+from statloom.llm.common import Stage, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -122,12 +122,22 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Containers used by kind, the bound by volume, and the share of their room that is used."""
-    each = _packed(spark, d).groupBy("container_kind", "container_id", "capacity").agg(F.sum("tokens").alias("tokens"))
-    return each.groupBy("container_kind", "capacity").agg(
-        F.count(F.lit(1)).alias("n_containers"), F.ceil(F.sum("tokens") / F.first("capacity")).alias("volume_bound"), F.max("tokens").alias("fullest"),
-        (F.sum("tokens") / (F.count(F.lit(1)) * F.first("capacity"))).alias("fill"),
+    """Containers used by kind, their bound, the gap between them, and the share of their room that is used."""
+    return packing.fill(_packed(spark, d))
+
+
+def p7_valid(spark: SparkSession, d: str) -> DataFrame:
+    """By kind: texts packed, containers over their capacity, texts whose pieces do not add up, and texts cut though they fit."""
+    sizes = Stage(spark, "sizes").cut(packing.token_counts(table(spark, d, "documents"), RANKS), "tokens")
+    packed = packing.pack(sizes, table(spark, d, "containers"))
+    packed = Stage(spark, "packed").cut(packed, "rows")
+    kind = ["container_kind", "capacity"]
+    over = packed.groupBy(*kind, "container_id").agg(F.sum("tokens").alias("t")).groupBy(*kind).agg(F.count_if(F.col("t") > F.col("capacity")).alias("overfull"))
+    texts = packed.groupBy(*kind, "doc_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("pieces")).join(sizes, "doc_id", "left")
+    texts = texts.groupBy(*kind).agg(
+        F.count(F.lit(1)).alias("texts"), F.count_if(~F.col("t").eqNullSafe(F.col("tokens"))).alias("lost"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("cut"),
     )
+    return texts.join(over, kind).select("container_kind", "capacity", "texts", "overfull", "lost", "cut")
 
 
 _P2 = r"""
@@ -187,6 +197,9 @@ def oracle_sql() -> dict[str, str]:
     )
     return {
         "p5_found": _P5,
+        # what any right packing gives
+        "p7_valid": "SELECT container_kind, capacity, n AS texts, 0::BIGINT AS overfull, 0::BIGINT AS lost, 0::BIGINT AS cut FROM (SELECT container_kind, min(capacity_tokens) AS capacity FROM containers "
+        "WHERE capacity_tokens > 0 AND container_kind IS NOT NULL GROUP BY 1), (SELECT count(*) AS n FROM documents)",
         "p6_found": _P6,
         "p8_found": _P8,
         "p2_found": _P2 + "SELECT function_a, function_b FROM q WHERE n * n_baskets >= 5 * n_a * n_b",

@@ -274,20 +274,38 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), kinds).collect() == []
 
 
-@pytest.mark.skipif(not os.path.exists(RANKS), reason="needs the public rank file")
-def test_too_many_kinds_are_refused(spark):
-    sizes = spark.createDataFrame([(1, 5)], "doc_id long, tokens long")
-    with pytest.raises(ValueError):
-        packing.pack(sizes, spark.range(1001).selectExpr("cast(id as string) as container_kind", "id + 10 as capacity_tokens"))
+def test_many_kinds_and_distant_row_numbers(spark):
+    sizes = spark.createDataFrame([(1, 5), (2, 2500)], "doc_id long, tokens long")
+    rows = packing.pack(sizes, spark.range(1001).selectExpr("cast(id as string) as container_kind", "id + 10 as capacity_tokens")).collect()
+    assert len({r["container_kind"] for r in rows}) == 1001
+    # row numbers of a scan partition over 1,024
+    many = spark.range(0, 40, 1, 1100).selectExpr("id as doc_id", "id * 100 as tokens")
+    rows = packing.pack(many, spark.createDataFrame([("k", 70)], "container_kind string, capacity_tokens long")).collect()
+    assert sum(r["tokens"] for r in rows) == sum(range(40)) * 100 and len({r["container_id"] for r in rows if r["tokens"] == 70}) == sum(r["tokens"] == 70 for r in rows)
+
+
+def test_fill_and_certificate(spark):
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 60, 400)
+    df = spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "doc_id long, tokens long")
+    packed = packing.pack(df, spark.createDataFrame([("k", 100)], "container_kind string, capacity_tokens long"), partition=100)
+    r = packing.fill(packed).first()
+    assert r["bound"] == packing.lower_bound(sizes, 100) <= r["n_containers"] == r["bound"] + r["gap"] and r["fill"] == pytest.approx(sizes.sum() / 100 / r["n_containers"])
+    assert all(x["bound"] <= x["containers"] for x in packed.collect())
+    each, n = np.unique(sizes, return_counts=True)
+    assert packing.lower_bound(each, 100, n) == packing.lower_bound(sizes, 100)
 
 
+@pytest.mark.skipif(not os.path.exists(RANKS), reason="needs the public rank file")
 def test_token_counts(spark):
     text = "def f(x):\n    return x + 1  # é 次\n" * 50
     e = packing.encoding(RANKS)
     assert e.decode(e.encode_ordinary(text)) == text
-    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "a" * 100_000)], SCHEMA)
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "a" * 100_001), (5, text + "x7" * 30_000)], SCHEMA)
     got = {r[0]: r[1] for r in packing.token_counts(df, RANKS).collect()}
-    assert got[1] == len(e.encode_ordinary(text)) and got[2] == got[3] == 0 and got[4] > 0
+    assert got[1] == len(e.encode_ordinary(text)) and got[2] == got[3] == 0
+    # long runs are counted whole
+    assert got[4] == len(e.encode_ordinary("a" * 100_001)) and got[5] == len(e.encode_ordinary(text + "x7" * 30_000))
 
 
 # --- leakage
