@@ -15,9 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Layers that are undone at most.
-LAYERS = 4
-
 # (read as, intended).  Fixed values.
 _UTF8 = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1254", "iso8859_2", "iso8859_15", "koi8_r", "cp866", "cp852", "cp1253", "cp1257"]
 _PAIRS = [
@@ -89,6 +86,8 @@ def _kind(c: str) -> tuple[str, float]:
     return "s", 0.3
 
 
+#: What stands in no correct word: a capital with an accent after two small letters, a symbol or a Greek letter between the letters of a Latin word of four or more.
+_IMPOSSIBLE = re.compile("[a-z]{2}[\u00c0-\u00d6\u00d8-\u00de](?![A-Z])|(?=[^\x00-\x7f]?(?:[A-Za-z][^\x00-\x7f]?){4})[A-Za-z][A-Za-z]*[\u207f\u00b9\u00bc-\u00bf\u00a1-\u00a3\u00a5\u00a6\u00ac\u00af\u00b6\u00b8\u00a8\u00f7\u221a\u2248\u2261\u2264\u2265\u221e\u2229\u2320\u2321\u2500-\u259f\u20a7\u0192\u03b1\u03c0\u03c4\u03b4\u03c6\u03b5\u03c3\u0398\u03a3\u03a6\u03a9][a-z]")
 _CLITIC = re.compile("[A-Za-z][íÆÕ´](?:t|d|s|ll|re|ve|m)\\b")
 _WORD = re.compile(r"\S+")
 
@@ -96,13 +95,17 @@ _WORD = re.compile(r"\S+")
 @lru_cache(maxsize=65536)
 def _word_cost(w: str) -> float:
     kinds = [_kind(c) for c in w]
-    total = sum(k[1] for k in kinds)
+    total = sum(k[1] for k in kinds) + (1.0 if _IMPOSSIBLE.search(w) else 0.0)
     seq = "".join(k[0] for k in kinds)
+    # signs of comparison stand between short names
+    named = seq.count("a") < 4 and not set(seq) - set("ad.s")
     n = len(seq)
     letters = "aLlCcgjh"
     for i, k in enumerate(seq):
         left, right = seq[i - 1] if i else " ", seq[i + 1] if i + 1 < n else " "
         if k in "sb!":
+            if named and w[i] in "≤≥≠≈±×÷²³→←⇒∈":
+                continue
             # a symbol that touches letters does not stand in a word
             total += (1.5 if left in letters else 0.0) + (1.5 if right in letters and k != "s" or right in letters and left in letters else 0.0)
             if k == "b" and (left in "sql" or right in "sql"):
@@ -151,7 +154,8 @@ def cost(line: str, limit: float = 1e300) -> float:
     total = 0.0
     for w in _WORD.findall(line):
         if not w.isascii():
-            total += _word_cost(w) if len(w) < 200 else sum(_word_cost(w[k:k + 100]) for k in range(0, len(w), 100))
+            # only short words are kept for the next time
+            total += _word_cost(w) if len(w) < 200 else _word_cost.__wrapped__(w)
             if total > limit:
                 break
     return total
@@ -246,15 +250,18 @@ def _broken(line: str) -> bool:
 
 
 _KANA = re.compile("[\u3041-\u30ff]")
+#: A character of UTF-8 that was read byte by byte is two characters beyond ASCII at least.
+_ADJACENT = re.compile("[^\x00-\x7f]{2}")
 
 
 def repair_line(line: str) -> tuple[str, tuple[str, ...]]:
     """The restored line and the layers undone, outermost first; an untouched line has no layers."""
     layers: list[str] = []
     now = cost(line)
-    while len(layers) < LAYERS and not line.isascii() and now > 0:
+    # each layer lowers the cost, so this ends
+    while not line.isascii() and now > 0:
         best, way, least = None, "", now
-        for e in _UTF8:
+        for e in _UTF8 if _ADJACENT.search(line) else ():
             new = _utf8(line, e)
             if new is not None and new != line:
                 c = cost(new, least)
@@ -295,16 +302,16 @@ def _over_lines(lines: list[str]) -> tuple[str, str] | None:
     """The legacy pair that the costly words of all lines bear out together, though each line has too few of them; or none.
 
     Each different word counts once; at least two must become correct words.  One is enough where Cyrillic and Latin letters mix in a
-    word and no word of the text is Cyrillic.
+    word and no word of the text is Cyrillic, or where a word holds what stands in no correct word.
     """
-    words = {w for line in lines if not line.isascii() for w in _WORD.findall(line) if not w.isascii() and len(w) < 200}
+    words = {w for line in lines if not line.isascii() for w in _WORD.findall(line) if not w.isascii()}
     before = {w: c for w in words if (c := _word_cost(w)) >= max(0.8, 0.3 * _high(w))}
     if not before:
         return None
     cyrillic = any(_CYRILLIC_WORD.search(w) for w in words)
     best, most = None, 0.0
     for read, meant in _WESTERN_PAIRS:
-        gain, good, mixed = 0.0, 0, False
+        gain, good, mixed, sure = 0.0, 0, False, False
         for w, c in before.items():
             new = _pair(w, read, meant)
             if new is None or new == w:
@@ -312,9 +319,10 @@ def _over_lines(lines: list[str]) -> tuple[str, str] | None:
             after = _word_cost(new)
             if after <= 0.15 * _high(new) and any(x.isalpha() and x > "\x7f" for x in new):
                 gain, good, mixed = gain + c - after, good + 1, mixed or bool(_MIXED.search(w)) and not _MIXED.search(new)
+                sure = sure or bool(_IMPOSSIBLE.search(w)) and not _IMPOSSIBLE.search(new)
             else:
                 gain -= max(0.0, after - c)
-        if (good > 1 and gain >= 2.4 or mixed and not cyrillic and gain >= 0.8) and gain > most:
+        if (good > 1 and gain >= 2.4 or (mixed and not cyrillic or sure) and gain >= 0.8) and gain > most:
             best, most = (read, meant), gain
     return best
 
@@ -343,10 +351,15 @@ def repair(text: str) -> tuple[str, bool, bool, str]:
                 layers[w] = layers.get(w, 0) + 1
         elif not line.isascii():
             rest.append(i)
-        if "�" in new or _CONTROL.search(new) or not ways and not line.isascii() and _suspect(line) and _broken(line):
+        # what is still garbled after the last layer is not recovered
+        if "�" in new or _CONTROL.search(new) or not new.isascii() and _suspect(new) and _broken(new):
             garbled = lost = True
+    pairs = [p for p in _WESTERN_PAIRS if f"{p[0]}>{p[1]}" in layers]
     if pair := _over_lines([lines[i] for i in rest]):
         garbled = True
+        pairs.append(pair)
+    # what some lines bear out holds for the others
+    for pair in pairs:
         way = f"{pair[0]}>{pair[1]}"
         for i in rest:
             new = _pair(lines[i], *pair)

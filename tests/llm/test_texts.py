@@ -155,6 +155,27 @@ def test_evidence_over_lines():
         assert not mojibake.is_garbled(text)
 
 
+def test_one_short_line_is_enough():
+    for text, meant, read in (("author: Jürgen", "cp1252", "cp437"), ("un café", "cp1252", "mac_roman"), ("François", "cp1252", "cp437"), ("España", "cp1252", "cp437"), ("garçon", "cp1252", "cp1251")):
+        assert mojibake.is_garbled(text.encode(meant).decode(read)), text
+    for text in ("a≥b", "if x≤y then", "x²y", "α≤β", "5±2", "naïve", "sin φ", "µm", "co-opÉration"[:5]):
+        assert not mojibake.is_garbled(text), text
+
+
+@pytest.mark.parametrize("layers", [1, 3, 5, 7])
+def test_any_number_of_layers(layers):
+    text = garbled = SENTENCES[0]
+    for _ in range(layers):
+        garbled = garbled.encode().decode("latin-1")
+    assert mojibake.repair(garbled)[:3] == (text, True, True)
+
+
+def test_not_recovered_where_still_garbled():
+    line = "Ã© x â€ and Ã¼ Ã" + "Ã©" * 3 + "Ñ�"[:1]
+    new, garbled, recovered, _ = mojibake.repair(line)
+    assert garbled and (not recovered or not mojibake.is_garbled(new))
+
+
 def test_garbled_tables(spark):
     docs = [(1, "ok\n" + SENTENCES[0].encode().decode("cp1250", "replace")), (2, SENTENCES[1]), (3, "doesn�t"), (4, "ï»¿import x"), (5, None), (6, ""), (None, "Ã©Ã©"), (7, "plain"), (8, "x\n" + "né " * 10)]
     df = spark.createDataFrame(docs, SCHEMA).withColumn("layers", F.lit(1))
