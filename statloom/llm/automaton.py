@@ -1,8 +1,9 @@
 """A deterministic automaton over many small patterns, run over many overlapping chunks at once.
 
-Patterns are literals, classes ``[a-z_]``, groups ``(a|b)``, the marks ``? * +`` and ``^`` for the start of a line.  They are combined into one
+Patterns are literals, classes ``[a-z_]``, groups ``(a|b)``, the marks ``? * + {m} {m,}`` and ``^`` for the start of a line.  They are combined into one
 NFA with a restart at every character, made deterministic by subset construction, and stepped with numpy: one
-lane per chunk of the text, so a step costs one table look-up for thousands of chunks.
+lane per chunk of the text, so a step costs one table look-up for thousands of chunks.  Without restarts the automaton
+tells where the longest match from a place ends, and of which patterns.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ OVERLAP = 192
 
 
 class Automaton:
-    """Case-insensitive over ASCII; every other character is one class that no pattern but ``[^...]`` accepts."""
+    """Case-insensitive over ASCII unless ``cased``; every other character is one class that no pattern but ``[^...]`` accepts."""
 
-    def __init__(self, patterns: list[str]):
+    def __init__(self, patterns: list[str], restart: bool = True, cased: bool = False):
+        self._cased = cased
         self._next: list[list[tuple[frozenset[int], int]]] = []
         self._skip: list[list[int]] = []
         self._line: list[list[int]] = []
@@ -29,7 +31,7 @@ class Automaton:
                 raise ValueError(f"cannot read pattern {pattern!r} at {self._at}")
             self._final[b] = n
             roots.append(a)
-        self._build(roots)
+        self._build(roots, restart)
 
     # --- pattern to NFA
     def _state(self) -> int:
@@ -51,7 +53,10 @@ class Automaton:
     def _sequence(self) -> tuple[int, int]:
         first = last = self._state()
         while self._at < len(self._text) and self._text[self._at] not in "|)":
+            begin = self._at
             x, y = self._atom()
+            if self._text[self._at:self._at + 1] == "{":
+                x, y = self._repeated(begin, x, y)
             mark = self._text[self._at:self._at + 1]
             if mark and mark in "?*+":
                 self._at += 1
@@ -67,6 +72,21 @@ class Automaton:
             last = y
         return first, last
 
+    def _repeated(self, begin: int, x: int, y: int) -> tuple[int, int]:
+        """So many copies of an atom, with ``{m,}`` any number more of the last one."""
+        close = self._text.index("}", self._at)
+        least, more, _ = self._text[self._at + 1:close].partition(",")
+        last = x
+        for _ in range(int(least) - 1):
+            self._at = begin
+            last, end = self._atom()
+            self._skip[y].append(last)
+            y = end
+        if more:
+            self._skip[y].append(last)
+        self._at = close + 1
+        return x, y
+
     def _atom(self) -> tuple[int, int]:
         c = self._text[self._at]
         self._at += 1
@@ -93,14 +113,14 @@ class Automaton:
                     chars.add(ord(inner[i]))
                     i += 1
             if negate:
-                chars = set(range(129)) - chars - {10} - set(range(65, 91))
+                chars = set(range(129)) - chars - {10} - (set() if self._cased else set(range(65, 91)))
         else:
             if c == "\\":
                 c = self._text[self._at]
                 self._at += 1
             chars = {ord(c)}
         a, b = self._state(), self._state()
-        self._next[a].append((frozenset(ord(chr(x).lower()) if x < 128 else x for x in chars), b))
+        self._next[a].append((frozenset(ord(chr(x).lower()) if x < 128 and not self._cased else x for x in chars), b))
         return a, b
 
     # --- NFA to table
@@ -114,16 +134,17 @@ class Automaton:
                     todo.append(t)
         return frozenset(seen)
 
-    def _build(self, roots: list[int]) -> None:
+    def _build(self, roots: list[int], restart: bool) -> None:
         sets = {s for row in self._next for s, _ in row}
         kinds: dict[tuple, int] = {}
         of = np.zeros(256, np.int64)
         for c in range(129):
             key = (c == 10, tuple(c in s for s in sets))
             of[c] = kinds.setdefault(key, len(kinds))
-        of[65:91] = of[97:123]
+        if not self._cased:
+            of[65:91] = of[97:123]
         of[128:] = of[128]
-        sample = {k: next(c for c in range(129) if of[c] == k and not 65 <= c <= 90) for k in set(of.tolist())}
+        sample = {k: next(c for c in range(129) if of[c] == k and (self._cased or not 65 <= c <= 90)) for k in set(of.tolist())}
         near = [self._closure({s}) for s in range(len(self._next))]
         moves: list[dict[int, frozenset[int]]] = []
         for edges in self._next:
@@ -135,6 +156,9 @@ class Automaton:
             moves.append(by)
         start = frozenset().union(*(near[r] for r in roots))
         line = self._closure(set(roots), line=True)
+        if not restart:
+            self._without_restart(moves, self._closure(set(roots)), len(kinds), of)
+            return
         again = [start.union(*(moves[s].get(k, ()) for s in start)) for k in range(len(kinds))]
         ids, rows, todo = {start: 0}, [], [start]
         hits: list[frozenset[int]] = []
@@ -164,13 +188,47 @@ class Automaton:
         self.hits = [hits[s] for s in order]
         self.of = of.astype(np.uint8)
 
+    def _without_restart(self, moves: list[dict[int, frozenset[int]]], start: frozenset[int], n_kinds: int, of: np.ndarray) -> None:
+        """Rows of the table as lists; the state without a way on is -1."""
+        ids, todo, rows = {start: 0}, [start], []
+        for now in todo:
+            row = []
+            for k in range(n_kinds):
+                to = frozenset().union(*(moves[s].get(k, ()) for s in now))
+                if to and to not in ids:
+                    ids[to] = len(ids)
+                    todo.append(to)
+                row.append(ids[to] if to else -1)
+            rows.append(row)
+        self.rows, self.of = rows, of.astype(np.uint8)
+        self.accepts = [frozenset(self._final[s] for s in now if s in self._final) for now in todo]
+
+    def longest(self, data: np.ndarray, at: int) -> tuple[int, frozenset[int]]:
+        """(end, patterns) of the longest match that begins at a place; end -1 without one."""
+        state, end, found = 0, -1, frozenset()
+        rows, accepts, step = self.rows, self.accepts, 256
+        while at < len(data):
+            for k in self.of[data[at:at + step]].tolist():
+                state = rows[state][k]
+                if state < 0:
+                    return end, found
+                at += 1
+                if accepts[state]:
+                    end, found = at, accepts[state]
+            step = 16_384
+        return end, found
+
     def ends(self, data: np.ndarray) -> np.ndarray:
-        """Absolute positions (sorted, each once) at which a pattern ends.  ``data``: one byte per character, above 127 for non-ASCII.
+        """Absolute positions (sorted, each once) at which a pattern ends."""
+        return np.unique(self.hits_in(data)[0])
+
+    def hits_in(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(absolute position, state) of the places at which patterns end, by position, each pair once.  ``data``: one byte per character, above 127 for non-ASCII.
 
         Chunks overlap; a pattern that is longer than the overlap is found if the part of it inside a chunk matches.
         """
         if not len(data):
-            return np.empty(0, np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         lanes = -(-len(data) // CHUNK)
         padded = np.full(lanes * CHUNK + OVERLAP, 10, np.uint8)
         padded[OVERLAP:OVERLAP + len(data)] = data
@@ -182,5 +240,7 @@ class Automaton:
         for i in range(CHUNK + OVERLAP):
             state = self.table[state + view[i]]
             if int(state.max()) >= self.first_hit:
-                found.append(base[state >= self.first_hit] + i)
-        return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+                hit = np.flatnonzero(state >= self.first_hit)
+                found.append((base[hit] + i) * len(self.hits) + state[hit] // self.width)
+        both = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        return both // len(self.hits), both % len(self.hits)

@@ -1,7 +1,8 @@
 """Problem 3: credentials embedded in source code and configuration.
 
-One deterministic automaton over the token formats, key armour, connection strings and secret names finds where a
-credential may be; the grammar around each place decides and gives the exact span of the secret, into which a placeholder is spliced.
+Token formats, key armour and connection strings are one deterministic automaton: started where their first characters stand, it decides
+and gives the span, however long.  Those first characters and the names of secrets are a second one, which scans overlapping chunks of all
+texts; around a name, a grammar of assignments, calls and options decides.  Absolute spans are merged, and placeholders are spliced into them.
 """
 
 from __future__ import annotations
@@ -51,16 +52,33 @@ def _name_anchors(names: str) -> str:
     return re.sub(r"[^\x00-\x7f]", "[^a-z]", plain)
 
 
+# The first characters of the token formats, and how many they are.  Fixed values.
+_STARTS = {
+    "(akia|asia|agpa|aida|aroa)[0-9a-z][0-9a-z]": 6, "gh[pousr]_[a-z0-9]": 5, "github_pat_": 11, "glpat-": 6, "xox[abeoprs]-": 5, "[srp]k_(live|test)_": 8, "aiza[a-z0-9_-]": 5, "npm_[a-z0-9]": 5, "dop_v1_": 7, "hvs\\.": 4,
+    "sg\\.[a-z0-9_-]": 4, "shp(at|ca|pa|ss)_": 6, "pypi-": 5, "hf_[a-z0-9]": 4, "sk-[a-z0-9_-]": 4, "pat-": 4, "ya29\\.": 5, "eyj[a-z0-9_-]": 4,
+}
+# What tells key armour, an address with a login and a connection string, and the text that they begin with (an address: its scheme before).
+_FORMATS = {"-----begin [a-z0-9 ]*private key": "-----BEGIN", "://[^ /@\"'<>]*:[^ /@\"'<>]": "://", ";[ \t]*(password|pwd)[ \t]*=": ";"}
+_SCHEME = re.compile(r"(?i)\b[a-z][a-z0-9+.-]*\Z")
+
+
+@lru_cache(maxsize=1)
+def formats() -> Automaton:
+    """The automaton of whole credentials: the token formats, then armour, address and connection string."""
+    blank = " \t\r\x0b\x0c"
+    word = lambda w: "".join(f"[{c}{c.upper()}]" for c in w)
+    return Automaton([
+        *(t.replace("(?:", "(") for t in _TOKENS), "-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY( BLOCK)?-----", f"[A-Za-z][A-Za-z0-9+.-]*://[^{blank}/@:\"'`<>]*:[^{blank}/@\"'`<>]+@",
+        f";[{blank}]*({word('password')}|{word('pwd')})[{blank}]*=[{blank}]*[^;\"'<>{blank}]+",
+    ], restart=False, cased=True)
+
+
 _ANCHORS = [
     _name_anchors(_NAMES), "(x|api)-[a-z0-9_-]*(key|auth)", "basic[\"']?[ \t]*[, +]",
     "identified[ \t]+by", "(-u|--user)[ =]", "mysql", "mariadb", "sshpass", "sudo[ \t]+-s", "(login|connect|authenticate|sign_?in|logon)[ \t]*\\(", "log[io]n[ \t]+[^ ]",
-    # token formats
-    "(akia|asia|agpa|aida|aroa)[0-9a-z][0-9a-z]", "gh[pousr]_[a-z0-9]", "github_pat_", "glpat-", "xox[abeoprs]-", "[srp]k_(live|test)_", "aiza[a-z0-9_-]", "npm_[a-z0-9]", "dop_v1_", "hvs\\.",
-    "sg\\.[a-z0-9_-]", "shp(at|ca|pa|ss)_", "pypi-", "hf_[a-z0-9]", "sk-[a-z0-9_-]", "pat-[a-z0-9]", "ya29\\.", "eyj[a-z0-9_-]",
-    # key armour
-    "-----begin [a-z0-9 ]*private key",
-    # connection strings and signed addresses
-    "://[^ /@\"'<>]*:[^ /@\"'<>]", "[?&](sig|signature|token|access_token|auth|key|api_key|apikey|code|x-amz-signature|x-goog-signature)=",
+    *_STARTS, *_FORMATS,
+    # signed addresses
+    "[?&](sig|signature|token|access_token|auth|key|api_key|apikey|code|x-amz-signature|x-goog-signature)=",
 ]
 
 
@@ -83,7 +101,6 @@ _GRAMMAR = {
     "called": re.compile(rf"(?i)(?P<name>{_NAME})\s*\(\s*{_LITERAL}"),
     "word": re.compile(rf"(?i)(?P<name>{_NAME})\s+(?P<v>[^\s\"'`,;<>(){{}}\[\]=]+)"),
     "by": re.compile(rf"(?i)\b(?P<name>identified\s+by|password)\s+{_LITERAL}"),
-    "conn": re.compile(r"(?i);\s*(?P<name>password|pwd)\s*=\s*(?P<v>[^;\"'<>\s]+)"),
     "netrc": re.compile(r"(?i)\blogin\s+\S+\s+(?P<name>password)\s+(?P<v>\S+)"),
     "option": re.compile(rf"(?i)--(?P<name>{_WHOLE})[\"']?(?:\s+|=|,\s*(?:default\s*=\s*|help\s*=[^,]*,\s*default\s*=\s*)?)(?:{_LITERAL}|(?P<v2>[^\s\"'`,;<>(){{}}\[\]]+))"),
     "tagged": re.compile(rf"(?i)<(?:[\w:.-]+\s+)*(?:[\w:.-]*(?:name|key|id)\s*=\s*[\"'])?(?P<name>{_WHOLE})[\"']?[^<>]{{0,40}}?>(?P<v>[^<>]+)<"),
@@ -92,15 +109,12 @@ _GRAMMAR = {
     "reversed": re.compile(rf"(?i){_LITERAL}\s*->>?\s*(?P<name>{_WHOLE})\b"),
     "bearer": re.compile(r"(?i)\b(?P<name>bearer|basic)[\"']?\s*[, +]\s*[\"']?(?P<v>[A-Za-z0-9._~+/-]{8,}=*)"),
     "header": re.compile(rf"(?i)\b(?P<name>(?:x|api)-[\w-]*(?:key|auth|token|secret)|authorization)[\"']?\s*[:=]\s*[\"']?(?:(?:token|bearer|basic|apikey)\s+)?(?P<v>[A-Za-z0-9._~+/=-]{{8,}})"),
-    "address": re.compile(r"(?i)\b[a-z][a-z0-9+.-]*://(?P<u>[^\s/@:\"'`<>]*):(?P<v>[^\s/@\"'`<>]+)@"),
     "signed": re.compile(r"(?i)://[^\s\"'`<>]+?[?&](?P<name>sig|signature|token|access_token|auth|key|api_key|apikey|code|x-amz-signature|x-goog-signature)=(?P<v>[^\s\"'`<>&]{8,})"),
     "curl": re.compile(r"(?i)(?:\s-u|--user)[ =][\"']?(?P<u>[^\s:\"'$]+):(?P<v>[^\s\"']+)"),
     "client": re.compile(rf"(?i)\b(?:mysql\w*|mariadb\w*|sshpass)\b[^\n|;]*?\s-p\s?(?:{_LITERAL}|(?P<v2>[^\s\"']+))"),
     "sudo": re.compile(rf"(?i)\becho\s+(?:-n\s+)?(?:{_LITERAL}|(?P<v2>[^\s\"'|]+))\s*\|\s*sudo\s+-S"),
     "login": re.compile(rf"(?i)\b(?:login|connect|authenticate|sign_?in|logon)\s*\(\s*(?:[\"'][^\"']*[\"']\s*,\s*){{1,2}}{_LITERAL}\s*\)"),
     "slash": re.compile(r"(?i)\blog[io]n\s+\S+\s+/\s+(?P<v>\S+)"),
-    "token": re.compile(r"(?<![A-Za-z0-9_])(?P<v>" + "|".join(_TOKENS) + ")"),
-    "armour": re.compile(r"(?P<v>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)"),
 }
 _BACKWARDS = frozenset(["named", "bare", "spaced", "called", "word"])
 _MORE = re.compile(rf"\s*(?:\+|\.\.|\.|,|&|\|\||\\)?\s*[{_Q}](?P<v>[^{_Q}\n]*)[{_Q}]")
@@ -111,14 +125,13 @@ _OPEN_LITERALS = [
     re.compile(_GRAMMAR[k].pattern.partition(_LITERAL)[0] + _OPEN + ")" * (k in ("option", "client", "sudo")))
     for k in ("named", "spaced", "called", "by", "attribute", "pair", "login", "option", "client", "sudo")
 ]
-#: Values without quotes that run up to the end, and tokens of several parts.
+#: Values without quotes that run up to the end.
 _OPEN_VALUES = [
     re.compile(rf"(?i){_NAME}[\"'`\]]*(?:\s*(?:=>|=|:(?!:))\s*|\s*<-\s*|\s+)[^\s\"'`,;<>(){{}}\[\]]+\Z"), re.compile(rf"(?i)--{_WHOLE}[\"']?(?:\s+|=)[^\s\"'`,;<>(){{}}\[\]]+\Z"),
-    re.compile(r"(?i);\s*(?:password|pwd)\s*=\s*[^;\"'<>\s]+\Z"), re.compile(r"(?i)\blogin\s+\S+\s+(?:password\s+|/\s+)\S+\Z"), re.compile(r"(?i)\b(?:bearer|basic)[\"']?\s*[, +]\s*[\"']?[A-Za-z0-9._~+/=-]+\Z"),
+    re.compile(r"(?i)\blogin\s+\S+\s+(?:password\s+|/\s+)\S+\Z"), re.compile(r"(?i)\b(?:bearer|basic)[\"']?\s*[, +]\s*[\"']?[A-Za-z0-9._~+/=-]+\Z"),
     re.compile(r"(?i)\b(?:(?:x|api)-[\w-]*(?:key|auth|token|secret)|authorization)[\"']?\s*[:=]\s*[\"']?(?:(?:token|bearer|basic|apikey)\s+)?[A-Za-z0-9._~+/=-]+\Z"),
-    re.compile(r"://[^\s/@:\"'`<>]*:[^\s/@\"'`<>]+\Z"), re.compile(r"(?i)[?&](?:sig|signature|token|access_token|auth|key|api_key|apikey|code|x-amz-signature|x-goog-signature)=[^\s\"'`<>&]+\Z"),
+    re.compile(r"(?i)[?&](?:sig|signature|token|access_token|auth|key|api_key|apikey|code|x-amz-signature|x-goog-signature)=[^\s\"'`<>&]+\Z"),
     re.compile(r"(?i)(?:\s-u|--user)[ =][\"']?[^\s:\"'$]+:[^\s\"']+\Z"), re.compile(r"(?i)\b(?:mysql\w*|mariadb\w*|sshpass)\b[^\n|;]*?\s-p\s?[^\s\"']+\Z"),
-    re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join([*_TOKENS[:-1], r"SG\.[A-Za-z0-9_.-]*", r"eyJ[A-Za-z0-9_.-]*"]) + r")\Z"),
 ]
 _OPEN_TAG = re.compile(rf"(?i)<(?:[\w:.-]+\s+)*(?:[\w:.-]*(?:name|key|id)\s*=\s*[\"'])?{_WHOLE}[\"']?[^<>]{{0,40}}?>[^<>]*\Z")
 _RUN = re.compile(r"[^\s\"'`<>]*")
@@ -258,7 +271,43 @@ def _bare_real(value: str, rest: str, name: str) -> bool:
     return bool(re.search(r"\d{4,}$", v))
 
 
-def spans_in(text: str, whole: str, offset: int) -> list[tuple[int, int, int]]:
+def _login(v: str) -> bool:
+    return _real(v, "password", loose=True) and v.lower() not in ("pass", "password", "passwd", "pwd", "secret")
+
+
+def _settled(text: str, data: np.ndarray, p: int, anchor: str) -> tuple[int, int, int] | None:
+    """(begin of the credential, start, end of the secret) of the format whose first characters end at a place, if the automaton accepts it."""
+    if anchor in _STARTS:
+        at = p + 1 - _STARTS[anchor]
+        if at and re.match("[A-Za-z0-9_]", text[at - 1]):
+            return None
+    else:
+        at = text.rfind(_FORMATS[anchor], 0, p + 1)
+        if anchor.startswith("://"):
+            scheme = _SCHEME.search(text, max(0, at - 60), at)
+            at = scheme.start() if scheme else -1
+        if at < 0:
+            return None
+    end, found = formats().longest(data, at)
+    if end < 0:
+        return None
+    kind = min(found) - len(_TOKENS)
+    if kind < 0:
+        return None if re.search(r"x{8,}|X{8,}|0{10,}|EXAMPLE", text[at:end]) else (at, at, end)
+    if kind == 0:
+        longest = max((len(x) for x in re.findall(r"[A-Za-z0-9+/=]+", text[end:end + 400].replace("\\n", "\n").replace("\\r", ""))), default=0)
+        return (at, end, _key_end(text, end)) if longest >= 24 else None
+    if kind == 1:
+        user = text.index("://", at) + 3
+        start = text.index(":", user) + 1
+        v = text[start:end - 1]
+        return (start, start, end - 1) if _login(v) and not (re.match(r"^\d{2,5}$", v) and start == user + 1) else None
+    start = text.index("=", at) + 1
+    start += len(text[start:end]) - len(text[start:end].lstrip())
+    return (start, start, end) if _real(text[start:end], text[at + 1:start - 1].strip(" \t=")) else None
+
+
+def spans_in(text: str) -> list[tuple[int, int, int]]:
     """(begin of the credential, start, end of the secret) in a piece of a line, relative to the piece."""
     out = []
     for kind, pattern in _GRAMMAR.items():
@@ -292,7 +341,7 @@ def spans_in(text: str, whole: str, offset: int) -> list[tuple[int, int, int]]:
             elif kind in ("client", "sudo", "login", "slash"):
                 if not _real(v, "password") or kind == "login" and not re.search(r"\d|[^\w\s]", v) and len(v.split()) < 3 or re.match(r"^[\w.+-]+://", v) or re.fullmatch(r"[\w-]+(?:\.[\w-]+)+", v) and kind == "login":
                     continue
-            elif kind in ("reversed", "conn", "netrc"):
+            elif kind in ("reversed", "netrc"):
                 if not _real(v, name):
                     continue
             elif kind == "bare":
@@ -322,23 +371,12 @@ def spans_in(text: str, whole: str, offset: int) -> list[tuple[int, int, int]]:
                     continue
                 if kind == "header" and v.lower().startswith(("bearer", "basic")):
                     continue
-            elif kind in ("address", "curl"):
-                if not _real(v, "password", loose=True) or v.lower() in ("pass", "password", "passwd", "pwd", "secret") or re.match(r"^\d{2,5}$", v) and kind == "address" and not d.get("u"):
+            elif kind == "curl":
+                if not _login(v):
                     continue
             elif kind == "signed":
                 if not _real(v, "") or not re.search(r"\d", v) and v.islower():
                     continue
-            elif kind == "token":
-                if re.search(r"x{8,}|X{8,}|0{10,}|EXAMPLE", v):
-                    continue
-            elif kind == "armour":
-                body = whole[offset + m.end():offset + m.end() + 400]
-                longest = max((len(x) for x in re.findall(r"[A-Za-z0-9+/=]+", body.replace("\\n", "\n").replace("\\r", ""))), default=0)
-                if longest < 24:
-                    continue
-                start, end = m.end(), _key_end(whole, offset + m.end()) - offset
-                out.append((m.start(), start, end))
-                continue
             out.append((start, start, end))
     return out
 
@@ -347,7 +385,8 @@ def find_in(texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """For each text the (begin, start, end) of its secrets: absolute, sorted, without overlap."""
     joined = "\n".join(texts)
     data = np.frombuffer(joined.encode("ascii", "replace") if joined.isascii() else _bytes(joined), np.uint8)
-    ends = automaton().ends(data)
+    scan = automaton()
+    ends, states = scan.hits_in(data)
     starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]]) if texts else np.empty(0, np.int64)
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if not len(ends):
@@ -358,7 +397,16 @@ def find_in(texts: list[str]) -> list[list[tuple[int, int, int]]]:
         found: set[tuple[int, int, int]] = set()
         seen_to = -1
         end, line = -1, None
-        for p in (ends[doc == n] - base).tolist():
+        own = data[base:base + len(text)]
+        before = -1
+        for p, state in zip((ends[doc == n] - base).tolist(), states[doc == n].tolist()):
+            for anchor in scan.hits[state]:
+                if _ANCHORS[anchor] in _STARTS or _ANCHORS[anchor] in _FORMATS:
+                    if (span := _settled(text, own, p, _ANCHORS[anchor])) is not None and span[2] > span[1]:
+                        found.add(span)
+            if p == before:
+                continue
+            before = p
             if p > end:
                 begin = text.rfind("\n", 0, p) + 1
                 end = text.find("\n", p)
@@ -377,7 +425,7 @@ def find_in(texts: list[str]) -> list[list[tuple[int, int, int]]]:
                 if p <= seen_to:
                     continue
                 seen_to = end
-            for b, s, e in spans_in(text[lo:hi], text, lo):
+            for b, s, e in spans_in(text[lo:hi]):
                 if e > s:
                     found.add((b + lo, s + lo, e + lo))
         merged: list[tuple[int, int, int]] = []
@@ -391,9 +439,12 @@ def find_in(texts: list[str]) -> list[list[tuple[int, int, int]]]:
 
 
 def _bytes(text: str) -> bytes:
-    """One byte per character; all that is not ASCII becomes 200."""
+    """One byte per character; all that is not ASCII becomes 200, or a blank if it is one."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(points < 128, points, 200).astype(np.uint8).tobytes()
+    return np.where(points < 128, points, np.where(np.isin(points, _BLANKS), 32, 200)).astype(np.uint8).tobytes()
+
+
+_BLANKS = np.array([c for c in range(128, 0x3001) if chr(c).isspace()], np.uint32)
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:

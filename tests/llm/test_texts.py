@@ -84,6 +84,48 @@ def test_short_line_after_a_long_line(gap):
     assert [text[s:e] for _, s, e in secrets.find_in([text])[0]] == ["k3Xq91ab", "Zq81kk2b"]
 
 
+def test_longest_matches_against_regular_expressions():
+    a = automaton.Automaton(["ab{3}c", "x[0-9]{2,}(y|zz)", "[A-C][^ ,]*!"], restart=False, cased=True)
+    expressions = ["ab{3}c", "x[0-9]{2,}(?:y|zz)", "[A-C][^ ,\n]*!"]
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcxyz01AB! ,\n") for _ in range(3000)) + "abbbc x1234zz ABab!cd!e"
+    data = np.frombuffer(text.encode(), np.uint8)
+    hits = 0
+    for s in range(len(text)):
+        end, found = a.longest(data, s)
+        want = {n: max((e for e in range(s + 1, min(len(text), s + 80) + 1) if re.compile(r).fullmatch(text, s, e)), default=-1) for n, r in enumerate(expressions)}
+        assert end == max(want.values()) and found == {n for n, e in want.items() if e == end > 0}
+        hits += end > 0
+    assert hits > 20
+
+
+def test_every_token_format_is_settled_by_the_automaton():
+    from re import _parser
+
+    def shortest(tree):
+        out = ""
+        for op, arg in tree:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(arg)
+            elif op == "IN":
+                out += "A" if any(str(o) == "RANGE" and a[0] == 65 for o, a in arg) else chr(next(a if str(o) == "LITERAL" else a[0] for o, a in arg))
+            elif op == "MAX_REPEAT":
+                out += shortest(arg[2]) * arg[0]
+            elif op == "SUBPATTERN":
+                out += shortest(arg[3])
+            else:
+                out += shortest(arg[1][0])
+        return out
+
+    for t in secrets._TOKENS:
+        token = shortest(_parser.parse(t))
+        assert re.fullmatch(t, token)
+        for line in (token, f"x={token};", "y" * 4000 + f" {token} " + "z" * 4000):
+            assert [line[s:e] for _, s, e in secrets.find_in([line])[0]] == [token], token
+        assert secrets.find_in(["a" + token]) == [[]]
+
+
 def _letters(n, seed=0, of="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
     return "".join(random.Random(seed).choices(of, k=n))
 
