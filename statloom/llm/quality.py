@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,12 +41,8 @@ for _n, _words in enumerate(COMMON.values()):
         _OF.setdefault(_w, []).append(_n)
 _CJK_COMMON = set("的了不是在个这有和就都上也到说要去会着没看好自己那能之与及并已开始每次の は を が に で と も た し て い る な から まで だけ".replace(" ", ""))
 
-_WORD = re.compile(r"[぀-ヿ一-鿿]|[^\W\d_]+(?:['’][^\W\d_]+)*")
-_PIECE = re.compile(r"\S+")
-_ODD = re.compile(r"[_{}()\[\]<>=|\\/$@*&^~`+%;#]|\w\.\w|\w:\w|\d|[a-z][A-Z]|[=:]$")
 _CODE = frozenset("{}()[]<>=;|\\/$#@*&^~`+_%")
 _END = ".!?:;,…。！？，；：)\"”’»"
-_STOP = re.compile(r"[.!?…](?=\s|$|[\"')»”’])|[。！？]")
 _START = re.compile(r"[.!?…][\"')»”’]*\s+[\"'“«(]*([^\W\d_])")
 _ITEM = re.compile(r"(?:[-*+•o]|\[[ xX]?\]|\(?\d{1,3}[.)]|[a-z][.)])\s")
 _COMMENT = re.compile(r"(?:#(?!#*\s\S+\s*$)|//|--|\*|%|;|/\*|<!--|\"\"\"|')\s*\S")
@@ -57,66 +54,167 @@ _RUNNING = [6, 8, 8, 8, 8, 12, 14, 10, 8, 8, 8]
 STATISTICS = ["log_words", "mean_word_length", "symbol_ratio", "line_end_punctuation", "common_words", "digit_ratio", "code_ratio", "odd_pieces", "log_words_per_line", "repeated_lines", "prose_lines", "log_words_per_stop", "small_starts"]
 
 
-def describe(text: str | None) -> tuple[np.ndarray, int, int]:
-    """(statistics, word count, language number) of a text; all zero for a null, empty or blank one."""
-    out = np.zeros(len(STATISTICS))
-    text = text or ""
-    lines = [x for x in map(str.strip, text.split("\n")) if x]
-    if not lines:
-        return out, 0, 0
-    hits = [0] * len(_LANGUAGES)
-    n = common = cjk = letters = 0
-    per_line = []
-    for line in lines:
-        ws = _WORD.findall(line)
-        size = sum(map(len, ws))
-        c = 0
-        for w in ws:
-            of = _OF.get(w.lower())
-            if of is not None:
-                c += 1
-                for k in of:
-                    hits[k] += 1
-            elif w in _CJK_COMMON:
-                c += 1
-        if line > "\u2e80" or not line.isascii():
-            cjk += sum(1 for w in ws if len(w) == 1 and w >= "\u3040")
-        n += len(ws)
-        common += c
-        letters += size
-        per_line.append((len(ws), c, size))
-    lang = int(np.argmax(hits)) if n else 0
-    if cjk * 2 > n:
-        lang = len(_LANGUAGES) - 1
-    pieces = _PIECE.findall(text)
-    dense = sum(map(len, pieces)) or 1
-    digits = sum(map(text.count, "0123456789"))
-    code = sum(map(text.count, _CODE))
-    odd = sum(1 for p in pieces if p[-1] < "\u2e80" and p[0] < "\u2e80" and _ODD.search(p.rstrip(".,;:!?)\"'").lstrip("(\"'")))
-    ended = prose = total = 0
-    item = [bool(_ITEM.match(x)) for x in lines] + [True]
-    for k, line in enumerate(lines):
-        size = len(line)
-        total += size
-        ended += line[-1] in _END
-        # an item that ends with its line, a comment, or a line of a few words is no running text
-        if size < 12 or item[k] and item[k + 1] and size < 90 or _COMMENT.match(line):
-            continue
-        count, c, own = per_line[k]
-        if count < 4 or c * _RUNNING[lang] < count:
-            continue
-        if sum(map(line.count, _CODE)) * 16 <= size and own * 10 >= 6 * len(line.replace(" ", "")):
-            prose += size
-    starts = [lines[0].lstrip("#*-> \"'“«(")[:1], *_START.findall(text)]
-    small = sum(map(str.islower, starts)) / (len(starts) + 0.5)
-    stops = len(_STOP.findall(text))
-    # fences and brackets may recur
-    long = [x for x in lines if len(x) >= 12]
-    repeated = (len(long) - len(set(long))) / len(lines)
-    out[:] = (
-        np.log1p(n), letters / n if n else 0.0, max(0, dense - letters - digits) / dense, ended / len(lines), common / n if n else 0.0, digits / dense, code / dense, odd / len(pieces),
-        np.log1p(n / len(lines)), repeated, prose / total, np.log1p(n / (stops + 0.5)), small,
-    )
+# Marks of characters, as bits.
+_LETTER, _SIGN, _WORDY, _DIGIT, _BLANK, _ASCII_DIGIT, _CODED, _STRANGE, _TRAILING, _LEADING, _ENDING, _STOPPING, _EAST_STOP, _CLOSING, _LOWER, _UPPER = (1 << k for k in range(16))
+#: Characters beyond are letters of rare scripts.
+_PLANES = 0x20000
+#: Characters and texts that are measured together; a longer text is taken whole.
+GROUP, GROUP_TEXTS = 1_000_000, 4_000
+#: Longest common word.
+_LONGEST = 24
+
+
+@lru_cache(maxsize=1)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """(marks, lower-case form) of every character."""
+    marks, lower = np.zeros(_PLANES, np.int32), np.arange(_PLANES, dtype=np.uint64)
+    for o in range(_PLANES):
+        c = chr(o)
+        if c.isalnum():
+            marks[o] |= _WORDY | (_DIGIT if c.isdecimal() else _LETTER)
+            if len(low := c.lower()) == 1:
+                lower[o] = ord(low)
+        elif c.isspace():
+            marks[o] |= _BLANK
+    for chars, mark in (
+        ("_", _WORDY), ("0123456789", _ASCII_DIGIT), (_CODE, _CODED), ("_{}[]<>=|\\/$@*&^~`+%#", _STRANGE), (".,;:!?)\"'", _TRAILING), ("(\"'", _LEADING), (_END, _ENDING),
+        (".!?…", _STOPPING), ("。！？", _EAST_STOP), ("\"')»”’", _CLOSING), ("abcdefghijklmnopqrstuvwxyz", _LOWER), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", _UPPER),
+    ):
+        marks[[ord(c) for c in chars]] |= mark
+    marks[0x3040:0x3100] |= _SIGN
+    marks[0x4E00:0xA000] |= _SIGN
+    marks[-1] = _LETTER | _WORDY
+    return marks, lower
+
+
+_POWERS = np.random.default_rng(9).integers(1, 2**63, _LONGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@lru_cache(maxsize=1)
+def _common_words() -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, by hash one column per language) of the common words; those of Chinese and Japanese have no column."""
+    words = [*_OF, *(w for w in sorted(_CJK_COMMON) if w not in _OF)]
+    h = np.array([sum(ord(c) * int(p) for c, p in zip(w, _POWERS)) % 2**64 for w in words], np.uint64)
+    order = np.argsort(h)
+    languages = np.zeros((len(words), len(_LANGUAGES)), np.int64)
+    for n, w in enumerate(words):
+        languages[n, _OF.get(w, [])] = 1
+    return h[order], languages[order]
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """What the character before has."""
+    return np.concatenate(([False], x[:-1]))
+
+
+def _following(x: np.ndarray) -> np.ndarray:
+    return np.concatenate((x[1:], [False]))
+
+
+def _measure(docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(statistics, word count, language number) of texts, each given by its lines without blanks around; one line at least."""
+    marks_of, lower_of = _characters()
+    lines = [x for d in docs for x in d]
+    cp = np.frombuffer(("\n".join(lines) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    marks = marks_of[np.minimum(cp, _PLANES - 1)]
+    has = lambda m: (marks & m) != 0
+    new_line = cp == 10
+    line_end = np.flatnonzero(new_line)
+    line_first = np.concatenate(([0], line_end[:-1] + 1))
+    line_of = np.cumsum(new_line, dtype=np.int32) - new_line
+    n_lines = np.array([len(d) for d in docs])
+    doc_first = np.cumsum(n_lines) - n_lines
+    doc_of = np.repeat(np.arange(len(docs)), n_lines)
+    per_line = lambda x: np.add.reduceat(x, line_first, dtype=np.int64)
+    per_doc = lambda x: np.add.reduceat(x, doc_first, dtype=np.int64)
+
+    # words: runs of letters, also over an apostrophe; Chinese and Japanese signs are words of their own unless a word of letters runs into them
+    letter = has(_LETTER)
+    inside = letter | ((cp == 39) | (cp == 0x2019)) & _shifted(letter) & _following(letter)
+    plain = np.cumsum(letter & ~has(_SIGN), dtype=np.int32)
+    run = inside & (plain > np.maximum.accumulate(np.where(inside, 0, plain)))
+    single = letter & ~run
+    begins = run & ~_shifted(run) | single
+    counts, owns = per_line(begins), per_line(run | single)
+    at = np.flatnonzero(run | single)
+    first = np.flatnonzero(begins[at])
+    length = np.diff(np.append(first, len(at)))
+    offset = np.arange(len(at)) - np.repeat(first, length)
+    lang_hits, n_cjk = np.zeros((len(docs), len(_LANGUAGES)), np.int64), np.zeros(len(docs), np.int64)
+    commons = np.zeros(len(lines), np.int64)
+    if len(first):
+        own = cp[at]
+        low = np.where(own < _PLANES, lower_of[np.minimum(own, _PLANES - 1)], own)
+        h = np.add.reduceat(np.where(offset < _LONGEST, low * _POWERS[np.minimum(offset, _LONGEST - 1)], np.uint64(0)), first)
+        known, languages = _common_words()
+        k = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        common = (known[k] == h) & (length <= _LONGEST)
+        word_line = line_of[at[first]]
+        commons = np.bincount(word_line[common], minlength=len(lines))
+        by_word = np.bincount(doc_of[word_line[common]] * len(known) + k[common], minlength=len(docs) * len(known)).reshape(len(docs), -1)
+        lang_hits = by_word @ languages
+        n_cjk = np.bincount(doc_of[word_line[(length == 1) & (own[first] >= 0x3040)]], minlength=len(docs))
+    n, common, letters = per_doc(counts), per_doc(commons), per_doc(owns)
+    lang = np.where(n > 0, np.argmax(lang_hits, axis=1), 0)
+    lang = np.where(n_cjk * 2 > n, len(_LANGUAGES) - 1, lang)
+
+    # pieces between blanks, without marks around them
+    solid = ~has(_BLANK)
+    piece_begins = solid & ~_shifted(solid)
+    begin, end = np.flatnonzero(piece_begins), np.flatnonzero(solid & ~_following(solid))
+    piece_of = np.cumsum(piece_begins, dtype=np.int32) - 1
+    wordy = has(_WORDY)
+    odd = np.zeros(len(begin), bool)
+    odd[piece_of[has(_STRANGE | _DIGIT) | ((cp == 46) | (cp == 58)) & _shifted(wordy) & _following(wordy) | has(_UPPER) & _shifted(has(_LOWER))]] = True
+    here = np.arange(len(cp), dtype=np.int32)
+    weak = np.flatnonzero((cp == 41) | (cp == 59))
+    odd[piece_of[weak[weak < np.maximum.reduceat(np.where(solid & ~has(_TRAILING), here, -1), begin)[piece_of[weak]]]]] = True
+    weak = np.flatnonzero(cp == 40)
+    odd[piece_of[weak[weak > np.minimum.reduceat(np.where(solid & ~has(_LEADING), here, len(cp)), begin)[piece_of[weak]]]]] = True
+    odd &= (cp[begin] < 0x2E80) & (cp[end] < 0x2E80)
+    piece_doc = doc_of[line_of[begin]]
+    pieces, n_odd = np.bincount(piece_doc, minlength=len(docs)), np.bincount(piece_doc[odd], minlength=len(docs))
+
+    codes = per_line(has(_CODED))
+    dense, digits, code = per_doc(per_line(solid)), per_doc(per_line(has(_ASCII_DIGIT))), per_doc(codes)
+    ended = per_doc((marks[line_end - 1] & _ENDING) != 0)
+    stops = per_doc(per_line(has(_STOPPING) & _following(has(_BLANK | _CLOSING)) | has(_EAST_STOP)))
+    # an item that ends with its line, a comment, or a line of a few words is no running text
+    sizes = line_end - line_first
+    spaces = per_line(cp == 32)
+    running = (sizes >= 12) & (counts >= 4) & (commons * np.array(_RUNNING)[lang[doc_of]] >= counts) & (codes * 16 <= sizes) & (owns * 10 >= 6 * (sizes - spaces))
+    for k in np.flatnonzero(running).tolist():
+        line = lines[k]
+        last = k + 1 == len(lines) or doc_of[k + 1] != doc_of[k]
+        running[k] = not (len(line) < 90 and _ITEM.match(line) and (last or _ITEM.match(lines[k + 1]))) and not _COMMENT.match(line)
+    prose = per_doc(np.where(running, sizes, 0))
+    small, repeated = np.empty(len(docs)), np.empty(len(docs))
+    for k, d in enumerate(docs):
+        starts = [d[0].lstrip("#*-> \"'“«(")[:1], *_START.findall("\n".join(d))]
+        small[k] = sum(map(str.islower, starts)) / (len(starts) + 0.5)
+        repeated[k] = 1 - len(set(d)) / len(d)
+    some = np.maximum(n, 1)
+    return np.column_stack([
+        np.log1p(n), letters / some, np.maximum(0, dense - letters - digits) / dense, ended / n_lines, common / some, digits / dense, code / dense, n_odd / pieces,
+        np.log1p(n / n_lines), repeated, prose / per_doc(sizes), np.log1p(n / (stops + 0.5)), small,
+    ]), n, lang
+
+
+def describe(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(statistics, word count, language number) of texts; all zero for a null, empty or blank one."""
+    out, n, lang = np.zeros((len(texts), len(STATISTICS))), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    rows: list[int] = []
+    docs: list[list[str]] = []
+    size = 0
+    for k, t in enumerate(texts):
+        lines = [x for x in map(str.strip, t.split("\n")) if x] if t else []
+        if lines:
+            rows.append(k)
+            docs.append(lines)
+            size += len(t)  # type: ignore[arg-type]
+        if docs and (size >= GROUP or len(docs) >= GROUP_TEXTS or k + 1 == len(texts)):
+            out[rows], n[rows], lang[rows] = _measure(docs)
+            rows, docs, size = [], [], 0
     return out, n, lang
 
 
@@ -199,8 +297,7 @@ class Prose:
 
 def _matrix(texts: list, readable: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The statistics of texts; with ``readable``, of what garbled texts were before they were decoded wrongly."""
-    rows = [describe(repair(t)[0].replace("\ufffd", "e") if readable and t and not t.isascii() else t) for t in texts]
-    return np.array([r[0] for r in rows]).reshape(len(rows), len(STATISTICS)), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+    return describe([repair(t)[0].replace("\ufffd", "e") if t and not t.isascii() else t for t in texts] if readable else texts)
 
 
 def _measured(batches: Iterator[pa.RecordBatch], readable: bool = False) -> Iterator[pa.RecordBatch]:
