@@ -97,8 +97,15 @@ def test_stripes_against_counts(spark):
         single.update(s)
         pairs.update(combinations(sorted(s), 2))
     want = {(a, b, n, single[a], single[b], len(baskets)) for (a, b), n in pairs.items() if n >= 5 and n >= 0.01 * len(baskets)}
-    got = stripes.cooccurrence(df, ["file_id", "command_index"], item, 5, 0.01).collect()
-    assert {tuple(r)[:6] for r in got} == want
+    got = stripes.cooccurrence(df, ["file_id", "command_index"], item, 5, 0.01, 0.0).collect()
+    assert {tuple(r)[:6] for r in got} == want and len(got) == len(want)
+    some = stripes.cooccurrence(df, ["file_id", "command_index"], item, 5, 0.01, 2.0).collect()
+    assert {tuple(r) for r in some} == {tuple(r) for r in got if r["llr"] >= 2.0 and r["ratio"] > 1} and 0 < len(some) < len(got)
+    # stripes of hot items in parts, handed on often
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(stripes, "PART_BASKETS", 20)
+        m.setattr(stripes, "STRIPE_ENTRIES", 7)
+        assert {tuple(r) for r in stripes.cooccurrence(df, ["file_id", "command_index"], item, 5, 0.01, 0.0).collect()} == {tuple(r) for r in got}
     r = max(got, key=lambda r: r["llr"])
     k = np.array([[r["n"], r["n_a"] - r["n"]], [r["n_b"] - r["n"], r["n_baskets"] - r["n_a"] - r["n_b"] + r["n"]]], float)
     e = k.sum(1, keepdims=True) * k.sum(0, keepdims=True) / k.sum()
@@ -121,16 +128,20 @@ def test_all_pairs_come_out(spark, tmp_path):
     assert min(want.values()) < 5 and got == want
 
 
-def test_stripes_are_handed_on_when_full(spark, monkeypatch):
+def test_stripes_are_handed_on_when_full(monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(stripes, "STRIPE_ENTRIES", 3)
+    basket = pa.array([[{"item": x, "parts": 2} for x in "abcd"]] * 3)
+    rows = [(a, p, b, n) for batch in stripes._stripes(iter([pa.RecordBatch.from_arrays([basket], ["b"])])) for a, p, bs, ns in zip(*(batch.column(c).to_pylist() for c in range(4))) for b, n in zip(bs, ns)]
     out = Counter()
-    for batch in stripes._stripes(iter([pa.RecordBatch.from_arrays([pa.array([["a", "b", "c", "d"]] * 3)], ["b"])])):
-        for item, stripe in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for b, n in stripe:
-                out[item, b] += n
-    assert out == {p: 3 for p in combinations("abcd", 2)}
+    for a, _, b, n in rows:
+        out[a, b] += n
+    assert out == {p: 3 for p in combinations("abcd", 2)} and len({(a, b, p) for a, p, b, _ in rows}) == len(out)
+    rows.sort()
+    batches = [stripes._rows([(a, p, {b: n})]) for a, p, b, n in rows]
+    got = [(x["item_a"], x["item_b"], x["n"]) for batch in stripes._merged(iter(batches)) for x in batch.to_pylist()]
+    assert sorted(got) == [(*p, 3) for p in combinations("abcd", 2)]
 
 
 def _contains(s, p):
