@@ -21,8 +21,8 @@ from statloom.llm.common import Stage
 PHRASE = 13
 #: Words of a shard; a longer document is a shard of its own.
 SHARD_WORDS = 2_000_000
-#: Words that all evaluation items together may have; they are held by the driver and every task.
-MAX_ITEM_WORDS = 5_000_000
+#: Characters that all evaluation items together may have; they are held by the driver and every task.
+MAX_ITEM_CHARACTERS = 10_000_000
 #: Proximity: so many of the rarest terms of an item within so many words.
 RAREST, NEEDED, TILE = 8, 6, 64
 
@@ -207,9 +207,12 @@ def _frequencies(terms: np.ndarray):
     return run
 
 
-def rarest(index: DataFrame, items: list[tuple[int, bytes]]) -> list[tuple[int, bytes, int]]:
-    """(item, its RAREST terms, how many of them are needed), by the documents of the whole index that hold a term; terms that none holds are left out."""
-    each = [(i, np.unique(np.frombuffer(b, np.uint64))) for i, b in items]
+def rarest(index: DataFrame, items: list[tuple[int, str]]) -> list[tuple[int, bytes, int]]:
+    """(item, its RAREST terms, how many of them are needed), by the documents of the whole index that hold a term, ties by the term itself.
+
+    Terms that no document holds are left out.
+    """
+    each = [(i, word_ids(" ".join(sorted({w.lower() for w in _WORD.findall(t)})))) for i, t in items]
     terms = np.unique(np.concatenate([t for _, t in each])) if each else np.empty(0, np.uint64)
     if not len(terms):
         return []
@@ -248,26 +251,28 @@ def _search(items: list[tuple], how: str, phrase: int):
     return run
 
 
-def read_items(items: DataFrame, item: str = "item_id", text: str = "text") -> list[tuple[int, bytes]]:
-    """The evaluation items as word hashes, for the tasks; more than MAX_ITEM_WORDS words are refused."""
+def read_items(items: DataFrame, item: str = "item_id", text: str = "text") -> list[tuple[int, str]]:
+    """The evaluation items, for the tasks; more than MAX_ITEM_CHARACTERS are refused, as driver and tasks hold them."""
     rows = items.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).filter("i is not null and t is not null").distinct()
     size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    if size > 2 * MAX_ITEM_WORDS:
-        raise ValueError(f"the items have {size} characters; search them in parts of at most {2 * MAX_ITEM_WORDS}")
-    return [(r["i"], word_ids(r["t"]).tobytes()) for r in rows.collect()]
+    if size > MAX_ITEM_CHARACTERS:
+        raise ValueError(f"the items have {size} characters; search them in parts of at most {MAX_ITEM_CHARACTERS}")
+    return [(r["i"], r["t"]) for r in rows.collect()]
 
 
 def leaks(docs: DataFrame, items: DataFrame, how: str = "phrase", phrase: int = PHRASE) -> DataFrame:
     """(doc_id, item_id, words) of the documents that hold an evaluation item.
 
     ``how="phrase"``: at least ``phrase`` consecutive words of the item in the same order; ``words`` is the longest such run.
-    ``how="near"``: at least NEEDED of the item's RAREST terms, by the documents of the whole index, within TILE words; ``words`` is their number.
+    ``how="near"``: at least NEEDED (all different terms, if the item has fewer) of the item's RAREST terms within TILE words; ``words`` is their
+    number.  Rarest are those in the fewest documents of the whole index, at least one; ties go by the term.
     Each (document, item) comes once.  Items with fewer words than ``phrase`` leak in no document.
     """
     stage = Stage(docs.sparkSession, "index")
-    known: list[tuple] = read_items(items)
+    known = read_items(items)
     index = stage.cut(build_index(docs), "postings")
-    if how == "near":
-        known = rarest(index, known)
-    hits = index.mapInArrow(_search(known, how, phrase), "doc_id long, item_id long, words long")
+    wanted: list[tuple] = rarest(index, known) if how == "near" else [(i, word_ids(t).tobytes()) for i, t in known]
+    # the hits are few: once they are a table, the index can go
+    hits = stage.cut(index.mapInArrow(_search(wanted, how, phrase), "doc_id long, item_id long, words long"), "hits")
+    stage.drop("postings")
     return hits.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))

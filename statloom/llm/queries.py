@@ -39,12 +39,13 @@ def _measured(pairs: DataFrame) -> DataFrame:
 
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The pairs with the support of p2_found, as the SQL states them."""
-    return _measured(_pairs(spark, d))
+    return _measured(_pairs(spark, d, significance=0.0))
 
 
 def p2_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair of functions that stand in one command."""
-    return _measured(_pairs(spark, d, min_count=1, min_share=0.0))
+    """Every pair of functions that stand in one command, and whether they do so more often than chance gives once in 20 times."""
+    pairs = _measured(_pairs(spark, d, min_count=1, min_share=0.0, significance=0.0))
+    return pairs.withColumn("significant", (F.col("llr") >= stripes.SIGNIFICANT) & (F.col("ratio") > 1))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -179,6 +180,42 @@ dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 12], ' ') AS s FROM (SELE
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (s)
 """
 
+_P8_NEAR = r"""
+WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM eval_items WHERE text IS NOT NULL),
+it AS (SELECT DISTINCT item_id, unnest(w) AS t FROM i),
+dw AS (SELECT doc_id, t, p FROM (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM d) WHERE t IN (SELECT t FROM it)),
+c AS (SELECT t, count(DISTINCT doc_id) AS n FROM dw GROUP BY t),
+k AS (SELECT item_id, count(*) AS terms FROM it GROUP BY 1),
+r AS (SELECT item_id, t FROM (SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY n, t) AS place FROM it JOIN c USING (t)) WHERE place <= 8),
+h AS (SELECT doc_id, item_id, p, t FROM dw JOIN r USING (t)),
+s AS (SELECT a.doc_id, a.item_id, a.p, count(DISTINCT b.t) AS n FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.p BETWEEN a.p - 63 AND a.p GROUP BY 1, 2, 3)
+SELECT doc_id, item_id, max(n) AS rare_terms FROM s JOIN k USING (item_id) WHERE n >= least(6, terms) GROUP BY 1, 2
+"""
+
+# the longest run: windows of the document and the item on one diagonal, without a gap
+_P8_RUNS = r"""
+WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM eval_items WHERE text IS NOT NULL),
+ig AS (SELECT item_id, k AS q, array_to_string(w[k:k + 12], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) >= 13)),
+dg AS (SELECT doc_id, k AS p, array_to_string(w[k:k + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13)),
+m AS (SELECT doc_id, item_id, p - q AS diagonal, p FROM dg JOIN ig USING (s)),
+g AS (SELECT doc_id, item_id, diagonal, p - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p) AS island FROM m),
+n AS (SELECT doc_id, item_id, count(*) + 12 AS n FROM g GROUP BY doc_id, item_id, diagonal, island)
+SELECT doc_id, item_id, max(n) AS longest_run FROM n GROUP BY 1, 2
+"""
+
+# connected parts of the links between classes of equal sets, by the least document
+_P6_GROUPS = _P6.partition("SELECT x AS doc_id_a")[0].replace("WITH w AS", "WITH RECURSIVE w AS").rstrip() + r""",
+cl AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY f) AS class_id FROM (SELECT doc_id, md5(string_agg(s, '|' ORDER BY s)) AS f FROM s GROUP BY 1)),
+l AS (SELECT x AS a, y AS b FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y JOIN cl u ON u.doc_id = x AND u.class_id = x JOIN cl v ON v.doc_id = y AND v.class_id = y WHERE shared >= 0.8 * (a.n + b.n - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT DISTINCT class_id AS a, class_id AS b FROM cl UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+g AS (SELECT a, min(b) AS group_id FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT doc_id, class_id, group_id, coalesce(n_links, 0) AS n_links FROM cl JOIN g ON g.a = class_id LEFT JOIN k ON k.a = class_id
+"""
+
 _L = "CASE WHEN {0} > 0 THEN ({0})::DOUBLE * ln(({0})::DOUBLE) ELSE 0 END"
 
 
@@ -195,13 +232,22 @@ def oracle_sql() -> dict[str, str]:
         f"2 * ({_xlx('n')} + {_xlx('n_a - n')} + {_xlx('n_b - n')} + {_xlx('n_baskets - n_a - n_b + n')}"
         f" - {_xlx('n_a')} - {_xlx('n_baskets - n_a')} - {_xlx('n_b')} - {_xlx('n_baskets - n_b')} + {_xlx('n_baskets')})"
     )
+    measured = (
+        "SELECT function_a, function_b, n, n_a, n_b, n_baskets, round(n::DOUBLE / (n_a::DOUBLE * n_b / n_baskets), 6) AS ratio, "
+        f"round(greatest(0, {llr}), 4) AS llr FROM q"
+    )
+    every = _P2.replace("WHERE n >= 5 AND 1000 * n >= n_baskets)", ")")
     return {
+        "p2_all": f"{every} SELECT *, llr >= 3.84 AND ratio > 1 AS significant FROM ({measured})",
         "p5_found": _P5,
         # what any right packing gives
         "p7_valid": "SELECT container_kind, capacity, n AS texts, 0::BIGINT AS overfull, 0::BIGINT AS lost, 0::BIGINT AS cut FROM (SELECT container_kind, min(capacity_tokens) AS capacity FROM containers "
         "WHERE capacity_tokens > 0 AND container_kind IS NOT NULL GROUP BY 1), (SELECT count(*) AS n FROM documents)",
         "p6_found": _P6,
         "p8_found": _P8,
+        "p8_near": _P8_NEAR,
+        "p8_runs": _P8_RUNS,
+        "p6_groups": _P6_GROUPS,
         "p2_found": _P2 + "SELECT function_a, function_b FROM q WHERE n * n_baskets >= 5 * n_a * n_b",
         "p2_pairs": _P2
         + "SELECT function_a, function_b, n, n_a, n_b, n_baskets, round(n::DOUBLE / (n_a::DOUBLE * n_b / n_baskets), 6) AS ratio, "

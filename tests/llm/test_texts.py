@@ -429,7 +429,8 @@ def test_near_leaks_against_all_windows(spark, monkeypatch, shard):
     want = set()
     for i, t in items:
         terms = np.unique(leakage.word_ids(t)).tolist()
-        pick = set(sorted((x for x in terms if have[x]), key=lambda x: len(have[x]))[:8])
+        named = sorted((w for w in set(t.split()) if have[leakage.word_ids(w)[0]]), key=lambda w: (len(have[leakage.word_ids(w)[0]]), w))
+        pick = {int(leakage.word_ids(w)[0]) for w in named[:8]}
         for d, text in docs:
             ids = leakage.word_ids(text).tolist()
             most = max(len(pick & set(ids[k:k + 64])) for k in range(max(1, len(ids) - 63)))
