@@ -97,8 +97,11 @@ def _same(a: pd.Series, b: pd.Series) -> pd.Series:
 def neighbour_pairs(events: DataFrame, group: str, index: str, text: str, at: str, order: str, block: int = BLOCK) -> DataFrame:
     """Every event with the one before it in its group: (g, i, p, t, pt), t and pt the texts.
 
-    Two levels: lag inside (group, block of the index), then one lag over the first and last events of the blocks.
+    Lag inside (group, block of the index), then over the first and last events of the blocks, in blocks of blocks of the index until these
+    span it: no window has more than two events of each of ``block`` blocks, however the indexes of a group lie.
     """
+    least, most = events.agg(F.min(index), F.max(index)).first()
+    span = most - least if most is not None else 0
     rows = events.select(
         F.col(group).alias("g"), F.col(index).alias("i"), F.col(text).alias("t"), F.col(at).alias("at"), F.col(order).alias("o"),
         F.floor(F.col(index) / F.lit(block)).cast("long").alias("k"),
@@ -108,10 +111,18 @@ def neighbour_pairs(events: DataFrame, group: str, index: str, text: str, at: st
     # one shuffle by (g, k) serves both windows
     rows = rows.repartition("g", "k").withColumn("rn", F.row_number().over(once)).filter("rn = 1").drop("rn", "o")
     rows = rows.withColumns({"p": F.lag("i").over(inside), "pt": F.lag("t").over(inside), "n": F.lead("i").over(inside)})
-    edge = rows.filter("p is null or n is null")
-    across = Window.partitionBy("g").orderBy("i")
-    border = edge.withColumns({"p2": F.lag("i").over(across), "pt2": F.lag("t").over(across)}).filter("p is null and p2 is not null")
-    return rows.filter("p is not null").select("g", "i", "p", "t", "pt").unionByName(border.select("g", "i", F.col("p2").alias("p"), "t", F.col("pt2").alias("pt")))
+    pairs = rows.filter("p is not null").select("g", "i", "p", "t", "pt")
+    edge = rows.filter("p is null or n is null").select("g", "i", "t", F.col("p").isNull().alias("open"))
+    width = block
+    while True:
+        width *= block
+        last = width > span
+        across = Window.partitionBy("g", *([] if last else [F.floor(F.col("i") / F.lit(width))])).orderBy("i")
+        edge = edge.withColumns({"p": F.lag("i").over(across), "pt": F.lag("t").over(across), "n": F.lead("i").over(across)})
+        pairs = pairs.unionByName(edge.filter("open and p is not null").select("g", "i", "p", "t", "pt"))
+        if last:
+            return pairs
+        edge = edge.filter("p is null or n is null").select("g", "i", "t", (F.col("open") & F.col("p").isNull()).alias("open"))
 
 
 def run_pointers(pairs: DataFrame, stage: Stage) -> DataFrame:

@@ -70,6 +70,8 @@ def test_runs_against_a_loop(spark):
             t = t if rng.random() < 0.6 else rng.choice(texts)
             rows += [(g, i, t, 1)] * rng.choice([1, 1, 2])
     rows += [(1, None, "print(x)", 1)] * 2 + [(5, i, "same(x)", 1) for i in range(100, 400, 3)]
+    # indexes far sparser than the blocks, below zero too
+    rows += [(6, (i - 20) * 997, "same(x)" if i % 7 else "other()", 1) for i in range(60)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "file_id long, command_index long, command string, loaded_at int").withColumn("entered_at", F.timestamp_seconds("command_index")).withColumn("g", F.lit(1))
     # narrow blocks, so that runs cross many of them
