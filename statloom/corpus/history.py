@@ -8,9 +8,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from statloom.runtime import share_package
 
 # Words of the language that look like calls, its pipes and the operators that ask for another line.  Fixed values.
 CONTROL = ["if", "for", "while", "repeat", "function", "switch", "return", "next", "break", "else", "in"]
@@ -105,8 +109,8 @@ def blanked(text: str) -> str:
 
 
 def calls(command: str) -> list[str]:
-    """Names called, in order, with their package; words of control flow are no calls."""
-    return [n for n in _CALLED.findall(blanked(command)) if n not in CONTROL]
+    """Names called, in order, with their package; words of control flow are no calls, with a package neither."""
+    return [n for n in _CALLED.findall(blanked(command)) if n.rpartition(":")[2] not in CONTROL]
 
 
 def pipe_of(command: str) -> str:
@@ -147,38 +151,61 @@ def indexed(files: DataFrame, text: str = "text", name: str = "source_file") ->
     )
 
 
+def described(command: str) -> dict:
+    """What the table of commands says about a command, and its calls."""
+    found, pipe, target = calls(command), pipe_of(command), target_of(command)
+    return {
+        "command": command, "primary_function": found[0] if found else "", "has_pipe": bool(pipe), "pipe_type": pipe, "has_assignment": bool(target), "assignment_target": target, "calls": found,
+    }
+
+
+_COMMAND = "struct<command:string,primary_function:string,has_pipe:boolean,pipe_type:string,has_assignment:boolean,assignment_target:string,calls:array<string>>"
+
+
+_KNOWN = ["command", "primary_function", "has_pipe", "pipe_type", "has_assignment", "assignment_target", "calls"]
+
+
+def parse_commands(commands: DataFrame, command: str = "command") -> DataFrame:
+    """The columns of a table of single commands with what is known of each: primary function, pipe, target and calls, in place of older columns of these names; a null command has none."""
+    share_package(commands.sparkSession)
+    schema = T.StructType([*commands.schema.fields, *T.StructType.fromDDL(f"__c {_COMMAND}").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = to_arrow_type(schema["__c"].dataType)
+        for batch in batches:
+            found = [None if x is None else described(x) for x in batch.column(command).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "__c"])
+
+    return commands.mapInArrow(run, schema).select(*(F.col(f"`{x}`") for x in commands.columns if x not in _KNOWN[1:]), *(F.col("__c")[x].alias(x) for x in _KNOWN if x != "command"))
+
+
 def parse_history(files: DataFrame, name: str = "source_file", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, commands, function_calls) of a table of history files.
 
-    Files without commands are left out; ``file_id`` counts from 0 by name.  The numbering needs the sorted names, so only names and ids
-    pass through the window, by way of range partitions.
+    Each row is a file of its own, also where names recur.  Files without commands are left out; ``file_id`` counts from 0 by name, equal names
+    in the order of the rows; an older ``file_id`` is left out.  Files are parsed once, into a table; the numbering moves only names and row numbers, by way of range partitions.
     """
-    others = [c for c in files.columns if c not in (text, name)]
-
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            yield pd.DataFrame({name: pdf[name], "cmds": [parse_text(t) for t in pdf[text]]})
-
-    parsed = files.select(name, text).mapInPandas(run, f"`{name}` string, cmds array<string>").filter(F.size("cmds") > 0)
-    kept = files.select(name, *others).join(parsed.select(name), name, "left_semi")
     from statloom.operators.windows import with_position
     from statloom.plans.frame import Frame, Key
-
-    numbered = with_position(Frame(kept, (Key(name),), has_rid=True)).df.withColumn("file_id", F.col("__pos") - 1).drop("__pos")
-    table = numbered.select("file_id", name, *others)
-    rows = parsed.join(numbered.select(name, "file_id"), name).select("file_id", F.posexplode("cmds").alias("command_index", "command"))
-
-    def details(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            found = [calls(c) for c in pdf["command"]]
-            pipes = [pipe_of(c) for c in pdf["command"]]
-            targets = [target_of(c) for c in pdf["command"]]
-            yield pdf.assign(
-                primary_function=[f[0] if f else "" for f in found], has_pipe=[bool(p) for p in pipes], pipe_type=pipes,
-                has_assignment=[bool(t) for t in targets], assignment_target=targets, calls=found,
-            )
-
-    full = rows.mapInPandas(details, "file_id long, command_index int, command string, primary_function string, has_pipe boolean, pipe_type string, has_assignment boolean, assignment_target string, calls array<string>")
-    commands = full.drop("calls")
-    function_calls = full.select("file_id", "command_index", F.posexplode("calls").alias("call_order", "function_name"))
-    return table, commands, function_calls
+    from statloom.sources.files import cut
+
+    share_package(files.sparkSession)
+    others = [c for c in files.columns if c not in (text, name, "file_id")]
+    rows = files.select(name, *others, text)
+    schema = T.StructType([*rows.schema.fields[:-1], *T.StructType.fromDDL(f"__cmds array<{_COMMAND}>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = to_arrow_type(schema["__cmds"].dataType)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                found = [described(c) for c in parse_text(one.column(batch.num_columns - 1)[0].as_py())]
+                yield pa.RecordBatch.from_arrays([*one.columns[:-1], pa.array([found], kind)], schema.names)
+
+    parsed = cut(rows.mapInArrow(run, schema).filter(F.size("__cmds") > 0).withColumn("__uid", F.monotonically_increasing_id()))
+    order = with_position(Frame(parsed.select(name, "__uid"), (Key(name), Key("__uid")), has_rid=True)).df
+    numbered = parsed.join(order.select("__uid", (F.col("__pos") - 1).alias("file_id")), "__uid")
+    full = numbered.select("file_id", F.posexplode("__cmds").alias("command_index", "c"))
+    commands = full.select("file_id", "command_index", *(F.col("c")[x].alias(x) for x in _KNOWN[:-1]))
+    function_calls = full.select("file_id", "command_index", F.posexplode(F.col("c")["calls"]).alias("call_order", "function_name"))
+    return numbered.select("file_id", name, *others), commands, function_calls

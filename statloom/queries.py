@@ -310,6 +310,13 @@ def history_dedup(spark: SparkSession, d: str) -> DataFrame:
     return history_etl.deduplicated(files, ["owner", "repo", "source_file"])
 
 
+def history_typed(spark: SparkSession, d: str) -> DataFrame:
+    """What the parser knows of each command as typed, with its calls in one text."""
+    share_package(spark)
+    known = history_etl.parse_commands(spark.read.parquet(f"{d}/commands.parquet").select("command").filter("command is not null").distinct())
+    return known.select("command", "primary_function", "has_pipe", "pipe_type", "has_assignment", "assignment_target", F.array_join("calls", " ").alias("calls"))
+
+
 def history_files(spark: SparkSession, d: str) -> DataFrame:
     return history_etl.parse_history(_history_source(spark, d))[0]
 
@@ -322,12 +329,22 @@ def history_calls(spark: SparkSession, d: str) -> DataFrame:
     return history_etl.parse_history(_history_source(spark, d))[2]
 
 
-QUERIES |= {f.__name__: f for f in (history_nonempty, history_index, history_dedup, history_files, history_commands, history_calls)}
+QUERIES |= {f.__name__: f for f in (history_nonempty, history_index, history_dedup, history_typed, history_files, history_commands, history_calls)}
 _HS = "(SELECT doc_id::VARCHAR AS source_file, repo AS owner, text FROM documents WHERE lang = 'r' AND text IS NOT NULL)"
 SQL["history_nonempty"] = f"SELECT source_file, owner FROM {_HS} WHERE len(list_filter(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(ltrim(x), '#'))) > 0"
 SQL["history_index"] = f"SELECT source_file, strlen(text)::INTEGER AS size_bytes, len(string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)))::INTEGER AS line_count, source_file AS raw_file FROM {_HS}"
 SQL["history_dedup"] = "SELECT DISTINCT coalesce(owner, '') AS owner, coalesce(repo, '') AS repo, source_file FROM files"
 
+# quoted pieces blanked out; words of control flow are no calls
+_BLANK = r"""regexp_replace(command, '"(?:\\.|[^"\\])*"?|''(?:\\.|[^''\\])*''?|`[^`]*`?', ' ', 'gs')"""
+_CALLS = r"list_filter(list_transform(regexp_extract_all(t, '(?:[A-Za-z.][\w.]*:::?)?[A-Za-z.][\w.]*\s*\('), lambda x: rtrim(x, ' ' || chr(9) || chr(10) || '(')), lambda x: NOT list_contains(['if', 'for', 'while', 'repeat', 'function', 'switch', 'return', 'next', 'break', 'else', 'in'], regexp_replace(x, '^.*:', '')))"
+SQL["history_typed"] = (
+    f"WITH b AS (SELECT DISTINCT command, {_BLANK} AS t FROM commands WHERE command IS NOT NULL), c AS (SELECT *, {_CALLS} AS calls, regexp_extract(t, '%>%|[|]>|%<>%|%T>%|%[$]%') AS pipe_type, "
+    r"coalesce(nullif(trim(regexp_extract(command, '^\s*([A-Za-z.][\w.$@\[\]\"'']*|`[^`]+`)\s*(<<-|<-|=($|[^=]))', 1), '`'), ''), regexp_extract(t, '->>?\s*([A-Za-z.][\w.$]*)\s*$', 1)) AS target FROM b) "
+    "SELECT command, coalesce(calls[1], '') AS primary_function, pipe_type <> '' AS has_pipe, pipe_type, target <> '' AS has_assignment, target AS assignment_target, array_to_string(calls, ' ') AS calls FROM c"
+)
+SQL["history_files"] = f"SELECT row_number() OVER (ORDER BY source_file) - 1 AS file_id, source_file, owner FROM ({SQL['history_nonempty']})"
+
 FLAGSHIP = """use "{d}/lineitem.parquet", clear
 keep if l_quantity > 10
 generate disc_price = l_extendedprice * (1 - l_discount)

@@ -126,6 +126,24 @@ def test_history_lines():
     assert history.pipe_of("a |> b() %>% c()") == "|>" and history.pipe_of("'%>%'") == ""
     assert [history.target_of(x) for x in ("x <- 1", "x <<- 1", "y = 2", "f(y = 2)", "1 -> z", "a == b")] == ["x", "x", "y", "", "z", ""]
     assert history.parse_text(None) == []
+    assert history.calls("base::return(f(1)); base::if(x)") == ["f"]
+
+
+def test_history_files_of_one_name(spark):
+    files = spark.createDataFrame([(".Rhistory", "a()\nb()", "o", 1), (".Rhistory", "x <- c()", "p", 2), (".Rhistory", None, "q", 3), ("z.R", "a()\nb()", "o", None)], "source_file string, text string, owner string, cmds long").repartition(3)
+    table, commands, calls = history.parse_history(files)
+    owner = {r["file_id"]: r["owner"] for r in table.collect()}
+    assert sorted(owner) == [0, 1, 2] and owner[2] == "o" and {owner[0], owner[1]} == {"o", "p"}
+    got = sorted((owner[r["file_id"]], r["file_id"] == 2, r["command_index"], r["command"]) for r in commands.collect())
+    assert got == [("o", False, 0, "a()"), ("o", False, 1, "b()"), ("o", True, 0, "a()"), ("o", True, 1, "b()"), ("p", False, 0, "x <- c()")]
+    assert calls.count() == 5
+
+
+def test_single_commands(spark):
+    df = spark.createDataFrame([(1, "x <- stats::lm(y ~ z) |> summary()"), (2, None), (3, "")], "k long, command string")
+    rows = {r["k"]: r for r in history.parse_commands(df).collect()}
+    assert (rows[1]["primary_function"], rows[1]["pipe_type"], rows[1]["assignment_target"], rows[1]["calls"]) == ("stats::lm", "|>", "x", ["stats::lm", "summary"])
+    assert rows[2]["calls"] is None and rows[3]["calls"] == []
 
 
 def test_history_tables(spark):
