@@ -27,6 +27,8 @@ BANDS, ROWS = 32, 3
 BUDGET = 45
 #: Rows of a block that one task joins; larger blocks are cut into pieces that are joined pairwise.
 BLOCK_ROWS = 16_384
+#: Documents of a class of equal texts that meet those of another, or of the same, in one task.
+PIECE = 4_000
 #: Node pairs that are expanded at once.
 FRONTIER = 1_000_000
 
@@ -237,6 +239,23 @@ def _block_join(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Itera
 _OUT = "a long, b long, key long, rows long"
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, id) in; the rows whose key another row has out."""
+    key, ids, paired = np.empty(0, np.int64), np.empty(0, np.int64), False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # the last row waits for its successor
+        key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
+        ids = np.concatenate([ids, batch.column(1).to_numpy(zero_copy_only=False)])
+        same = key[1:] == key[:-1]
+        keep = same | np.concatenate(([paired], same[:-1])) if len(same) else same
+        yield pa.RecordBatch.from_arrays([pa.array(key[:-1][keep]), pa.array(ids[:-1][keep])], ["key", "id"])
+        key, ids, paired = key[-1:], ids[-1:], bool(same[-1]) if len(same) else paired
+    if paired:
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids)], ["key", "id"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
@@ -266,11 +285,13 @@ class NearCopies:
         reps = feats.join(self.member.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "sig", "bands")
         self.links = self._verified(self._candidates(reps))
         # what follows needs only the members and the links
-        for label in ("features", "joined", "pieces", "candidates", "sets"):
+        for label in ("features", "keys", "joined", "pieces", "candidates", "sets"):
             self.stage.drop(label)
 
     def _candidates(self, reps: DataFrame) -> DataFrame:
-        rows = reps.select(F.explode("bands").alias("key"), F.lit(-1).cast("long").alias("side"), "id", "sig")
+        # most keys occur once: keys travel with ids only, and those that two texts share get their signatures
+        keys = reps.select(F.explode("bands").alias("key"), "id").repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, id long")
+        rows = self.stage.cut(keys, "keys").join(reps.select("id", "sig"), "id").select("key", F.lit(-1).cast("long").alias("side"), "id", "sig")
         out = self.stage.cut(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_block_join, _OUT), "joined")
         pairs = out.filter("a is not null").select("a", "b")
         hot = out.filter("key is not null").select("key", F.ceil(F.col("rows") / (BLOCK_ROWS // 2)).alias("pieces"))
@@ -298,12 +319,19 @@ class NearCopies:
 
     def pairs(self) -> DataFrame:
         """All pairs of documents (doc_id_a < doc_id_b), copies of one class included: as many rows as there are such pairs."""
-        m = self.member.select("doc_id", "rep")
-        left = m.select(F.col("rep").alias("a"), F.col("doc_id").alias("x"))
-        right = m.select(F.col("rep").alias("b"), F.col("doc_id").alias("y"))
-        between = self.links.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
-        many = self.member.filter("copies > 1").select("doc_id", "rep")
-        inside = many.select("rep", F.col("doc_id").alias("x")).join(many.select("rep", F.col("doc_id").alias("y")), "rep").filter("x < y").select("x", "y")
+        # large classes are cut into pieces, and every two pieces that belong together meet on their own
+        pieces = F.ceil(F.col("copies") / PIECE)
+        m = self.member.select("doc_id", "rep", "copies", pieces.alias("pieces"), F.pmod(F.xxhash64("doc_id"), pieces).alias("piece"))
+        cuts = self.member.filter("doc_id = rep").select("rep", F.sequence(F.lit(0).cast("long"), pieces - 1).alias("cuts"))
+        links = self.links.select("a", "b").join(cuts.withColumnsRenamed({"rep": "a", "cuts": "ca"}), "a").join(cuts.withColumnsRenamed({"rep": "b", "cuts": "cb"}), "b")
+        links = links.select("a", "b", F.explode("ca").alias("pa"), "cb").select("a", "b", "pa", F.explode("cb").alias("pb"))
+        left = m.select(F.col("rep").alias("a"), F.col("piece").alias("pa"), F.col("doc_id").alias("x"))
+        right = m.select(F.col("rep").alias("b"), F.col("piece").alias("pb"), F.col("doc_id").alias("y"))
+        between = links.join(left, ["a", "pa"]).join(right, ["b", "pb"]).select("x", "y")
+        many = m.filter("copies > 1")
+        left = many.select("rep", F.col("piece").alias("p"), F.explode(F.sequence("piece", F.col("pieces") - 1)).alias("q"), F.col("doc_id").alias("x"))
+        right = many.select("rep", F.explode(F.sequence(F.lit(0).cast("long"), "piece")).alias("p"), F.col("piece").alias("q"), F.col("doc_id").alias("y"))
+        inside = left.join(right, ["rep", "p", "q"]).filter("p < q or x < y").select("x", "y")
         both = between.unionByName(inside)
         return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 

@@ -244,6 +244,7 @@ def _near_truth(docs, limit):
 @pytest.mark.parametrize("rows", [16_384, 12])
 def test_near_copies(spark, monkeypatch, rows):
     monkeypatch.setattr(nearcopies, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(nearcopies, "PIECE", 3 if rows == 12 else 4_000)
     rng = random.Random(5)
     docs = []
     for k in range(25):
@@ -270,6 +271,15 @@ def test_near_copies(spark, monkeypatch, rows):
     assert empty.pairs().collect() == [] and empty.groups().collect() == []
 
 
+@pytest.mark.parametrize("batch", [1, 2, 3, 50])
+def test_keys_that_occur_once_stay_behind(batch):
+    import pyarrow as pa
+
+    key = [1, 2, 2, 3, 4, 4, 4, 4, 5, 6, 6]
+    rows = [pa.RecordBatch.from_arrays([pa.array(key[k:k + batch], pa.int64()), pa.array(range(len(key))[k:k + batch], pa.int64())], ["key", "id"]) for k in range(0, len(key), batch)]
+    assert [x["id"] for b in nearcopies._shared(iter(rows)) for x in b.to_pylist()] == [1, 2, 4, 5, 6, 7, 9, 10]
+
+
 @pytest.mark.parametrize("batch", [7, 40, 200])
 def test_pieces_over_the_limit_are_joined(monkeypatch, batch):
     import pyarrow as pa
