@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from statloom.errors import CommandError
 from statloom.functions import aggregate
 from statloom.operators.rows import Panel, assignment, filtered
-from statloom.operators.windows import total
+from statloom.operators.windows import large, medians, order_statistics, total
 from statloom.plans.expressions import quote
 from statloom.plans.frame import Frame, Key, compiled
 from statloom.plans.script import Command, names, top_level
@@ -85,17 +85,43 @@ def collapse(frame: Frame, c: Command, panel: Panel = None, strict_nm: bool = Fa
     wanted = targets(c.head)
     if any(f.lower() in aggregate.ORDERED for f, _, _ in wanted) and any(k.descending for k in frame.order):
         frame = _ascending(frame)
-    aggregates, seen = [], set(by)
+    aggregates, seen, apart = [], set(by), []
     for function, new, arg in wanted:
         if new in seen:
             raise CommandError(f"collapse gives {new} twice")
         seen.add(new)
+        if function.lower() == "median" and large(frame.df):
+            apart.append((new, _argument(frame, function, arg, panel)))
+            continue
         frame, value = _value(frame, function, arg, panel, strict_nm)
         aggregates.append(value.alias(new))
+    aggregates = aggregates or [F.count(F.lit(1)).alias("__rows")]
     df = frame.df.groupBy(*(F.col(quote(g)).alias(g) for g in by)).agg(*aggregates) if by else frame.df.agg(*aggregates)
+    for new, sql in apart:
+        df = _beside(df, medians(frame.df, by, sql, new), by, new)
+    if apart:
+        df = df.select(*(F.col(quote(n)) for n in [*by, *(new for _, new, _ in wanted)]))
     return Frame(df, tuple(Key(g) for g in by), has_rid=bool(by))
 
 
+def _argument(frame: Frame, function: str, arg: str, panel: Panel) -> str:
+    _, sql, scope = compiled(frame, arg, panel=panel, running=False)
+    if scope.windows:
+        raise CommandError(f"{function}({arg}): generate the variable first")
+    return sql
+
+
+def _beside(df: DataFrame, more: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The groups of ``df`` with a column of another table of the same groups; null groups match."""
+    if not by:
+        return df.withColumn(name, more.select(quote(name)).scalar())
+    more = more.select(*(F.col(quote(g)).alias(f"__m{i}") for i, g in enumerate(by)), F.col(quote(name)))
+    on = F.lit(True)
+    for i, g in enumerate(by):
+        on = on & F.col(quote(g)).eqNullSafe(F.col(f"__m{i}"))
+    return df.join(more, on, "left").drop(*(f"__m{i}" for i in range(len(by))))
+
+
 def _ascending(frame: Frame) -> Frame:
     """The order as one ascending position, for aggregates that need a greatest or least key."""
     from statloom.operators.windows import with_position
@@ -114,8 +140,16 @@ def egen(frame: Frame, c: Command, panel: Panel = None) -> Frame:
     if m.group(1).lower() in aggregate.ORDERED and any(k.descending for k in frame.order):
         frame = _ascending(frame)
     frame = frame.numbered() if frame.order or m.group(1).lower() in aggregate.ORDERED else frame
-    frame, value = _value(frame, m.group(1), m.group(2).strip(), panel, False)
-    if by:
+    apart = m.group(1).lower() == "median" and large(frame.df)
+    if apart:
+        sql = _argument(frame, m.group(1), m.group(2).strip(), panel)
+        frame = frame.numbered()
+        df = _beside(frame.df, medians(frame.df, by, sql, "__value"), by, "__value")
+    else:
+        frame, value = _value(frame, m.group(1), m.group(2).strip(), panel, False)
+    if apart:
+        pass
+    elif by:
         # grouped and joined back, not a window: groups are reduced before they move, and a large group is spread over tasks
         frame = frame.numbered()
         groups = frame.df.groupBy(*(F.col(quote(g)).alias(f"__g{i}") for i, g in enumerate(by))).agg(value.alias("__value"))
@@ -145,10 +179,12 @@ def summarize(frame: Frame, c: Command, panel: Panel = None) -> DataFrame:
         raise CommandError("summarize needs a variable")
     frame = filtered(frame, c.cond, panel)
     types = frame.types()
-    each = []
+    each, beyond = [], large(frame.df)
     for v in wanted:
         x = F.col(quote(v)).cast("int") if types[v] == "boolean" else F.col(quote(v))
-        p = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        shares = [0.25, 0.5, 0.75]
+        # an exact percentile keeps all different values in one task; beyond that, the places of the values are looked up
+        p = F.array(*(F.lit(q).cast("double") for q in order_statistics(frame.df.select(x.alias(v)), v, shares))) if beyond else F.percentile(x, F.array(*map(F.lit, shares)))
         each.append(F.struct(
             F.lit(v).alias("variable"), F.count(x).alias("N"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).cast("double").alias("min") if len(wanted) > 1 else F.min(x).alias("min"),
             p[0].alias("p25"), p[1].alias("p50"), p[2].alias("p75"), F.max(x).cast("double").alias("max") if len(wanted) > 1 else F.max(x).alias("max"),

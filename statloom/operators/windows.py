@@ -14,6 +14,8 @@ from statloom.sources.files import cut
 
 #: Rows of a block for running values over the whole dataset.
 BLOCK = 65_536
+#: Estimated bytes of a dataset that one task may sort or hold, and rows of a group.
+ONE_TASK_BYTES, ONE_TASK_ROWS = 4 << 30, 20_000_000
 
 
 def with_position(frame: Frame, name: str = "__pos") -> Frame:
@@ -35,9 +37,43 @@ def with_position(frame: Frame, name: str = "__pos") -> Frame:
         before += n
     if not offsets:
         return replace(frame, df=df.withColumn(name, F.lit(0).cast("long")).drop("__mid"))
-    offset = F.try_element_at(F.create_map(*(F.lit(x).cast("long") for kv in offsets.items() for x in kv)), part)
-    df = df.withColumn(name, F.col("__mid").bitwiseAND((1 << 33) - 1) + offset + 1).drop("__mid")
-    return replace(frame, df=df)
+    # one row per partition: small whatever the data
+    table = F.broadcast(df.sparkSession.createDataFrame(list(offsets.items()), "__part long, __before long"))
+    df = df.withColumn("__part", part).join(table, "__part").withColumn(name, F.col("__mid").bitwiseAND((1 << 33) - 1) + F.col("__before") + 1)
+    return replace(frame, df=df.drop("__mid", "__part", "__before"))
+
+
+def large(df: DataFrame) -> bool:
+    """Whether a dataset may be too large for one task, by the planner's estimate of its size; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > ONE_TASK_BYTES
+
+
+def hot_groups(df: DataFrame, by: list[str]) -> bool:
+    """Whether some group may be too large for one task.  Only where the whole dataset may be are groups counted."""
+    if not large(df):
+        return False
+    most = df.groupBy(*(F.col(quote(g)) for g in by)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) > ONE_TASK_ROWS
+
+
+def order_statistics(df: DataFrame, x: str, shares: list[float]) -> list[float | None]:
+    """Percentiles between neighbouring values, of values that no task gathers: by their positions in the order."""
+    placed = with_position(Frame(df.filter(F.col(quote(x)).isNotNull()).select(quote(x)), (Key(x),), has_rid=True)).df
+    n = placed.count()
+    if not n:
+        return [None] * len(shares)
+    wanted = [(n - 1) * s for s in shares]
+    places = sorted({int(w) + k for w in wanted for k in (1, 2)})
+    at = {r["__pos"]: float(r[x]) for r in placed.filter(F.col("__pos").isin(places)).collect()}
+    return [at[int(w) + 1] + (w - int(w)) * (at.get(int(w) + 2, 0.0) - at[int(w) + 1]) if w > int(w) else at[int(w) + 1] for w in wanted]
+
+
+def medians(df: DataFrame, by: list[str], sql: str, name: str) -> DataFrame:
+    """(groups, median), by positions inside the groups: no task gathers one."""
+    rows = df.select(*(F.col(quote(g)).alias(g) for g in by), F.expr(sql).cast("double").alias("__x")).filter("__x is not null")
+    placed = add_whole_terms(Frame(rows, (), has_rid=True), [("__at", "n", "", 0), ("__of", "N", "", 0)], by, ["__x"]).df
+    middle = placed.filter("2 * __at between __of and __of + 2")
+    return middle.groupBy(*(F.col(quote(g)).alias(g) for g in by)).agg(F.avg("__x").alias(name))
 
 
 def total(df: DataFrame, column) -> object:
@@ -66,6 +102,15 @@ def _running(df: DataFrame, name: str, kind: str, arg: str) -> DataFrame:
     return df.withColumn(name, value).drop("__arg", "__blk", *(f"__{x}_{w}" for x in "ib" for w in wanted))
 
 
+def add_terms(frame: Frame, terms: list[tuple[str, str, str, int]], by: list[str], by_sort: list[str], panel: tuple[str | None, str] | None) -> Frame:
+    """``add_whole_terms``; terms in the order of time have the panel's unit as group."""
+    timed = [(n, "shift", arg, k) for n, kind, arg, k in terms if kind == "time"]
+    if timed and panel:
+        frame = add_whole_terms(frame, timed, [panel[0]] if panel[0] else [], [panel[1]])
+    rest = [t for t in terms if t[1] != "time"]
+    return add_whole_terms(frame, rest, by, by_sort) if rest else frame
+
+
 def add_whole_terms(frame: Frame, terms: list[tuple[str, str, str, int]], by: list[str] | None = None, by_sort: list[str] | None = None) -> Frame:
     """The frame with a hidden column for each term over the whole dataset or, with ``by``, over its group.
 

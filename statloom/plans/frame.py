@@ -37,13 +37,14 @@ class Frame:
     """An immutable dataset.
 
     ``order`` says how the rows follow each other; rows are sorted only where they are shown or written.  ``has_rid`` tells whether the
-    scan order is among the columns: it is added late, as it keeps filters from reaching the scan.  ``spread``: terms over groups are worked out without windows over groups.
+    scan order is among the columns: it is added late, as it keeps filters from reaching the scan.  ``spread``: terms over groups are worked out without
+    windows over groups; None: where a group may be too large for a task.
     """
 
     df: DataFrame
     order: tuple[Key, ...] = ()
     has_rid: bool = False
-    spread: bool = False
+    spread: bool | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -105,7 +106,7 @@ class Frame:
     def scope(self, by: tuple[str, ...] = (), by_sort: tuple[str, ...] = (), panel: tuple[str | None, str] | None = None) -> Scope:
         keys = [Key(self.resolve(c)) for c in by_sort]
         keys += [k for k in self.order if k.column not in {x.column for x in keys}]
-        return Scope(self.types(), tuple(self.resolve(c) for c in by), tuple(k.sql() for k in keys), panel, spread=self.spread)
+        return Scope(self.types(), tuple(self.resolve(c) for c in by), tuple(k.sql() for k in keys), panel, spread=bool(self.spread))
 
     def with_order(self, keys: tuple[Key, ...]) -> Frame:
         """Without hidden columns that no key uses any more."""
@@ -127,11 +128,16 @@ def compiled(frame: Frame, text: str, by: tuple[str, ...] = (), by_sort: tuple[s
         scope.order = (Key(RID).sql(),)
     sql = to_sql(text, scope)
     if scope.windows:
+        groups = list(by) or ([panel[0]] if panel and panel[0] else [])
+        chosen = frame.spread
+        if groups and chosen is None:
+            frame = replace(frame, spread=windows.hot_groups(frame.df, [frame.resolve(g) for g in groups]))
         frame = frame.numbered()
         again = frame.scope(by, by_sort, panel)
         again.running = running
         sql, scope = to_sql(text, again), again
         scope.windows = True
         if scope.whole:
-            frame = windows.add_whole_terms(frame, scope.whole, [frame.resolve(c) for c in by], [frame.resolve(c) for c in by_sort])
+            frame = windows.add_terms(frame, scope.whole, [frame.resolve(c) for c in by], [frame.resolve(c) for c in by_sort], panel)
+        frame = replace(frame, spread=chosen)
     return frame, sql, scope

@@ -12,6 +12,9 @@ from statloom.plans.script import Command
 class _Shown(Scope):
     """A scope that writes whole-dataset terms as plain windows."""
 
+    def time_term(self, x: str, k: int, over: str) -> str:
+        return f"{'lag' if k < 0 else 'lead'}({x}, {abs(k)}) {over}"
+
     def whole_term(self, kind: str, arg: str, k: int = 0) -> str:
         order = f"ORDER BY {', '.join(self.order)}"
         if kind == "n":

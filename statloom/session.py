@@ -53,14 +53,15 @@ class Session:
 
     live_view: keep a view ``_live`` on the current dataset; sql_comments and format_sql: how ``show sql`` prints;
     strict_nm: firstnm and lastnm skip nulls; validate: merge checks that 1 sides have unique keys; spread_groups: bysort terms are worked
-    out by positions and joins instead of a window per group, for data in which one group is too large for a task.
+    out by positions and joins instead of a window per group; by default where a group may be too large for a task, by the planner's estimate and, beyond it,
+    a count.  keep_text: text sources are kept in the executors once read (memory, then disk), as several commands read them.
     """
 
-    def __init__(self, spark: SparkSession, live_view: bool = False, sql_comments: bool = True, format_sql: bool = True, strict_nm: bool = False, validate: bool = False, spread_groups: bool = False):
+    def __init__(self, spark: SparkSession, live_view: bool = False, sql_comments: bool = True, format_sql: bool = True, strict_nm: bool = False, validate: bool = False, spread_groups: bool | None = None, keep_text: bool = True):
         share_package(spark)
         self.spark = spark
         self.live_view, self.sql_comments, self.format_sql, self.strict_nm, self.validate = live_view, sql_comments, format_sql, strict_nm, validate
-        self.spread_groups = spread_groups
+        self.spread_groups, self.keep_text = spread_groups, keep_text
         self.temporary: set[str] = set()
         self._views: set[str] = set()
         self._kept: list[DataFrame] = []
@@ -146,7 +147,7 @@ class Session:
     def _start(self, c: Command, name: str, kind: str | None) -> Result:
         df = self._load(name, kind)
         kind = kind or files.kind_of(name)
-        if kind in ("csv", "json", "dta") and not c.has("lazy"):
+        if kind in ("csv", "json", "dta") and self.keep_text and not c.has("lazy"):
             # text is parsed once; Parquet is left where it is, so that filters and columns reach the scan
             df = df.persist(StorageLevel.MEMORY_AND_DISK)
             self._kept.append(df)

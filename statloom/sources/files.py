@@ -36,9 +36,9 @@ def read(spark: SparkSession, name: str, kind: str | None = None) -> DataFrame:
         if kind == "parquet":
             return spark.read.parquet(name)
         if kind == "json":
-            # an array of records or one record per line
-            first = spark.read.text(name).limit(1).collect()
-            many = bool(first) and first[0][0].lstrip().startswith(("[", "{")) and not first[0][0].rstrip().endswith("}")
+            # an array of records or one record per line; only both ends of a first line reach the driver
+            first = spark.read.text(name).limit(1).select(F.substring(F.ltrim("value"), 1, 1).alias("a"), F.substring(F.rtrim("value"), -1, 1).alias("z")).collect()
+            many = bool(first) and first[0]["a"] in ("[", "{") and first[0]["z"] != "}"
             return widened(spark.read.json(name, multiLine=many))
         if kind == "dta":
             from statloom.sources import dta

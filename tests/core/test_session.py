@@ -1,5 +1,6 @@
 """The command language end to end, against results known by hand."""
 
+import pandas as pd
 import pytest
 
 from statloom.errors import CommandError
@@ -368,3 +369,44 @@ def test_empty_data(spark, tmp_path):
         s.run(c)
         assert rows(s) == []
     assert rows(s, "count") == [(0,)]
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_results_do_not_depend_on_the_size_rules(spark, tmp_path, monkeypatch, limit):
+    """Windows and one-task aggregates, or positions and joins: the same rows."""
+    from statloom.operators import windows
+
+    if limit is not None:
+        monkeypatch.setattr(windows, "ONE_TASK_BYTES", limit)
+        monkeypatch.setattr(windows, "ONE_TASK_ROWS", limit)
+    rows = [(u, t, float(((u or 5) * 7 + t * 3) % 11) if t % 4 else None) for u in (1, 2, None) for t in range(1, 12) if (u or 0) + t != 5]
+    spark.createDataFrame(rows, "u long, t long, x double").write.parquet(f"{tmp_path}/p.parquet")
+    by = {u: sorted((t, x) for v, t, x in rows if v == u) for u in (1, 2, None)}
+
+    def session(text):
+        s = Session(spark)
+        s.run(f'use "{tmp_path}/p.parquet", clear')
+        s.script(text)
+        return s
+
+    got = {(r["u"], r["t"]): (r["a"], r["b"], r["c"], r["n"]) for r in session("xtset u t\ngenerate a = L.x\ngenerate b = F2.x\ngenerate c = D.x\nbysort u (t): generate n = _n").current().collect()}
+    for u, own in by.items():
+        at = {t: x for t, x in own}
+        for k, (t, x) in enumerate(own):
+            before = at.get(t - 1)
+            later = at.get(t + 2) if k + 2 < len(own) and own[k + 2][0] == t + 2 else None
+            assert got[u, t] == (before, later, x - before if x is not None and before is not None else None, k + 1), (u, t)
+    r = session("summarize x").run("summarize x").data.first()
+    xs = sorted(x for _, _, x in rows if x is not None)
+    want = pd.Series(xs).quantile([0.25, 0.5, 0.75]).tolist()
+    assert [r["p25"], r["p50"], r["p75"]] == pytest.approx(want)
+    medians = {u: pd.Series([x for _, x in own if x is not None]).median() for u, own in by.items()}
+    got = {r["u"]: (r["m"], r["n"]) for r in session("collapse (median) m=x (count) n=x, by(u)").current().collect()}
+    assert got == {u: (m, sum(x is not None for _, x in by[u])) for u, m in medians.items()}
+    assert {(r["u"], r["m"]) for r in session("egen m = median(x), by(u)").current().collect()} == set(medians.items())
+    assert session("collapse (median) m=x").current().first()["m"] == pd.Series(xs).median()
+    assert session("keep if x > 99\ncollapse (median) m=x").current().first()["m"] is None
+    # time without a unit
+    s = session("keep if u == 1\ntsset t\ngenerate a = L.x")
+    assert {(r["t"], r["a"]) for r in s.current().collect()} == {(t, dict(by[1]).get(t - 1)) for t, _ in by[1]}
+    assert "SinglePartition" not in s.current()._jdf.queryExecution().toString() and "lag(`x`, 1)" in s.sql()
