@@ -247,6 +247,100 @@ for _k in ("csv", "json", "parquet", "dta"):
     SQL[f"roundtrip_{_k}"] = "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation"
 
 
+def dta_value_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels that went through a data file, in place of the numbers."""
+    from statloom.sources.files import scratch
+
+    path = f"{scratch(spark)}/labelled.dta"
+    s = Session(spark)
+    s.script(f'''use "{d}/nation.parquet", clear
+label variable n_name "Name of the nation"
+label define regions 0 "zero" 1 "one" 2 "two"
+label values n_regionkey regions
+save "{path}", replace
+use "{path}", clear''')
+    return s.decoded("n_regionkey").select("n_nationkey", "n_name", "n_regionkey", F.lit(s.labels["n_name"]).alias("label"))
+
+
+QUERIES["dta_value_labels"] = dta_value_labels
+SQL["dta_value_labels"] = "SELECT n_nationkey, n_name, CASE n_regionkey WHEN 0 THEN 'zero' WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE n_regionkey::VARCHAR END AS n_regionkey, 'Name of the nation' AS label FROM nation"
+
+
+def dta_types(spark: SparkSession, d: str) -> DataFrame:
+    """Times, dates, numbers, missing values and texts that went through a data file, in their order."""
+    from statloom.sources.files import scratch
+
+    path = f"{scratch(spark)}/orders.dta"
+    s = Session(spark)
+    s.script(f'''use "{d}/orders.parquet", clear
+sort o_orderkey
+generate day = o_orderdate::date
+replace o_totalprice = . if o_totalprice < 100000
+save "{path}", replace
+use "{path}", clear
+generate place = _n''')
+    return s.current().select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_totalprice", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_orderstatus", "day", "place")
+
+
+QUERIES["dta_types"] = dta_types
+SQL["dta_types"] = "SELECT o_orderkey, CASE WHEN o_totalprice >= 100000 THEN o_totalprice END AS o_totalprice, o_orderdate, o_orderstatus, o_orderdate::DATE AS day, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders"
+
+
+def cleared(spark: SparkSession, d: str) -> DataFrame:
+    """Only what came after clear."""
+    s = Session(spark)
+    s.script(f'use "{d}/orders.parquet", clear\nlabel variable o_orderkey "Key"\nclear\nuse "{d}/region.parquet"')
+    return s.current().withColumn("labels", F.lit(len(s.labels) + len(s.steps) - 1))
+
+
+QUERIES["clear"] = cleared
+SQL["clear"] = "SELECT *, 0::INTEGER AS labels FROM region"
+
+
+def command_line(spark: SparkSession, d: str) -> DataFrame:
+    """The SQL that the command line prints for a script, run as SQL."""
+    from statloom.cli import compile_script
+
+    text = f'use "{d}/customer.parquet", clear\nkeep if c_acctbal > 0\nbysort c_nationkey (c_custkey): generate n = _n\nkeep c_custkey c_nationkey n\nlist\n'
+    return spark.sql(compile_script(spark, text, annotate=True).rstrip().rstrip(";"))
+
+
+QUERIES["command_line"] = command_line
+SQL["command_line"] = "SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)::INTEGER AS n FROM customer WHERE c_acctbal > 0"
+
+
+def _with_options(name: str, script: str, sql: str, **options) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        s = Session(spark, **options)
+        s.script(script.replace("{d}", d))
+        return s.current()
+
+    QUERIES[name], SQL[name] = run, sql
+
+
+_with_options("collapse_firstnm", _use("firms") + "\nduplicates drop\ndrop if missing(id)\nsort id year revenue name\ncollapse (firstnm) r=revenue (lastnm) z=revenue, by(year)",
+              "SELECT year, first(revenue ORDER BY id, year, revenue, name) FILTER (revenue IS NOT NULL) AS r, last(revenue ORDER BY id, year, revenue, name) FILTER (revenue IS NOT NULL) AS z "
+              "FROM (SELECT DISTINCT * FROM firms WHERE id IS NOT NULL) GROUP BY year", strict_nm=True)
+_with_options("merge_validated", _use("orders") + '\nkeep o_orderkey o_custkey\nrename o_custkey c_custkey\nmerge m:1 c_custkey using "{d}/customer.parquet", keep(match) keepusing(c_name) nogen',
+              "SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey", validate=True)
+
+
+def regress_one(spark: SparkSession, d: str) -> DataFrame:
+    s = Session(spark)
+    s.run(_use("orders").replace("{d}", d))
+    found = s.run("regress o_totalprice o_custkey").data
+    return found.select("variable", *(F.round(c, 4).alias(c) for c in ("coef", "se", "t")), "n")
+
+
+QUERIES["regress_one"] = regress_one
+SQL["regress_one"] = (
+    "WITH a AS (SELECT count(*) AS n, avg(o_custkey) AS mx, avg(o_totalprice) AS my, regr_sxx(o_totalprice, o_custkey) AS sxx, regr_syy(o_totalprice, o_custkey) AS syy, regr_sxy(o_totalprice, o_custkey) AS sxy FROM orders), "
+    "b AS (SELECT *, sxy / sxx AS slope, (syy - sxy * sxy / sxx) / (n - 2) AS s2 FROM a), "
+    "c AS (SELECT 'o_custkey' AS variable, slope AS coef, sqrt(s2 / sxx) AS se, n FROM b UNION ALL SELECT '_cons', my - slope * mx, sqrt(s2 * (1.0 / n + mx * mx / sxx)), n FROM b) "
+    "SELECT variable, round(coef, 4) AS coef, round(se, 4) AS se, round(coef / se, 4) AS t, n FROM c"
+)
+
+
 def do_script(spark: SparkSession, d: str) -> DataFrame:
     """A script file with all kinds of comments, a continuation and terminal verbs."""
     text = f'* orders\nuse "{d}/orders.parquet", clear // the table\n/* two\nlines */ keep if o_totalprice > 1000\nlist\ngenerate k = o_orderkey ///\n  + 1\nkeep o_orderkey k;\n'

@@ -17,7 +17,7 @@ from statloom.plans.expressions import quote
 from statloom.plans.frame import Frame
 from statloom.plans.script import TERMINAL, Command, logical_lines, names, parse, unrolled
 from statloom.runtime import share_package
-from statloom.sources import files
+from statloom.sources import dta, files
 
 LIVE = "_live"
 _TYPES = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "tinyint": "TINYINT", "string": "VARCHAR", "double": "DOUBLE", "float": "FLOAT", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "binary": "BLOB"}
@@ -157,6 +157,8 @@ class Session:
         for f in df.schema.fields:
             if f.metadata.get("label"):
                 self.labels[f.name] = f.metadata["label"]
+        if kind == "dta":
+            self.value_labels, self.attached = dta.labels_of(self.spark, name)
         return self._add(c.text, Frame(df), f"SELECT * FROM {files.source_sql(name, kind)}")
 
     def _save(self, c: Command) -> Result:
@@ -171,7 +173,7 @@ class Session:
             df.createOrReplaceTempView(view)
             self._views.add(view)
         else:
-            files.write(self._labelled(), name, labels=self.labels)
+            files.write(self._labelled(), name, labels=self.labels, value_labels=self.value_labels, attached=self.attached)
         return Result()
 
     def _labelled(self) -> DataFrame:

@@ -1,26 +1,31 @@
 """Statistical data files, format versions 117 to 121.
 
 The layout is the published one: tagged sections, fixed-width rows, long strings in a section of their own.  Rows have one width,
-so a file is read in ranges of rows, one per task.
+so a file is read in ranges of rows, one per task, from any file system that Arrow knows.  Tasks pack the rows of a file to be written;
+the driver only copies their bytes, as the format is one file.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import math
 import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow.fs import FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from statloom.errors import CommandError
+from statloom.plans.expressions import quote
+from statloom.runtime import share_package
 
 #: Rows of a task's range.
 RANGE = 250_000
@@ -36,8 +41,22 @@ _CODE = {_DOUBLE: "d", _FLOAT: "f", _LONG: "i", _INT: "h", _BYTE: "b"}
 _LARGEST = {_DOUBLE: 8.9884656743e307, _FLOAT: 1.70141173319e38, _LONG: 2147483620, _INT: 32740, _BYTE: 100}
 
 
-def local_path(path: str) -> str:
-    return urlparse(path).path if path.startswith("file:") else path
+def located(spark: SparkSession, path: str) -> str:
+    """The path as an address: without a scheme it lies on the default file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
+def _place(path: str) -> tuple[FileSystem, str]:
+    if "://" not in path:
+        return LocalFileSystem(), os.path.abspath(urlparse(path).path if path.startswith("file:") else path)
+    return FileSystem.from_uri(path)
+
+
+def opened(path: str):
+    """A file to read, on any machine."""
+    system, place = _place(path)
+    return open(place, "rb") if isinstance(system, LocalFileSystem) else system.open_input_file(place)
 
 
 @dataclass
@@ -65,7 +84,7 @@ def _text(raw: bytes, release: int) -> str:
 
 def header(path: str) -> Header:
     """Everything before the rows."""
-    with open(local_path(path), "rb") as f:
+    with opened(path) as f:
         start = f.read(200)
         if not start.startswith(b"<stata_dta>"):
             raise CommandError(f"{path} is not a data file of version 117 or later")
@@ -112,21 +131,43 @@ _SPARK = {"date": T.DateType(), "timestamp": T.TimestampNTZType(), "double": T.D
 _ARROW = {"date": pa.date32(), "timestamp": pa.timestamp("us"), "double": pa.float64(), "float": pa.float32(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}
 
 
-def long_strings(f, h: Header, wanted: set[tuple[int, int]]) -> dict[tuple[int, int], str]:
-    """The long strings that a range of rows refers to, by variable and row."""
-    found: dict[tuple[int, int], str] = {}
-    f.seek(h.strls)
-    while wanted and f.read(3) == b"GSO":
-        v, o = struct.unpack(h.order + ("II" if h.release == 117 else "IQ"), f.read(8 if h.release == 117 else 12))
+def _strings(f, h: Header, at: int, wanted: set[tuple[int, int]] | None = None) -> Iterator[tuple[int, tuple[int, int], str | None]]:
+    """(place, (variable, row), text if wanted) of the long strings from a place in the file on."""
+    f.seek(at)
+    while f.read(3) == b"GSO":
+        key = struct.unpack(h.order + ("II" if h.release == 117 else "IQ"), f.read(8 if h.release == 117 else 12))
         kind, size = struct.unpack(h.order + "BI", f.read(5))
-        if (v, o) in wanted:
+        text = None
+        if wanted is not None and key in wanted:
             raw = f.read(size)
-            found[v, o] = (raw[:-1] if kind == 130 else raw).decode("latin-1" if h.release < 118 else "utf-8", "replace")
-            if len(found) == len(wanted):
-                break
-        else:
-            f.seek(size, os.SEEK_CUR)
-    return found
+            text = (raw[:-1] if kind == 130 else raw).decode("latin-1" if h.release < 118 else "utf-8", "replace")
+        yield at, key, text
+        at += 3 + (8 if h.release == 117 else 12) + 5 + size
+        f.seek(at)
+
+
+def long_strings(f, h: Header, wanted: set[tuple[int, int]], at: int) -> tuple[dict[tuple[int, int], str], int]:
+    """The long strings that rows refer to, and the place after the last one; they are looked for from a place on, what is missing from the start."""
+    found: dict[tuple[int, int], str] = {}
+    after = at
+    for begin in dict.fromkeys((at, h.strls)):
+        for place, key, text in _strings(f, h, begin, wanted) if len(found) < len(wanted) else ():
+            if text is not None:
+                found[key] = text
+                after = max(after, place)
+                if len(found) == len(wanted):
+                    break
+    return found, after
+
+
+def string_places(f, h: Header, starts: list[int]) -> list[int]:
+    """For ranges of rows, the place of the first long string of a row in or after each: one pass over their heads."""
+    out: list[int] = []
+    if _STRL in h.kinds:
+        for place, (_, row), _ in _strings(f, h, h.strls):
+            while len(out) < len(starts) and row > starts[len(out)]:
+                out.append(place)
+    return out + [h.strls] * (len(starts) - len(out))
 
 
 def _reference(raw: bytes, h: Header) -> tuple[int, int]:
@@ -142,21 +183,23 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self):
-        n = header(self.path).n
-        return [InputPartition((a, min(a + RANGE, n))) for a in range(0, max(n, 1), RANGE)]
+        h = header(self.path)
+        starts = list(range(0, max(h.n, 1), RANGE))
+        with opened(self.path) as f:
+            return [InputPartition((a, min(a + RANGE, h.n), place)) for a, place in zip(starts, string_places(f, h, starts))]
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         h = header(self.path)
-        a, b = partition.value
+        a, b, place = partition.value
         cols = [(n, c, _kind(c, fm)) for n, c, fm in zip(h.names, h.kinds, h.formats) if c != _ALIAS]
         shape = struct.Struct(h.order + "".join(_CODE.get(c) or f"{_WIDTH.get(c, c)}s" for _, c, _ in cols))
-        with open(local_path(self.path), "rb") as f:
+        with opened(self.path) as f:
             while a < b:
                 n = min(20_000, b - a)
                 f.seek(h.data + a * h.width)
                 columns = list(zip(*shape.iter_unpack(f.read(n * h.width)))) if cols else []
                 wanted = {_reference(r, h) for (_, c, _), col in zip(cols, columns) if c == _STRL for r in col}
-                texts = long_strings(f, h, wanted - {(0, 0)})
+                texts, place = long_strings(f, h, wanted - {(0, 0)}, place)
                 arrays = []
                 for (_, c, kind), col in zip(cols, columns):
                     if c == _STRL:
@@ -198,7 +241,7 @@ def value_labels(path: str) -> dict[str, dict[int, str]]:
     h = header(path)
     wide = 33 if h.release == 117 else 129
     out: dict[str, dict[int, str]] = {}
-    with open(local_path(path), "rb") as f:
+    with opened(path) as f:
         f.seek(h.value_labels)
         while f.read(5) == b"<lbl>":
             size = struct.unpack(h.order + "I", f.read(4))[0]
@@ -214,10 +257,19 @@ def value_labels(path: str) -> dict[str, dict[int, str]]:
     return out
 
 
+def labels_of(spark: SparkSession, path: str) -> tuple[dict[str, dict[int, str]], dict[str, str]]:
+    """(value labels by name, label name by variable) of a file."""
+    path = located(spark, path)
+    h, known = header(path), value_labels(path)
+    return known, {n: label for n, label in zip(h.names, h.value_label_of) if label in known}
+
+
 def read(spark: SparkSession, path: str, with_value_labels: bool = False) -> DataFrame:
     """A data file; with ``with_value_labels`` labelled numbers become their texts."""
     spark.dataSource.register(DtaSource)
-    if not os.path.exists(local_path(path)):
+    path = located(spark, path)
+    system, place = _place(path)
+    if system.get_file_info(place).type != FileType.File:
         raise CommandError(f"cannot open {path}")
     df = spark.read.format("dta").load(path)
     # the labels are metadata that the scan may not carry through
@@ -257,83 +309,127 @@ def _out_kind(t: T.DataType) -> tuple[int, str]:
 _MISSING = {_DOUBLE: 2.0**1023, _FLOAT: 2.0**127, _LONG: 2147483621, _INT: 32741, _BYTE: 101}
 
 
-def write(df: DataFrame, path: str, labels: dict[str, str]) -> None:
-    """A file of version 118.  Rows stream through the driver one partition at a time, as the format is one file."""
+def _lettered(path_labels: dict[str, dict[int, str]]) -> bytes:
+    """The section of value labels."""
+    out = []
+    for name, mapping in path_labels.items():
+        numbers = sorted(mapping)
+        texts = [mapping[k].encode("utf-8") + b"\0" for k in numbers]
+        offsets = np.cumsum([0, *map(len, texts)])[:-1] if texts else []
+        body = struct.pack("<II", len(numbers), sum(map(len, texts))) + struct.pack(f"<{len(numbers)}I", *map(int, offsets)) + struct.pack(f"<{len(numbers)}i", *numbers) + b"".join(texts)
+        out.append(b"<lbl>" + struct.pack("<I", len(body)) + _padded(name, 129) + b"\0\0\0" + body + b"</lbl>")
+    return b"".join(out)
+
+
+def _padded(text: str, width: int) -> bytes:
+    raw = text.encode("utf-8")[:width - 1].decode("utf-8", "ignore").encode("utf-8")
+    return raw.ljust(width, b"\0")
+
+
+def _packer(kinds: list[tuple[int, str]], offsets: dict[int, int]):
+    """Packs batches of rows with ``__mid`` as last column into (start, n, rows, strings): consecutive rows and their long strings as bytes."""
+    shape = np.dtype([(f"f{i}", f"S{c}" if c <= FIXED else "u8" if c == _STRL else "<" + {"d": "f8", "f": "f4", "i": "i4", "h": "i2", "b": "i1"}[_CODE[c]]) for i, (c, _) in enumerate(kinds)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mid = batch.column(batch.num_columns - 1).to_numpy()
+            # rows are counted from 1
+            number = np.array([offsets[int(p)] for p in mid >> 33], np.int64) + (mid & ((1 << 33) - 1)) + 1
+            cells = np.zeros(len(mid), shape)
+            strings: list[tuple[int, bytes]] = []
+            for i, (c, fm) in enumerate(kinds):
+                col = batch.column(i)
+                if c == _STRL:
+                    at = np.flatnonzero(pc.fill_null(pc.greater(pc.binary_length(col), 0), False).to_numpy(zero_copy_only=False))
+                    cells[f"f{i}"][at] = (i + 1) | number[at].astype(np.uint64) << np.uint64(16)
+                    for k in at.tolist():
+                        raw = col[k].as_py().encode("utf-8") + b"\0"
+                        strings.append((k, b"GSO" + struct.pack("<IQBI", i + 1, int(number[k]), 130, len(raw)) + raw))
+                elif c <= FIXED:
+                    cells[f"f{i}"] = [b"" if x is None else x.encode("utf-8") for x in col.to_pylist()]
+                else:
+                    if fm == "%td":
+                        col = pc.add(col.cast(pa.int32()), _DAYS)
+                    elif fm == "%tc":
+                        col = pc.divide(pc.add(col.cast(pa.timestamp("us")).cast(pa.int64()).cast(pa.float64()), _DAYS * 86_400e6), 1000.0)
+                    elif pa.types.is_boolean(col.type):
+                        col = col.cast(pa.int8())
+                    elif pa.types.is_decimal(col.type):
+                        col = col.cast(pa.float64())
+                    x = col.cast(pa.float64()).to_numpy(zero_copy_only=False)
+                    with np.errstate(invalid="ignore"):
+                        lost = ~np.isfinite(x) | (x > _LARGEST[c])
+                        if c in (_LONG, _INT, _BYTE):
+                            lost |= x < -_LARGEST[c] - 40
+                        cells[f"f{i}"] = np.where(lost, _MISSING[c], x)
+            # pieces of consecutive rows: a batch may hold ends of several
+            cuts = [0, *(np.flatnonzero(np.diff(number) != 1) + 1).tolist(), len(number)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    own = b"".join(raw for k, raw in sorted((x for x in strings if lo <= x[0] < hi), key=lambda x: x[0]))
+                    yield pa.RecordBatch.from_arrays([pa.array([int(number[lo])]), pa.array([hi - lo]), pa.array([cells[lo:hi].tobytes()]), pa.array([own])], ["start", "n", "rows", "strings"])
+
+    return run
+
+
+def write(df: DataFrame, path: str, labels: dict[str, str], value_labels: dict[str, dict[int, str]] | None = None, attached: dict[str, str] | None = None) -> None:
+    """A file of version 118 with the rows in the order of ``df``; an older file is replaced only when the new one is complete.
+
+    The rows become a table that settles their order; tasks pack them, and the driver copies the packed bytes to the one file, piece by piece.
+    """
+    from statloom.sources.files import cut
+
+    spark = df.sparkSession
+    share_package(spark)
+    value_labels, attached = value_labels or {}, attached or {}
     fields = df.schema.fields
     kinds = [_out_kind(f.dataType) for f in fields]
     texts = [f.name for f, (k, _) in zip(fields, kinds) if k == _STRL]
     if texts:
-        df = df.withColumns({n: F.col(n).cast("string") for n in texts})
-        longest = df.agg(*(F.max(F.octet_length(n)).alias(n) for n in texts)).first()
+        df = df.withColumns({n: F.col(quote(n)).cast("string") for n in texts})
+    placed = cut(df.withColumn("__mid", F.monotonically_increasing_id()))
+    if texts:
+        longest = placed.agg(*(F.max(F.octet_length(quote(n))).alias(n) for n in texts)).first()
         kinds = [(min(max(1, longest[f.name] or 1), FIXED + 1), f"%{max(1, min(longest[f.name] or 1, FIXED))}s") if k == _STRL else (k, fm) for f, (k, fm) in zip(fields, kinds)]
         kinds = [(_STRL if k == FIXED + 1 else k, fm) for k, fm in kinds]
-    target = local_path(path)
-    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
+    counts = sorted((r["p"], r["n"]) for r in placed.groupBy(F.shiftright("__mid", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, n = {}, 0
+    for p, size in counts:
+        offsets[p] = n
+        n += size
+    packed = cut(placed.mapInArrow(_packer(kinds, offsets), "start long, n long, rows binary, strings binary"))
+    gso = packed.agg(F.sum(F.octet_length("strings"))).first()[0] or 0
+    width = sum(_WIDTH.get(c, c) for c, _ in kinds)
+    k = len(fields)
+    stamp = b"01 Jan 1960 00:00"
+    head = b"<stata_dta><header><release>118</release><byteorder>LSF</byteorder><K>" + struct.pack("<H", k) + b"</K><N>" + struct.pack("<Q", n)
+    head += b"</N><label>" + struct.pack("<H", 0) + b"</label><timestamp>" + bytes([len(stamp)]) + stamp + b"</timestamp></header>"
+    known = {name: value_labels[name] for f in fields if (name := attached.get(f.name)) in value_labels}
+    sections = [
+        (b"variable_types", struct.pack(f"<{k}H", *(c for c, _ in kinds))), (b"varnames", b"".join(_padded(f.name, 129) for f in fields)), (b"sortlist", b"\0\0" * (k + 1)),
+        (b"formats", b"".join(_padded(fm, 57) for _, fm in kinds)), (b"value_label_names", b"".join(_padded(attached[f.name] if attached.get(f.name) in known else "", 129) for f in fields)),
+        (b"variable_labels", b"".join(_padded(labels.get(f.name, "")[:80], 321) for f in fields)), (b"characteristics", b""),
+    ]
+    places, at = [0, len(head)], len(head) + 11 + 112
+    body = b""
+    for tag, content in sections:
+        places.append(at)
+        body += b"<" + tag + b">" + content + b"</" + tag + b">"
+        at += 2 * len(tag) + 5 + len(content)
+    last = b"<value_labels>" + _lettered(known) + b"</value_labels>"
+    # what follows has known sizes: rows, long strings, value labels
+    places += [at, at + 13 + n * width, at + 13 + n * width + 15 + gso]
+    end = places[-1] + len(last)
+    places += [end, end + 12]
+    system, target = _place(located(spark, path))
+    if isinstance(system, LocalFileSystem):
+        os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
     part = target + ".part"
-    n, gso = 0, []
-    with open(part, "wb") as f:
-        def pad(text: str, width: int) -> bytes:
-            raw = text.encode("utf-8")
-            while len(raw) >= width:
-                text = text[:-1]
-                raw = text.encode("utf-8")
-            return raw.ljust(width, b"\0")
-
-        places = []
-
-        def section(tag: bytes, body: bytes) -> None:
-            places.append(f.tell())
-            f.write(b"<" + tag + b">" + body + b"</" + tag + b">")
-
-        k = len(fields)
-        f.write(b"<stata_dta>")
-        stamp = b"01 Jan 1960 00:00"
-        f.write(b"<header><release>118</release><byteorder>LSF</byteorder><K>" + struct.pack("<H", k) + b"</K><N>")
-        n_at = f.tell()
-        f.write(struct.pack("<Q", 0) + b"</N><label>" + struct.pack("<H", 0) + b"</label><timestamp>" + bytes([len(stamp)]) + stamp + b"</timestamp></header>")
-        map_at = f.tell()
-        section(b"map", b"\0" * 112)
-        section(b"variable_types", struct.pack(f"<{k}H", *(c for c, _ in kinds)))
-        section(b"varnames", b"".join(pad(x.name, 129) for x in fields))
-        section(b"sortlist", b"\0\0" * (k + 1))
-        section(b"formats", b"".join(pad(fm, 57) for _, fm in kinds))
-        section(b"value_label_names", b"\0" * 129 * k)
-        section(b"variable_labels", b"".join(pad(labels.get(x.name, "")[:80], 321) for x in fields))
-        section(b"characteristics", b"")
-        places.append(f.tell())
-        f.write(b"<data>")
-        for row in df.toLocalIterator():
-            n += 1
-            cells = []
-            for i, (x, (c, fm)) in enumerate(zip(row, kinds)):
-                if c == _STRL:
-                    if x:
-                        gso.append((i + 1, n, x))
-                    cells.append((i + 1).to_bytes(2, "little") + n.to_bytes(6, "little") if x else b"\0" * 8)
-                elif c <= FIXED:
-                    cells.append((x or "").encode("utf-8").ljust(c, b"\0"))
-                else:
-                    if fm == "%td" and x is not None:
-                        x = (x - dt.date(1960, 1, 1)).days
-                    elif fm == "%tc" and x is not None:
-                        x = (x.replace(tzinfo=None) - _EPOCH) / dt.timedelta(milliseconds=1)
-                    if x is None or isinstance(x, float) and not math.isfinite(x) or x > _LARGEST[c] or c in (_LONG, _INT, _BYTE) and x < -_LARGEST[c] - 40:
-                        x = _MISSING[c]
-                    cells.append(struct.pack("<" + _CODE[c], float(x) if c in (_DOUBLE, _FLOAT) else int(x)))
-            f.write(b"".join(cells))
-        f.write(b"</data>")
-        places.append(f.tell())
-        f.write(b"<strls>")
-        for v, o, x in gso:
-            raw = x.encode("utf-8") + b"\0"
-            f.write(b"GSO" + struct.pack("<IQBI", v, o, 130, len(raw)) + raw)
-        f.write(b"</strls>")
-        section(b"value_labels", b"")
-        end = f.tell()
-        f.write(b"</stata_dta>")
-        size = f.tell()
-        f.seek(n_at)
-        f.write(struct.pack("<Q", n))
-        f.seek(map_at + 5)
-        f.write(struct.pack("<14Q", 0, map_at, *places[1:], end, size))
-    os.replace(part, target)
+    with system.open_output_stream(part) as f:
+        f.write(head + b"<map>" + struct.pack("<14Q", *places) + b"</map>" + body + b"<data>")
+        for column, between in (("rows", b"</data><strls>"), ("strings", b"</strls>")):
+            for r in packed.select("start", column).orderBy("start").toLocalIterator():
+                f.write(bytes(r[column]))
+            f.write(between)
+        f.write(last + b"</stata_dta>")
+    system.move(part, target)

@@ -57,13 +57,13 @@ def source_sql(name: str, kind: str | None = None) -> str:
     return f"{kind}.{quote(name)}" if kind else ".".join(quote(p) for p in name.split("."))
 
 
-def write(df: DataFrame, path: str, kind: str | None = None, labels: dict | None = None) -> None:
+def write(df: DataFrame, path: str, kind: str | None = None, labels: dict | None = None, value_labels: dict | None = None, attached: dict | None = None) -> None:
     """Write a dataset; an older one is replaced only when the new one is complete, so a source can be saved onto itself."""
     kind = kind or kind_of(path) or "parquet"
     if kind == "dta":
         from statloom.sources import dta
 
-        dta.write(df, path, labels or {})
+        dta.write(df, path, labels or {}, value_labels, attached)
         return
     spark = df.sparkSession
     part = f"{path.rstrip('/')}.{uuid.uuid4().hex}.part"

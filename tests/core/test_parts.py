@@ -104,6 +104,30 @@ def test_dta_write_and_value_labels(spark, tmp_path):
     assert [r["k"] for r in dta.read(spark, f"{tmp_path}/c.dta", with_value_labels=True).collect()] == ["low", "high", "low"]
 
 
+def test_dta_keeps_labels_order_and_strings(spark, tmp_path, monkeypatch):
+    from statloom.session import Session
+
+    monkeypatch.setattr(dta, "RANGE", 40)
+    rows = [(i, i % 3, "s" * (i % 9), None if i % 5 == 0 else f"é{i}" * (1000 if i % 4 == 0 else 1), i / 7, dt.date(1950 + i, 1, 2), dt.datetime(1955, 3, 4, 5, 6, i % 60), i % 2 == 0) for i in range(150)]
+    spark.createDataFrame(rows, "id int, k int, s string, t string, x double, d date, at timestamp_ntz, b boolean").repartition(7).write.parquet(f"{tmp_path}/in.parquet")
+    s = Session(spark)
+    s.script(f"""use "{tmp_path}/in.parquet", clear
+sort id
+label variable x "An x"
+label define kinds 0 "none" 1 "öne" 2 "two"
+label values k kinds
+save "file://{tmp_path}/out.dta", replace
+use "file://{tmp_path}/out.dta", clear""")
+    assert s.labels == {"x": "An x"} and s.value_labels == {"kinds": {0: "none", 1: "öne", 2: "two"}} and s.attached == {"k": "kinds"}
+    got = [tuple(r) for r in s.current().collect()]
+    assert got == [(i, k, a, t or "", x, d, at, int(b)) for i, k, a, t, x, d, at, b in rows]
+    assert {r["k"] for r in s.decoded("k").collect()} == {"none", "öne", "two"}
+    back = pd.read_stata(f"{tmp_path}/out.dta")
+    assert back["k"].tolist()[:3] == ["none", "öne", "two"] and back["t"].tolist()[4] == "é4" * 1000 and back["id"].tolist() == list(range(150))
+    s.script(f'keep if id < 0\nsave "{tmp_path}/none.dta", replace\nuse "{tmp_path}/none.dta", clear')
+    assert s.current().count() == 0 and len(pd.read_stata(f"{tmp_path}/none.dta")) == 0
+
+
 def test_dta_versions_120_and_121(spark, tmp_path):
     path = f"{tmp_path}/v.dta"
     dta.write(spark.createDataFrame([(1, "a")], "i int, s string"), path, {})
