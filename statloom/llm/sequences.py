@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from statloom.llm.common import Stage
 
-#: Width of a block of the index: a long sequence is shortened block by block before its blocks meet.
-BLOCK = 16_384
+#: Width of a block of the index: a long sequence is shortened block by block, then so many blocks at a time, until one is left.
+BLOCK, BLOCKS = 16_384, 64
 #: Prefixes that one pass over the sequences extends, about; more are taken in parts.
 PREFIXES = 4_000
 #: Counters a task holds, numbers it works on at once, and places of sequences that it takes together.
@@ -250,7 +250,7 @@ def frequent_sequences(events: DataFrame, group: str, index: str, item: Column,
     rows = stage.cut(rows.groupBy("g", "i").agg(F.min("item").alias("item")), "events")
     schema = T.StructType([T.StructField("pattern", T.ArrayType(T.StringType())), T.StructField("support", T.LongType())])
     pairs = rows.select("g", "item").distinct()
-    total = rows.select("g").distinct().count()
+    total, least, most = rows.agg(F.countDistinct("g"), F.min("i"), F.max("i")).first()
     need = max(min_count, int(np.ceil(min_share * total - 1e-9)), 1)
     # at most m / min_share items, if a sequence has m different items on average
     top = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= need).orderBy("item").collect()
@@ -266,9 +266,18 @@ def frequent_sequences(events: DataFrame, group: str, index: str, item: Column,
         long = F.size("s") > 2 * bound
         blocks = blocks.select("g", "b", F.col("s.c").alias("s"), long.alias("long"))
         blocks = blocks.filter("not long").select("g", "b", "s").unionByName(blocks.filter("long").select("g", "b", cut("s").alias("s")))
-        whole = blocks.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("b", "s"))).alias("s"), F.count(F.lit(1)).alias("n"))
-        whole = whole.select("n", F.flatten("s.s").alias("s"))
-        whole = whole.filter("n = 1").select("s").unionByName(whole.filter("n > 1").select(cut("s").alias("s")))
+        span = (most - least) // BLOCK + 2
+        while True:
+            last = span <= BLOCKS
+            keys = ["g"] if last else ["g", F.floor(F.col("b") / F.lit(BLOCKS)).alias("b")]
+            met = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("b", "s"))).alias("s"), F.count(F.lit(1)).alias("n"))
+            kept = ["g"] if last else ["g", "b"]
+            met = met.select(*kept, "n", F.flatten("s.s").alias("s"))
+            blocks = met.filter("n = 1").select(*kept, "s").unionByName(met.filter("n > 1").select(*kept, cut("s").alias("s")))
+            if last:
+                break
+            span = span // BLOCKS + 2
+        whole = blocks.select("s")
         # spread once, before the table: the levels read it without a shuffle
         spread = max(2 * spark.sparkContext.defaultParallelism, total // 20_000)
         sequences = stage.cut(whole.repartition(spread), "sequences", replace=True)

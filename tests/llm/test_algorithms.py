@@ -178,6 +178,7 @@ def _frequent(seqs, need, most):
 @pytest.mark.parametrize("bound,block", [(8, 16384), (2, 7)])
 def test_sequences_against_all_patterns(spark, monkeypatch, bound, block):
     monkeypatch.setattr(sequences, "BLOCK", block)
+    monkeypatch.setattr(sequences, "BLOCKS", 64 if block > 7 else 4)
     monkeypatch.setattr(sequences, "PREFIXES", 5)
     rng = random.Random(3)
     seqs = [[rng.choice("abcde") for _ in range(rng.choice([3, 5, 8, 30]))] for _ in range(30)]
