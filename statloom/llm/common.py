@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from statloom.runtime import share_package
 
@@ -39,6 +40,7 @@ class Stage:
     """Tables written to the shared folder: they cut lineage and survive the loss of any executor."""
 
     def __init__(self, spark: SparkSession, name: str):
+        share_package(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
@@ -56,6 +58,12 @@ class Stage:
         self._last[label] = path
         return self.spark.read.schema(schema).parquet(path)
 
+    def cut_counting(self, df: DataFrame, label: str, cond: Column) -> tuple[DataFrame, int]:
+        """``cut`` in place of the previous table of this label, and for how many rows a condition holds, counted while they are written (0 only if for none)."""
+        seen = Observation()
+        table = self.cut(df.observe(seen, F.count_if(cond).alias("n")), label, replace=True)
+        return table, seen.get["n"]
+
     def drop(self, label: str) -> None:
         if label in self._last:
             _delete(self.spark, self._last.pop(label))
@@ -64,3 +72,9 @@ class Stage:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts_of(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc_id, text) of a table, ready for functions of this package in Python workers."""
+    share_package(docs.sparkSession)
+    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))

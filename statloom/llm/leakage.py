@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import Stage
+from statloom.llm.common import Stage, texts_of
 
 PHRASE = 13
 #: Words of a shard; a longer document is a shard of its own.
@@ -89,7 +89,7 @@ def build_index(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
 
     Null ids, null texts and texts without words have no postings; a repeated id has the postings of all its texts.
     """
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
+    rows = texts_of(docs, doc, text).filter("doc_id is not null and text is not null")
     return rows.mapInArrow(_shards, _INDEX)
 
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statloom.llm.common import texts_of
+
 # (read as, intended).  Fixed values.
 _UTF8 = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1254", "iso8859_2", "iso8859_15", "koi8_r", "cp866", "cp852", "cp1253", "cp1257"]
 _PAIRS = [
@@ -407,7 +409,7 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _suspects(docs: DataFrame, doc: str, text: str) -> DataFrame:
     # texts of ASCII only cannot be garbled; they never leave the JVM
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
+    rows = texts_of(docs, doc, text).filter("doc_id is not null and text is not null")
     return rows.filter(F.octet_length("text") > F.char_length("text"))
 
 

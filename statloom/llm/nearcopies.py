@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import Stage
+from statloom.llm.common import Stage, texts_of
 
 WORDS = 5
 BITS = 128
@@ -275,7 +275,7 @@ class NearCopies:
     def __init__(self, docs: DataFrame, threshold: float = 0.8, doc: str = "doc_id", text: str = "text", unique_ids: bool = False):
         spark = docs.sparkSession
         self.stage, self.threshold = Stage(spark, "copies"), threshold
-        rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
+        rows = texts_of(docs, doc, text).filter("doc_id is not null and text is not null")
         self.rows = rows if unique_ids else rows.groupBy("doc_id").agg(F.min("text").alias("text"))
         feats = self.stage.cut(self.rows.mapInArrow(_features, "doc_id long, n long, k1 long, k2 long, sig binary, bands array<long>"), "features")
         classes = feats.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))

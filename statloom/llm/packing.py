@@ -9,16 +9,18 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import Stage
+from statloom.llm.common import Stage, texts_of
 
 #: Items of a partition, about.
 PARTITION = 20_000
@@ -46,13 +48,17 @@ def count_tokens(text: str | None, path: str) -> int:
 
 
 def token_counts(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, tokens) of every row; null and empty texts have none."""
+    """(doc_id, tokens) of every row; null and empty texts have none.  The rank file goes with the job to other machines."""
+    context = docs.sparkSession.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        context.addFile(path)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([count_tokens(t, path) for t in batch.column(1).to_pylist()], pa.int64())], ["doc_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([count_tokens(t, own) for t in batch.column(1).to_pylist()], pa.int64())], ["doc_id", "tokens"])
 
-    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(counted, "doc_id long, tokens long")
+    return texts_of(docs, doc, text).mapInArrow(counted, "doc_id long, tokens long")
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:

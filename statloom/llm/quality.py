@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statloom.llm.common import texts_of
 from statloom.llm.mojibake import repair
 
 #: Labelled documents that are used for the fit, at most (those with the least hash of their id).
@@ -319,7 +320,7 @@ def text_statistics(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
 
     Null, empty and blank texts have zero statistics; very long texts are measured whole; null ids and repeated rows stay; other columns are ignored.
     """
-    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_measured, _SCHEMA)
+    return texts_of(docs, doc, text).mapInArrow(_measured, _SCHEMA)
 
 
 def fit_prose(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "text_class", sample: int = SAMPLE) -> Prose:
@@ -327,7 +328,7 @@ def fit_prose(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str
     one = labels.filter(F.col(doc).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc).cast("long").alias("doc_id"))
     one = one.agg(F.min(label).alias("label"), F.max(label).alias("other")).filter("label = other")
     picked = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text is not null")
+    rows = texts_of(docs, doc, text).filter("text is not null")
     rows = rows.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")
     measured = rows.mapInArrow(_readable, _SCHEMA)
     data: pd.DataFrame = measured.join(picked, "doc_id").select("language", "label", *STATISTICS).toPandas()
@@ -356,7 +357,7 @@ def text_quality(docs: DataFrame, model: Prose, doc: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "word_count", "language", *STATISTICS, "distance", *(f"{s}_part" for s in STATISTICS), "prose"])
 
     schema = _SCHEMA + ", distance double, " + ", ".join(f"{s}_part double" for s in STATISTICS) + ", prose boolean"
-    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scored, schema)
+    return texts_of(docs, doc, text).mapInArrow(scored, schema)
 
 
 def find_prose(docs: DataFrame, model: Prose, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -368,5 +369,5 @@ def find_prose(docs: DataFrame, model: Prose, doc: str = "doc_id", text: str = "
             keep = (model.distance(x, lang)[0] <= model.limit) & (n > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], ["doc_id"])
 
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
+    rows = texts_of(docs, doc, text).filter("doc_id is not null and text is not null")
     return rows.mapInArrow(found, "doc_id long").distinct()

@@ -131,13 +131,13 @@ def run_pointers(pairs: DataFrame, stage: Stage) -> DataFrame:
     known = pairs.filter("t is not null and pt is not null")
     near = known.filter("t <> pt").filter(_same("t", "pt"))
     edges = known.filter("t = pt").select("g", "i", "p").unionByName(near.select("g", "i", "p"))
-    cur = stage.cut(edges.select("g", "i", F.col("p").alias("ptr"), F.lit(False).alias("done")), "pointers")
-    while not cur.filter("not done").isEmpty():
+    cur, left = stage.cut_counting(edges.select("g", "i", F.col("p").alias("ptr"), F.lit(False).alias("done")), "pointers", F.lit(True))
+    while left:
         to = cur.select("g", F.col("i").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("done").alias("done2"))
         moved = cur.filter("not done").join(to, ["g", "ptr"], "left").select(
             "g", "i", F.coalesce("ptr2", "ptr").alias("ptr"), F.coalesce("done2", F.lit(True)).alias("done")
         )
-        cur = stage.cut(cur.filter("done").unionByName(moved), "pointers", replace=True)
+        cur, left = stage.cut_counting(cur.filter("done").unionByName(moved), "pointers", ~F.col("done"))
     return cur.select("g", "i", F.col("ptr").alias("start"))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm.automaton import Automaton
+from statloom.llm.common import texts_of
 
 PLACEHOLDER = "<REDACTED>"
 #: Characters of a line before and after a place that the grammar sees; lines up to LINE are seen whole.  What a piece cuts is added to it.
@@ -494,11 +495,11 @@ def find_secrets(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     around each place, which are extended by the literals and tokens that they would cut.
     Other columns are ignored.  Map only but for the final distinct over the few found lines.
     """
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null and text <> ''")
+    rows = texts_of(docs, doc, text).filter("doc_id is not null and text is not null and text <> ''")
     return rows.mapInArrow(_lines, "doc_id long, line_no long").distinct()
 
 
 def redact_secrets(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_secrets, redacted): the affected documents with each secret value replaced by a placeholder, all else unchanged."""
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null and text <> ''")
+    rows = texts_of(docs, doc, text).filter("doc_id is not null and text is not null and text <> ''")
     return rows.mapInArrow(_redacted, "doc_id long, n_secrets long, redacted string")
