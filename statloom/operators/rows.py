@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from statloom.errors import CommandError
+from statloom.operators.windows import hot_groups, with_position
 from statloom.plans.expressions import quote
 from statloom.plans.frame import Frame, Key, compiled
 from statloom.plans.script import Command
@@ -139,6 +140,11 @@ def duplicates(frame: Frame, c: Command, panel: Panel = None) -> Frame:
             return Frame(frame.df.distinct())
         names = frame.columns
     frame = frame.numbered()
+    order = frame.order
+    if any(k.descending for k in order) and hot_groups(frame.df, names):
+        # one ascending place in the order, so that the aggregate below can be used
+        frame = with_position(frame, "__place")
+        frame = changed(frame, order=(Key("__place"),))
     # the first row of each group by the row order: an aggregate, so a large group is reduced before it moves
     rest = [x for x in frame.df.columns if x not in names]
     if all(not k.descending for k in frame.order):
@@ -148,7 +154,7 @@ def duplicates(frame: Frame, c: Command, panel: Panel = None) -> Frame:
         groups = [F.col(quote(n)).alias(n) for n in names]
         df = frame.df.groupBy(*groups).agg(F.min_by(packed, keys).alias("__first"))
         df = df.select(*(F.col(quote(x)) if x in names else F.col("__first")[x].alias(x) for x in frame.df.columns))
-        return changed(frame, df=df)
+        return changed(frame, df=df.drop("__place"), order=order)
     w = Window.partitionBy(*(F.col(quote(n)) for n in names)).orderBy(*(k.sort() for k in frame.order))
     return changed(frame, df=frame.df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn"))
 

@@ -406,6 +406,8 @@ def test_results_do_not_depend_on_the_size_rules(spark, tmp_path, monkeypatch, l
     assert {(r["u"], r["m"]) for r in session("egen m = median(x), by(u)").current().collect()} == set(medians.items())
     assert session("collapse (median) m=x").current().first()["m"] == pd.Series(xs).median()
     assert session("keep if x > 99\ncollapse (median) m=x").current().first()["m"] is None
+    # the first row of each group in a descending order
+    assert sorted((r["u"] or 0, r["t"], len(r)) for r in session("sort t, desc\nduplicates drop u").current().collect()) == [(0, 11, 3), (1, 11, 3), (2, 11, 3)]
     # time without a unit
     s = session("keep if u == 1\ntsset t\ngenerate a = L.x")
     assert {(r["t"], r["a"]) for r in s.current().collect()} == {(t, dict(by[1]).get(t - 1)) for t, _ in by[1]}
