@@ -59,7 +59,7 @@ STATISTICS = ["log_words", "mean_word_length", "symbol_ratio", "line_end_punctua
 _LETTER, _SIGN, _WORDY, _DIGIT, _BLANK, _ASCII_DIGIT, _CODED, _STRANGE, _TRAILING, _LEADING, _ENDING, _STOPPING, _EAST_STOP, _CLOSING, _LOWER, _UPPER = (1 << k for k in range(16))
 #: Characters beyond are letters of rare scripts.
 _PLANES = 0x20000
-#: Characters and texts that are measured together; a longer text is taken whole.
+#: Characters and texts that are measured together; a longer text is counted in parts.
 GROUP, GROUP_TEXTS = 1_000_000, 4_000
 #: Longest common word.
 _LONGEST = 24
@@ -112,8 +112,22 @@ def _following(x: np.ndarray) -> np.ndarray:
     return np.concatenate((x[1:], [False]))
 
 
-def _measure(docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(statistics, word count, language number) of texts, each given by its lines without blanks around; one line at least."""
+class _Counts:
+    """What is counted in the characters of texts: per line and per text."""
+
+    PER_LINE, PER_TEXT = ("counts", "commons", "owns", "codes", "sizes", "spaces"), ("hits", "cjk", "pieces", "odd", "dense", "digits", "ended", "stops")
+
+    def __init__(self, **counts: np.ndarray):
+        self.__dict__.update(counts)
+
+    @staticmethod
+    def of_one(parts: list[_Counts]) -> _Counts:
+        """The counts of a text from those of its parts."""
+        return _Counts(**{k: np.concatenate([getattr(p, k) for p in parts]) for k in _Counts.PER_LINE}, **{k: sum(getattr(p, k) for p in parts) for k in _Counts.PER_TEXT})
+
+
+def _count(docs: list[list[str]]) -> _Counts:
+    """Counts of texts, each given by its lines without blanks around; one line at least."""
     marks_of, lower_of = _characters()
     lines = [x for d in docs for x in d]
     cp = np.frombuffer(("\n".join(lines) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -155,9 +169,6 @@ def _measure(docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         by_word = np.bincount(doc_of[word_line[common]] * len(known) + k[common], minlength=len(docs) * len(known)).reshape(len(docs), -1)
         lang_hits = by_word @ languages
         n_cjk = np.bincount(doc_of[word_line[(length == 1) & (own[first] >= 0x3040)]], minlength=len(docs))
-    n, common, letters = per_doc(counts), per_doc(commons), per_doc(owns)
-    lang = np.where(n > 0, np.argmax(lang_hits, axis=1), 0)
-    lang = np.where(n_cjk * 2 > n, len(_LANGUAGES) - 1, lang)
 
     # pieces between blanks, without marks around them
     solid = ~has(_BLANK)
@@ -176,19 +187,29 @@ def _measure(docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     piece_doc = doc_of[line_of[begin]]
     pieces, n_odd = np.bincount(piece_doc, minlength=len(docs)), np.bincount(piece_doc[odd], minlength=len(docs))
 
-    codes = per_line(has(_CODED))
-    dense, digits, code = per_doc(per_line(solid)), per_doc(per_line(has(_ASCII_DIGIT))), per_doc(codes)
-    ended = per_doc((marks[line_end - 1] & _ENDING) != 0)
-    stops = per_doc(per_line(has(_STOPPING) & _following(has(_BLANK | _CLOSING)) | has(_EAST_STOP)))
+    return _Counts(
+        counts=counts, commons=commons, owns=owns, codes=per_line(has(_CODED)), sizes=line_end - line_first, spaces=per_line(cp == 32), hits=lang_hits, cjk=n_cjk, pieces=pieces, odd=n_odd,
+        dense=per_doc(per_line(solid)), digits=per_doc(per_line(has(_ASCII_DIGIT))), ended=per_doc((marks[line_end - 1] & _ENDING) != 0),
+        stops=per_doc(per_line(has(_STOPPING) & _following(has(_BLANK | _CLOSING)) | has(_EAST_STOP))),
+    )
+
+
+def _measure(docs: list[list[str]], c: _Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(statistics, word count, language number) of texts from their counts."""
+    lines = [x for d in docs for x in d]
+    n_lines = np.array([len(d) for d in docs])
+    doc_of = np.repeat(np.arange(len(docs)), n_lines)
+    per_doc = lambda x: np.add.reduceat(x, np.cumsum(n_lines) - n_lines, dtype=np.int64)
+    n, common, letters, code = per_doc(c.counts), per_doc(c.commons), per_doc(c.owns), per_doc(c.codes)
+    lang = np.where(n > 0, np.argmax(c.hits, axis=1), 0)
+    lang = np.where(c.cjk * 2 > n, len(_LANGUAGES) - 1, lang)
     # an item that ends with its line, a comment, or a line of a few words is no running text
-    sizes = line_end - line_first
-    spaces = per_line(cp == 32)
-    running = (sizes >= 12) & (counts >= 4) & (commons * np.array(_RUNNING)[lang[doc_of]] >= counts) & (codes * 16 <= sizes) & (owns * 10 >= 6 * (sizes - spaces))
+    running = (c.sizes >= 12) & (c.counts >= 4) & (c.commons * np.array(_RUNNING)[lang[doc_of]] >= c.counts) & (c.codes * 16 <= c.sizes) & (c.owns * 10 >= 6 * (c.sizes - c.spaces))
     for k in np.flatnonzero(running).tolist():
         line = lines[k]
         last = k + 1 == len(lines) or doc_of[k + 1] != doc_of[k]
         running[k] = not (len(line) < 90 and _ITEM.match(line) and (last or _ITEM.match(lines[k + 1]))) and not _COMMENT.match(line)
-    prose = per_doc(np.where(running, sizes, 0))
+    prose = per_doc(np.where(running, c.sizes, 0))
     small, repeated = np.empty(len(docs)), np.empty(len(docs))
     for k, d in enumerate(docs):
         starts = [d[0].lstrip("#*-> \"'“«(")[:1], *_START.findall("\n".join(d))]
@@ -196,8 +217,8 @@ def _measure(docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         repeated[k] = 1 - len(set(d)) / len(d)
     some = np.maximum(n, 1)
     return np.column_stack([
-        np.log1p(n), letters / some, np.maximum(0, dense - letters - digits) / dense, ended / n_lines, common / some, digits / dense, code / dense, n_odd / pieces,
-        np.log1p(n / n_lines), repeated, prose / per_doc(sizes), np.log1p(n / (stops + 0.5)), small,
+        np.log1p(n), letters / some, np.maximum(0, c.dense - letters - c.digits) / c.dense, c.ended / n_lines, common / some, c.digits / c.dense, code / c.dense, c.odd / c.pieces,
+        np.log1p(n / n_lines), repeated, prose / per_doc(c.sizes), np.log1p(n / (c.stops + 0.5)), small,
     ]), n, lang
 
 
@@ -209,12 +230,18 @@ def describe(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     size = 0
     for k, t in enumerate(texts):
         lines = [x for x in map(str.strip, t.split("\n")) if x] if t else []
-        if lines:
+        if lines and len(t) > GROUP:  # type: ignore[arg-type]
+            # a very long text: its lines in parts
+            ends = np.cumsum([len(x) for x in lines]) // GROUP
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(lines)]
+            whole = _Counts.of_one([_count([lines[a:b]]) for a, b in zip(cuts, cuts[1:])])
+            out[k:k + 1], n[k:k + 1], lang[k:k + 1] = _measure([lines], whole)
+        elif lines:
             rows.append(k)
             docs.append(lines)
             size += len(t)  # type: ignore[arg-type]
         if docs and (size >= GROUP or len(docs) >= GROUP_TEXTS or k + 1 == len(texts)):
-            out[rows], n[rows], lang[rows] = _measure(docs)
+            out[rows], n[rows], lang[rows] = _measure(docs, _count(docs))
             rows, docs, size = [], [], 0
     return out, n, lang
 

@@ -468,6 +468,16 @@ def test_statistics(spark):
     assert all(r["word_count"] == 0 and r["symbol_ratio"] == 0 for r in rows if r["doc_id"] in (2, 3, 4))
 
 
+@pytest.mark.parametrize("group", [40, 700])
+def test_statistics_do_not_depend_on_the_parts(monkeypatch, group):
+    texts = [PROSE * 3, None, CODE, "", LIST + TABLE, " \n", "中文 abc中文 don't x’y (a.b) \"c\" =\n" + SENTENCES[7] * 3 + "\n" + LOG, SALAD, "x" * 900, "Buy now!\n" * 50]
+    want = quality.describe(texts)
+    monkeypatch.setattr(quality, "GROUP", group)
+    got = quality.describe(texts)
+    assert all(np.array_equal(a, b) for a, b in zip(want, got)) and got[0][-1][9] == pytest.approx(0.98)
+    assert all(np.array_equal(quality.describe([t])[0][0], want[0][k]) for k, t in enumerate(texts))
+
+
 def test_prose_is_told_from_the_rest(spark):
     rng = random.Random(11)
     sentences = PROSE.strip().split(". ")
