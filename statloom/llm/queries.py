@@ -110,6 +110,11 @@ def p5_closed(spark: SparkSession, d: str) -> DataFrame:
     return _patterns(spark, d).closed
 
 
+def p5_supports(spark: SparkSession, d: str) -> DataFrame:
+    """The closed patterns as texts."""
+    return _patterns(spark, d).closed.select(F.array_join("pattern", " > ").alias("pattern"), "support")
+
+
 #: Rank file of the tokenizer that sizes are counted with.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -164,6 +169,17 @@ SELECT f1 AS function_1, f2 AS function_2, c.f AS function_3 FROM ab JOIN a c ON
 GROUP BY 1, 2, 3 HAVING count(*) >= (SELECT need FROM n)
 """
 
+# patterns grow by the leftmost instance; closed is what no pattern longer by one item equals in support
+_P5_SUPPORTS = _P5.partition("a AS (")[0].replace("WITH s AS", "WITH RECURSIVE s AS") + r"""
+r AS (SELECT [f] AS pattern, g, min(i) AS e FROM o GROUP BY f, g
+      UNION ALL
+      SELECT pattern, g, e FROM (SELECT list_append(r.pattern, o.f) AS pattern, r.g AS g, min(o.i) AS e FROM r JOIN o ON o.g = r.g AND o.i > r.e GROUP BY 1, 2)
+      QUALIFY count(*) OVER (PARTITION BY pattern) >= (SELECT need FROM n)),
+c AS (SELECT pattern, count(*) AS support FROM r GROUP BY 1),
+b AS (SELECT DISTINCT list_concat(pattern[1:k - 1], pattern[k + 1:]) AS pattern, support FROM (SELECT pattern, support, unnest(range(1, len(pattern) + 1)) AS k FROM c WHERE len(pattern) > 1))
+SELECT array_to_string(pattern, ' > ') AS pattern, support FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.pattern = c.pattern AND b.support = c.support)
+"""
+
 _P6 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM w WHERE len(w) >= 5)),
@@ -240,6 +256,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_all": f"{every} SELECT *, llr >= 3.84 AND ratio > 1 AS significant FROM ({measured})",
         "p5_found": _P5,
+        "p5_supports": _P5_SUPPORTS,
         # what any right packing gives
         "p7_valid": "SELECT container_kind, capacity, n AS texts, 0::BIGINT AS overfull, 0::BIGINT AS lost, 0::BIGINT AS cut FROM (SELECT container_kind, min(capacity_tokens) AS capacity FROM containers "
         "WHERE capacity_tokens > 0 AND container_kind IS NOT NULL GROUP BY 1), (SELECT count(*) AS n FROM documents)",
