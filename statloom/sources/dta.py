@@ -32,12 +32,11 @@ RANGE = 250_000
 #: Longest text that is written in the row itself.
 FIXED = 2045
 _DAYS = (dt.date(1970, 1, 1) - dt.date(1960, 1, 1)).days
-_EPOCH = dt.datetime(1960, 1, 1)
 
 # Type codes of the format and the largest values that are not missing.  Fixed values.
 _STRL, _DOUBLE, _FLOAT, _LONG, _INT, _BYTE, _ALIAS = 32768, 65526, 65527, 65528, 65529, 65530, 65525
 _WIDTH = {_STRL: 8, _DOUBLE: 8, _FLOAT: 4, _LONG: 4, _INT: 2, _BYTE: 1, _ALIAS: 0}
-_CODE = {_DOUBLE: "d", _FLOAT: "f", _LONG: "i", _INT: "h", _BYTE: "b"}
+_NUMPY = {_DOUBLE: "f8", _FLOAT: "f4", _LONG: "i4", _INT: "i2", _BYTE: "i1"}
 _LARGEST = {_DOUBLE: 8.9884656743e307, _FLOAT: 1.70141173319e38, _LONG: 2147483620, _INT: 32740, _BYTE: 100}
 
 
@@ -192,28 +191,30 @@ class _Reader(DataSourceReader):
         h = header(self.path)
         a, b, place = partition.value
         cols = [(n, c, _kind(c, fm)) for n, c, fm in zip(h.names, h.kinds, h.formats) if c != _ALIAS]
-        shape = struct.Struct(h.order + "".join(_CODE.get(c) or f"{_WIDTH.get(c, c)}s" for _, c, _ in cols))
+        shape = np.dtype([(f"f{i}", h.order + _NUMPY[c] if c in _NUMPY else f"V{_WIDTH[c]}" if c == _STRL else f"S{c}") for i, (_, c, _) in enumerate(cols)])
         with opened(self.path) as f:
             while a < b:
                 n = min(20_000, b - a)
                 f.seek(h.data + a * h.width)
-                columns = list(zip(*shape.iter_unpack(f.read(n * h.width)))) if cols else []
-                wanted = {_reference(r, h) for (_, c, _), col in zip(cols, columns) if c == _STRL for r in col}
+                cells = np.frombuffer(f.read(n * h.width), shape) if cols else np.empty(n, [])
+                wanted = {_reference(bytes(r), h) for i, (_, c, _) in enumerate(cols) if c == _STRL for r in cells[f"f{i}"]}
                 texts, place = long_strings(f, h, wanted - {(0, 0)}, place)
                 arrays = []
-                for (_, c, kind), col in zip(cols, columns):
+                for i, (_, c, kind) in enumerate(cols):
+                    x = cells[f"f{i}"]
                     if c == _STRL:
-                        out: list = [texts.get(_reference(r, h), "") for r in col]
+                        arrays.append(pa.array([texts.get(_reference(bytes(r), h), "") for r in x], pa.string()))
                     elif c <= FIXED:
-                        out = [_text(r, h.release) for r in col]
+                        arrays.append(pa.array([_text(r, h.release) for r in x.tolist()], pa.string()))
                     else:
                         # missing codes lie above the largest value
-                        out = [None if x > _LARGEST[c] or x != x else x for x in col]
+                        lost = (x > _LARGEST[c]) | (x != x)
+                        x = np.where(lost, 0, x)
                         if kind == "date":
-                            out = [None if x is None else int(x) - _DAYS for x in out]
+                            x = np.trunc(x).astype(np.int32) - np.int32(_DAYS)
                         elif kind == "timestamp":
-                            out = [None if x is None else _EPOCH + dt.timedelta(milliseconds=x) for x in out]
-                    arrays.append(pa.array(out, _ARROW[kind]))
+                            x = np.rint(x * 1000.0).astype(np.int64) - np.int64(_DAYS * 86_400_000_000)
+                        arrays.append(pa.array(x.astype(x.dtype.newbyteorder("=")), mask=lost).cast(_ARROW[kind]))
                 yield pa.RecordBatch.from_arrays(arrays, [n for n, _, _ in cols])
                 a += n
 
@@ -328,7 +329,7 @@ def _padded(text: str, width: int) -> bytes:
 
 def _packer(kinds: list[tuple[int, str]], offsets: dict[int, int]):
     """Packs batches of rows with ``__mid`` as last column into (start, n, rows, strings): consecutive rows and their long strings as bytes."""
-    shape = np.dtype([(f"f{i}", f"S{c}" if c <= FIXED else "u8" if c == _STRL else "<" + {"d": "f8", "f": "f4", "i": "i4", "h": "i2", "b": "i1"}[_CODE[c]]) for i, (c, _) in enumerate(kinds)])
+    shape = np.dtype([(f"f{i}", f"S{c}" if c <= FIXED else "u8" if c == _STRL else "<" + _NUMPY[c]) for i, (c, _) in enumerate(kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
