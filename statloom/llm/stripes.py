@@ -16,6 +16,8 @@ from statloom.llm.common import Stage
 STRIPE_ENTRIES = 400_000
 #: Baskets of an item for which its stripe has one part; a hot item's stripe has more, cut by neighbour.
 PART_BASKETS = 1_000_000
+#: Names of items that tasks are given, at most.
+NAMES = 200_000
 #: Log-likelihood ratio of pairs that chance alone gives once in 20 times.
 SIGNIFICANT = 3.84
 
@@ -33,29 +35,29 @@ def _rows(stripes: list[tuple[str, int, dict[str, int]]]) -> pa.RecordBatch:
 _STRIPE = "item string, part long, neighbours array<string>, counts array<long>"
 
 
-def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Baskets of (item, parts of its stripe) in, stripes out: per item an associative array of the neighbours after it, merged within the task."""
-    stripes: dict[tuple[str, int], dict[str, int]] = defaultdict(dict)
-    entries = 0
-    for batch in batches:
-        lists = batch.column(0)
-        values = lists.flatten()
-        items, parts = values.field(0).to_pylist(), values.field(1).to_pylist()
-        at = 0
-        for size in lists.value_lengths().to_pylist():
-            basket = sorted(zip(items[at:at + size], parts[at:at + size]))
-            at += size
-            for i, (a, n) in enumerate(basket[:-1]):
-                for b, _ in basket[i + 1:]:
-                    stripe = stripes[a, crc32(b.encode()) % n if n > 1 else 0]
-                    entries += b not in stripe
-                    stripe[b] = stripe.get(b, 0) + 1
-                if entries >= STRIPE_ENTRIES:
-                    yield _rows([(*k, x) for k, x in stripes.items()])
-                    stripes.clear()
-                    entries = 0
-    if stripes:
-        yield _rows([(*k, x) for k, x in stripes.items()])
+def _stripes(keep: set[str] | None, parts: dict[str, int]):
+    """Baskets in, stripes out: per item an associative array of the neighbours after it, merged within the task; ``keep``: only these items count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stripes: dict[tuple[str, int], dict[str, int]] = defaultdict(dict)
+        entries = 0
+        for batch in batches:
+            for basket in batch.column(0).to_pylist():
+                basket = sorted(basket if keep is None else keep.intersection(basket))
+                for i, a in enumerate(basket[:-1]):
+                    n = parts.get(a, 1)
+                    for b in basket[i + 1:]:
+                        stripe = stripes[a, crc32(b.encode()) % n if n > 1 else 0]
+                        entries += b not in stripe
+                        stripe[b] = stripe.get(b, 0) + 1
+                    if entries >= STRIPE_ENTRIES:
+                        yield _rows([(*k, x) for k, x in stripes.items()])
+                        stripes.clear()
+                        entries = 0
+        if stripes:
+            yield _rows([(*k, x) for k, x in stripes.items()])
+
+    return run
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +102,7 @@ def cooccurrence(events: DataFrame, basket: list[str], item: Column, min_count:
     what chance would give.  Items count once per basket.  Rows with a null item or null basket key are left out; repeated
     rows, other columns and the row order do not matter; an empty table gives no pairs.
 
-    Items below the support of a pair cannot be in one, so they leave before stripes are built (exact).  Stripes are merged within each
+    One shuffle brings baskets together.  Items below the support of a pair cannot be in one, so stripes are built without them (exact).  Stripes are merged within each
     task, then by key: (item, part), where a hot item's stripe is cut into parts by its neighbours, so no task merges an unbounded array.
     """
     spark = events.sparkSession
@@ -110,16 +112,19 @@ def cooccurrence(events: DataFrame, basket: list[str], item: Column, min_count:
     rows = events.select(*keys, item.alias("item")).filter(F.col("item").isNotNull())
     for c in names:
         rows = rows.filter(F.col(c).isNotNull())
-    rows = stage.cut(rows.distinct(), "items")
-    total = rows.select(*names).distinct().count()
+    baskets = stage.cut(rows.groupBy(*names).agg(F.collect_set("item").alias("b")), "baskets")
+    total = baskets.count()
     need = max(min_count, 1)
-    support = rows.groupBy("item").agg(F.count(F.lit(1)).alias("c")).filter(
+    support = baskets.select(F.explode("b").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("c")).filter(
         (F.col("c") >= need) & (F.col("c").cast("double") >= F.lit(min_share) * F.lit(float(total)) * (1 - 1e-12))
     )
     support = stage.cut(support, "support")
-    parts = support.select("item", (F.lit(1) + F.floor(F.col("c") / F.lit(PART_BASKETS))).cast("long").alias("parts"))
-    baskets = rows.join(parts, "item").groupBy(*names).agg(F.collect_list(F.struct("item", "parts")).alias("b")).filter(F.size("b") > 1)
-    stripes = baskets.select("b").mapInArrow(_stripes, _STRIPE).repartition("item", "part").sortWithinPartitions("item", "part")
+    # items with the support are at most items per basket / min_share; where a share bounds them so, tasks get their names
+    few = min_share > 0 and support.count() <= NAMES
+    keep = {r["item"] for r in support.select("item").collect()} if few else None
+    hot = support.filter(F.col("c") >= PART_BASKETS).select("item", (F.lit(1) + F.floor(F.col("c") / F.lit(PART_BASKETS))).alias("parts"))
+    parts = {r["item"]: int(r["parts"]) for r in hot.collect()}
+    stripes = baskets.filter(F.size("b") > 1).select("b").mapInArrow(_stripes(keep, parts), _STRIPE).repartition("item", "part").sortWithinPartitions("item", "part")
     pairs = stripes.mapInArrow(_merged, "item_a string, item_b string, n long")
     pairs = pairs.filter(F.col("n") >= need)
     n_b = support.select(F.col("item").alias("item_b"), F.col("c").alias("n_b"))

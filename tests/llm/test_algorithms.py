@@ -107,6 +107,7 @@ def test_stripes_against_counts(spark):
     with pytest.MonkeyPatch.context() as m:
         m.setattr(stripes, "PART_BASKETS", 20)
         m.setattr(stripes, "STRIPE_ENTRIES", 7)
+        m.setattr(stripes, "NAMES", 3)
         assert {tuple(r) for r in stripes.cooccurrence(df, ["file_id", "command_index"], item, 5, 0.01, 0.0).collect()} == {tuple(r) for r in got}
     r = max(got, key=lambda r: r["llr"])
     k = np.array([[r["n"], r["n_a"] - r["n"]], [r["n_b"] - r["n"], r["n_baskets"] - r["n_a"] - r["n_b"] + r["n"]]], float)
@@ -134,8 +135,8 @@ def test_stripes_are_handed_on_when_full(monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(stripes, "STRIPE_ENTRIES", 3)
-    basket = pa.array([[{"item": x, "parts": 2} for x in "abcd"]] * 3)
-    rows = [(a, p, b, n) for batch in stripes._stripes(iter([pa.RecordBatch.from_arrays([basket], ["b"])])) for a, p, bs, ns in zip(*(batch.column(c).to_pylist() for c in range(4))) for b, n in zip(bs, ns)]
+    basket = pa.array([list("dxacb")] * 3)
+    rows = [(a, p, b, n) for batch in stripes._stripes(set("abcd"), {"a": 2, "b": 2})(iter([pa.RecordBatch.from_arrays([basket], ["b"])])) for a, p, bs, ns in zip(*(batch.column(c).to_pylist() for c in range(4))) for b, n in zip(bs, ns)]
     out = Counter()
     for a, _, b, n in rows:
         out[a, b] += n
