@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,3 +81,81 @@ def texts_of(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc_id, text) of a table, ready for functions of this package in Python workers."""
     share_package(docs.sparkSession)
     return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
+#: Characters that are taken together when words are hashed; a longer text is cut between two words.
+GROUP = 1_000_000
+_PLANES = 0x20000
+_TERMS = np.random.default_rng(17).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+@lru_cache(maxsize=1)
+def _alphanumeric() -> np.ndarray:
+    return np.fromiter((chr(c).isalnum() for c in range(_PLANES)), bool, _PLANES)
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """The text, cut between words where it is very long."""
+    at = 0
+    while len(text) - at > GROUP:
+        end = at + GROUP
+        while end < len(text) and text[end].isalnum():
+            end += 1
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def _hashed(text: str, ascii_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, hash) of each word of a text."""
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if ascii_only:
+        cp = np.where((cp >= 65) & (cp <= 90), cp + 32, cp)
+        inside = (cp >= 97) & (cp <= 122) | (cp >= 48) & (cp <= 57)
+    else:
+        inside = _alphanumeric()[np.minimum(cp, _PLANES - 1)]
+        far = np.flatnonzero(cp >= _PLANES)
+        inside[far] = [chr(c).isalnum() for c in cp[far].tolist()]
+    at = np.flatnonzero(inside)
+    if not len(at):
+        return at, np.empty(0, np.uint64)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1] + 1)))
+    offset = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    terms = _TERMS[offset & 63]
+    if int(offset.max()) > 63:
+        terms = terms * (2 * (offset >> 6) + 1).astype(np.uint64)
+    h = np.add.reduceat(cp[at] * terms, first)
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return at[first], h ^ (h >> np.uint64(29))
+
+
+def word_hashes(texts: list[str | None], ascii_only: bool = False) -> Iterator[np.ndarray]:
+    """For each text the 64-bit hashes of its words, case ignored, in order.
+
+    Words are the longest runs of letters or digits of any script in the lower-cased text, or of ASCII letters or digits in the text as it is.
+    """
+    held: list[str] = []
+    size = 0
+
+    def out() -> Iterator[np.ndarray]:
+        place, h = _hashed("\n".join(held), ascii_only)
+        ends = np.searchsorted(place, np.cumsum([len(t) + 1 for t in held]))
+        return iter(np.split(h, ends[:-1]))
+
+    for t in texts:
+        t = t or ""
+        t = t if ascii_only else t.lower()
+        if len(t) > GROUP:
+            if held:
+                yield from out()
+                held, size = [], 0
+            yield np.concatenate([_hashed(x, ascii_only)[1] for x in _pieces(t)])
+            continue
+        held.append(t)
+        size += len(t)
+        if size >= GROUP or len(held) >= 20_000:
+            yield from out()
+            held, size = [], 0
+    if held:
+        yield from out()

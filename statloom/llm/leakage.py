@@ -12,11 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import Stage, texts_of
+from statloom.llm.common import Stage, texts_of, word_hashes
 
 PHRASE = 13
 #: Words of a shard; a longer document is a shard of its own.
@@ -29,21 +28,9 @@ RAREST, NEEDED, TILE = 8, 6, 64
 _WORD = re.compile(r"[A-Za-z0-9]+")
 
 
-class _Ids(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.lower())
-        return h
-
-
-_ids = _Ids()
-
-
 def word_ids(text: str | None) -> np.ndarray:
     """64-bit hashes of the words (runs of ASCII letters or digits, case ignored) of a text."""
-    words = _WORD.findall(text) if text else []
-    return np.fromiter(map(_ids.__getitem__, words), np.uint64, len(words))
+    return next(word_hashes([text], ascii_only=True))
 
 
 _INDEX = "terms array<long>, starts array<int>, positions array<int>, docs array<long>, doc_starts array<int>"
@@ -70,8 +57,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            w = word_ids(t)
+        for i, w in zip(batch.column(0).to_pylist(), word_hashes(batch.column(1).to_pylist(), ascii_only=True)):
             if not len(w):
                 continue
             if words and size + len(w) > SHARD_WORDS:

@@ -8,16 +8,14 @@ The pairs that stay are decided by their exact similarity.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import Stage, texts_of
+from statloom.llm.common import Stage, texts_of, word_hashes
 
 WORDS = 5
 BITS = 128
@@ -32,7 +30,6 @@ PIECE = 4_000
 #: Node pairs that are expanded at once.
 FRONTIER = 1_000_000
 
-_WORD = re.compile(r"[^\W_]+")
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 2**32, BITS, dtype=np.uint32) | np.uint32(1))
 _B = _rng.integers(0, 2**32, BITS, dtype=np.uint32)
@@ -40,32 +37,21 @@ _M = [np.uint64(int(x) | 1) for x in _rng.integers(1, 2**63, WORDS + 4, dtype=np
 _POP = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
 
-class _Ids(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_ids = _Ids()
-
-
-def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the sequences of ``n`` consecutive words of a text."""
-    words = _WORD.findall(text.lower()) if text else []
-    if len(words) < n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_ids.__getitem__, words), np.uint64, len(words))
-    m = len(h) - n + 1
-    mixed = h[:m] * _M[0]
-    for k in range(1, n):
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * _M[k] + h[k:k + m]
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= _M[WORDS]
-    mixed ^= mixed >> np.uint64(29)
-    mixed.sort()
-    return mixed[np.concatenate(([True], mixed[1:] != mixed[:-1]))]
+def shingles(texts: list[str | None], n: int = WORDS) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its sequences of ``n`` consecutive words."""
+    for h in word_hashes(texts):
+        m = len(h) - n + 1
+        if m < 1:
+            yield np.empty(0, np.uint64)
+            continue
+        mixed = h[:m] * _M[0]
+        for k in range(1, n):
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * _M[k] + h[k:k + m]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= _M[WORDS]
+        mixed ^= mixed >> np.uint64(29)
+        mixed.sort()
+        yield mixed[np.concatenate(([True], mixed[1:] != mixed[:-1]))]
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -90,8 +76,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n", "k1", "k2", "sig", "bands"]
     for batch in batches:
         ids, sets = [], []
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            s = shingles(t)
+        for i, s in zip(batch.column(0).to_pylist(), shingles(batch.column(1).to_pylist())):
             if len(s):
                 ids.append(i)
                 sets.append(s)
@@ -258,7 +243,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
+        sets = [s.view(np.int64) for s in shingles(batch.column(1).to_pylist())]
         offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
         values = np.concatenate(sets) if sets else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "set"])

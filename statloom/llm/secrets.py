@@ -15,7 +15,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from statloom.llm.automaton import Automaton
 from statloom.llm.common import texts_of

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from statloom.llm import automaton, leakage, mojibake, nearcopies, packing, quality, secrets
+from statloom.llm import automaton, common, leakage, mojibake, nearcopies, packing, quality, secrets
 
 SCHEMA = "doc_id long, text string"
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -227,6 +227,25 @@ def test_garbled_tables(spark):
     assert mojibake.find_garbled(df.limit(0)).collect() == []
 
 
+# --- words
+@pytest.mark.parametrize("group", [5, 1_000_000])
+def test_word_hashes_against_regular_expressions(monkeypatch, group):
+    monkeypatch.setattr(common, "GROUP", group)
+    rng = random.Random(8)
+    alphabet = "abXY019_ .,-\nÄéß中次\U00020000\u0301²½٣İ" + "\ufb01"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.choice([0, 3, 40, 300]))) for _ in range(60)] + [None, "", "a" * 700 + " " + "a" * 701, "x"]
+    for ascii_only, pattern in ((False, r"[^\W_]+"), (True, r"[A-Za-z0-9]+")):
+        words = [re.findall(pattern, (t or "").lower() if not ascii_only else t or "") for t in texts]
+        words = [[w.lower() for w in x] for x in words]
+        got = list(common.word_hashes(texts, ascii_only))
+        assert [len(x) for x in got] == [len(x) for x in words]
+        seen = {}
+        for hs, ws in zip(got, words):
+            for h, w in zip(hs.tolist(), ws):
+                assert seen.setdefault(w, h) == h
+        assert len(set(seen.values())) == len(seen)
+
+
 # --- near copies
 def _words(rng, n):
     return [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randint(0, 400)) for _ in range(n)]
